@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U64, as_array, buffers, ids_of, mix, slices
+from tidemark.llm.kernels import U64, as_array, buffers, ids_of, mix, runs, slices
 
 PARTS_PER_PARTITION = 4
 
@@ -51,9 +51,8 @@ def doc_parts(docs: DataFrame, n: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 data, at = buffers(texts.slice(i, j - i).take(pa.array(order)))
                 ids, part = ids[order], part[order]
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
                 rows = []
-                for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
+                for a, b in blocks(part):
                     rows.append((int(part[a]), ids[a:b].tobytes(), np.diff(at[a : b + 1]).tobytes(), squeeze(data[at[a] : at[b]])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "ids", "sizes", "text"])
 
@@ -80,6 +79,12 @@ def key_part(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
+def blocks(part: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal parts."""
+    at, size = runs(part)
+    return list(zip(at.tolist(), (at + size).tolist(), strict=True))
+
+
 def planes(keys: np.ndarray, n_bytes: int = 8) -> bytes:
     """The leading bytes of sorted keys, most significant bytes first, which compress well."""
     return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T).tobytes()
@@ -103,9 +108,8 @@ KEY_BYTES = 6
 def key_rows(source: int, keys: np.ndarray, n: int, counts: np.ndarray | None = None, carry: bytes | None = None) -> pa.Table:
     """Rows for KEY_SCHEMA from sorted distinct keys.  carry returns to the source unread."""
     part = key_part(keys, n)
-    cut = np.flatnonzero(np.diff(part, prepend=-1))
     rows = []
-    for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
+    for a, b in blocks(part):
         rows.append((int(part[a]), source, planes(keys[a:b], KEY_BYTES), None if counts is None else counts[a:b].astype(np.uint16).tobytes(), None))
     if carry is not None:
         rows.append((source % n, source, None, None, carry))
