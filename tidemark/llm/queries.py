@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, ngram_join, suffixes, url_filter, word_windows
+from tidemark.llm import bpe, decontaminate, langid, near_vectors, ngram_join, pii, sharding, suffixes, url_filter, word_windows
 
 #: (verdict, host, path) of the rules that come before a host's reputation.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -17,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op2_word_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_windows.remove_repeats(table(spark, sf_dir, "documents"), length=20)
 
@@ -51,10 +63,27 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_word_window_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_bpe_prefix_dp, op7_url_reputation, op8_ngram_jaccard)
+    f.__name__: f for f in (op1_pca_tiles, op2_word_window_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_bpe_prefix_dp, op7_url_reputation, op8_ngram_jaccard, op9_contextual_pii, op10_tiered_shards)
 }
 
+_OP1 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept FROM (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c LEFT JOIN n ON n.a = c.a
+"""
+
 _OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
@@ -113,4 +142,4 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_pca_tiles": _OP1, "op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8}
