@@ -172,11 +172,13 @@ def compare(size: np.ndarray, keys: list[np.ndarray], label: np.ndarray, num: in
 
 def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) found in buckets (token, id, component); a bucket of one component is left out."""
-    found = buckets.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("token", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
+    # Tokens whose units come from the same components make one bucket: near copies share hundreds.
+    met = buckets.select("token", "component").distinct().groupBy("token").agg(F.bit_xor(F.xxhash64("component")).alias("who"), F.count("*").alias("parties")).where("parties > 1")
+    rows = buckets.join(met, "token").select(F.xxhash64("who", "parties").alias("bucket"), "id", "component").distinct()
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    rows = buckets.join(found, "token").select("token", "id", "component", share.alias("share"), other.alias("other")).select("token", "id", "component", "share", F.least("share", "other").alias("x"), F.greatest("share", "other").alias("y"))
-    rows = rows.join(sets.select("id", "n", "keys"), "id").select("token", "x", "y", "id", "component", "share", "n", "keys")
+    rows = rows.join(sizes, "bucket").withColumns({"share": share, "other": F.explode(F.sequence(F.lit(0), F.col("shares") - 1))}).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
+    rows = rows.join(sets.select("id", "n", "keys"), "id").select("bucket", "x", "y", "id", "component", "share", "n", "keys")
 
     def run(table: pa.Table) -> pa.Table:
         ids, label, share, size = (as_array(table.column(c)).to_numpy() for c in ("id", "component", "share", "n"))
@@ -185,7 +187,7 @@ def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         found = compare(size, keys, label, num, den, share if two else None)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
 
-    return rows.groupBy("token", "x", "y").applyInArrow(run, "a long, b long")
+    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
