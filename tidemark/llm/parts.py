@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U64, as_array, buffers, ids_of, mix, runs, slices
 
-PARTS_PER_PARTITION = 4
+PARTS_PER_PARTITION = 2
 
 
 def number_of_parts(spark: SparkSession) -> int:
@@ -30,7 +30,7 @@ def need_columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def squeeze(data) -> bytes:
-    return pa.compress(pa.py_buffer(data), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=5).compress(pa.py_buffer(data), asbytes=True)
 
 
 def unsqueeze(data: bytes, size: int, dtype) -> np.ndarray:
@@ -102,7 +102,8 @@ def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Tab
 
 KEY_SCHEMA = "part int, source int, keys binary, counts binary, carry binary"
 KEY_ARROW = [("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("carry", pa.binary())]
-KEY_BYTES = 6
+#: Bytes of a key that travel where a false repeat only costs a later look; 5 serve some 10**11 keys.
+KEY_BYTES = 5
 
 
 def key_rows(source: int, keys: np.ndarray, n: int, counts: np.ndarray | None = None, carry: bytes | None = None) -> pa.Table:

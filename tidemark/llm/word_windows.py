@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import _GOLD, U64, ids_back, mix, prefix_sums, range_hash, runs, windows, word_hashes, words
+from tidemark.llm.kernels import _GOLD, U64, ids_back, mix, prefix_sums, range_hash, runs, slices, windows, word_hashes, words
 from tidemark.llm.parts import KEY_SCHEMA, blocks, doc_parts, exchange, from_planes, key_part, key_rows, load, number_of_parts, part_of, planes, seen, squeeze, table_of, unsqueeze
 
 _FIRST_SCHEMA = "part int, source int, keys binary, more binary, docs binary, starts binary, carry binary"
@@ -37,8 +37,17 @@ class Part:
 
     def __init__(self, table: pa.Table):
         self.ids, self.data, self.offs = load(table)
-        self.starts, self.ends, self.word_offs = words(self.data, self.offs)
-        self.sums = prefix_sums(word_hashes(self.data, self.starts, self.ends))
+        starts, ends, hashes = [], [], []
+        for i, j in slices(self.offs):  # arrays of eight bytes for each byte of text stay small
+            base = self.offs[i]
+            data = self.data[base : self.offs[j]]
+            a, b, _ = words(data, self.offs[i : j + 1] - base)
+            starts.append(a + base)
+            ends.append(b + base)
+            hashes.append(word_hashes(data, a, b))
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        self.word_offs = np.searchsorted(self.starts, self.offs)
+        self.sums = prefix_sums(np.concatenate(hashes))
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.word_offs))
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
