@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import _BYTE, U64, ids_back, prefix_sums, range_hash, runs, slices
+from tidemark.llm.kernels import _BYTE, U64, ids_back, mix, powers, prefix_sums, range_hash, runs, slices
 from tidemark.llm.parts import KEY_SCHEMA, doc_parts, exchange, key_part, key_rows, load, number_of_parts, part_of, seen, squeeze, table_of, unsqueeze
 
 LENGTH, GRAM = 100, 32
@@ -157,6 +157,20 @@ def late_windows(doc: np.ndarray, at: np.ndarray, near: np.ndarray, far: np.ndar
     return late
 
 
+def surroundings(data: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes around each anchor that its windows have, zeros elsewhere, and a hash of each row."""
+    around, looks = np.zeros((len(place), before + length), np.uint8), np.zeros(len(place), U64)
+    factors = powers(before + length)[0][: before + length]
+    for i in range(0, len(place), 4096):
+        j = slice(i, i + 4096)
+        index = place[j, None] + np.arange(-before, length)
+        used = (index >= lo[j, None]) & (index < hi[j, None] + length)
+        around[j] = np.where(used, data[np.clip(index, 0, len(data) - 1)], 0)
+        with np.errstate(over="ignore"):
+            looks[j] = mix((_BYTE[around[j]] * factors).sum(axis=1, dtype=U64))
+    return around, looks
+
+
 _ROW_SCHEMA = "part int, source int, docs binary, places binary, near binary, far binary, around binary, carry binary"
 _ROW_ARROW = [("part", pa.int32()), ("source", pa.int32()), ("docs", pa.binary()), ("places", pa.binary()), ("near", pa.binary()), ("far", pa.binary()), ("around", pa.binary()), ("carry", pa.binary())]
 _LATE_SCHEMA = "part int, block int, late binary, carry binary"
@@ -191,14 +205,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
         owner = np.searchsorted(offs, place, "right") - 1
         doc, at = ids[owner], place - offs[owner]
         near, far = place - hi, place - lo
-        index = place[:, None] + np.arange(-before, length)
-        used = (index >= lo[:, None]) & (index < hi[:, None] + length)
-        around = np.where(used, data[np.clip(index, 0, max(len(data) - 1, 0))], 0).astype(np.uint8) if len(place) else np.zeros((0, before + length), np.uint8)
+        around, looks = surroundings(data, place, lo, hi, before, length)
         # Anchors of one part whose windows are all the same travel once, at their earliest place.
-        width = before + length
-        sums = prefix_sums(_BYTE[around.ravel()])
-        row = np.arange(len(place)) * width
-        alike = [range_hash(sums, row, row + width), far, near]
+        alike = [looks, far, near]
         order = np.lexsort((at, doc, *alike, keys))
         new = np.ones(len(order), bool)
         if len(order):
@@ -249,15 +258,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
         hit = own & ((tied == 0)[:, None] | late[stands_for]) if m else np.zeros((0, before + 1), bool)
         row, distance = np.nonzero(hit)
         start = place[row] - distance
-        change = np.zeros(len(data) + 1, np.int64)
+        change = np.zeros(len(data) + 1, np.int32)
         np.add.at(change, start, 1)
         np.add.at(change, start + length, -1)
-        gone = np.cumsum(change)[:-1] > 0
+        gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
+        del row, distance, start, hit, change
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         inner = offs[:-1][(offs[:-1] < len(data))]
         opens[inner] = gone[inner]  # a run ends with its document
-        total, spans = (np.concatenate([[0], np.cumsum(v)])[offs] for v in (gone, opens))
+        total, spans = (np.concatenate([[0], np.cumsum(v, dtype=np.int32)])[offs] for v in (gone, opens))
         left_over = data[~gone].tobytes()
         bounds = (offs - total).tolist()
         kept = [left_over[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
