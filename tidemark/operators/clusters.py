@@ -91,24 +91,20 @@ def cluster(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFra
 
 
 def cluster_stream(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """The same over a stream; what a shard remembers is Spark's state for it, dropped when nothing has come for the window."""
+    """The same over a stream; what a shard remembers, its clusters of the last window, is Spark's state for it."""
     import pickle
 
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         shard = pickle.loads(state.get[0]) if state.exists else Shard()
         rows = pd.concat(list(batches), ignore_index=True)
         out = fold(shard, rows, config)
         state.update((pickle.dumps(shard),))
-        state.setTimeoutDuration(int(config.window_hours * 3_600_000))
         yield out
 
     rows = docs.select(F.col("shard").cast("string"), F.col("doc_id").cast("string"), "seq", (F.unix_micros("at") / 1e6).alias("at"), "embedding", "names")
-    return rows.groupBy("shard").applyInPandasWithState(run, OUT, "memory binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("shard").applyInPandasWithState(run, OUT, "memory binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def roll_up(docs: DataFrame) -> DataFrame:

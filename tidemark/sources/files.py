@@ -43,12 +43,12 @@ def wide_csv(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Rows (key, factor, shock) of a wide CSV of numbers; empty cells are left out."""
     rows = spark.read.csv(path, header=True)
     names = [c for c in rows.columns if c != key]
-    return rows.unpivot([key], [F.col(c).try_cast("double").alias(c) for c in names] and names, "factor", "text").select(key, "factor", F.col("text").try_cast("double").alias("shock")).where("shock is not null")
+    return rows.unpivot([key], names, "factor", "text").select(key, "factor", F.col("text").try_cast("double").alias("shock")).where("shock is not null")
 
 
 def phrase_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows (text, label) of Latin-1 files of sentence@label; of a sentence in several files the last by name counts."""
-    rows = spark.read.option("encoding", "ISO-8859-1").text(path).withColumn("tier", F.input_file_name())
+    rows = spark.read.csv(path, schema="value string", sep="\x01", quote="", encoding="ISO-8859-1").withColumn("tier", F.input_file_name())
     rows = rows.select(F.trim(F.regexp_extract("value", "^(.*)@([a-z]+)\\s*$", 1)).alias("text"), F.regexp_extract("value", "^(.*)@([a-z]+)\\s*$", 2).alias("label"), "tier").where("text <> ''")
     return rows.groupBy("text").agg(F.max_by("label", F.struct("tier", "label")).alias("label"))
 
