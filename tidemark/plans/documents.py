@@ -210,3 +210,29 @@ def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 60)
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("shard"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("seq"), at.alias("at"), "embedding", F.array().cast("array<string>").alias("names"))
     return cluster(rows, ClusterConfig(window_hours=2.0))
+
+
+@R.add()
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.linking import Entity, Linker, link
+
+    linker = Linker([Entity("E1", aliases=("the of", "the"), excluded=("in the",)), Entity("E2", exact=("Der", "Die")), Entity("E3", ambiguous=("une", "la"))], "price|tion")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(link(linker, F.col("text"), F.col("source") == "src0")).alias("m"))
+    return rows.groupBy("m.entity", "m.via").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+
+
+@R.add()
+def price_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.linking import MoveWords, price_directions
+
+    words = MoveWords(up=("er",), down=("tion",), quantity=("wh",), filler=("and", "of"), subjects={"THE": ("the",), "THAT": ("that",)})
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(price_directions(F.col("text"), words)).alias("price", "direction"))
+    return rows.groupBy("price").agg(F.count_if(F.col("direction") > 0).alias("up"), F.count_if(F.col("direction") < 0).alias("down"))
+
+
+@R.add()
+def rule_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import models
+
+    docs = models.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", CUES, POSITIVE, NEGATIVE, NEGATORS)
+    return models.relevant(docs, 3).select("doc_id", F.transform("sentiment", lambda x: F.round(x, 6)).alias("sentiment"), F.round("relevance", 6).alias("relevance"), "relevant")

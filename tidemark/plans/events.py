@@ -131,3 +131,20 @@ f AS (SELECT user_id, i, day, CASE WHEN score >= 3 THEN 2 WHEN score >= 1.5 THEN
 SELECT user_id, CASE s WHEN 2 THEN 'Watch Negative' ELSE 'Monitor' END AS status, min(day) AS first_day FROM f WHERE s > 0 GROUP BY ALL""" % _DAILY)
 def first_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch_hysteresis(spark, sf_dir).where("status is not null").groupBy("user_id", "status").agg(F.min("day").alias("first_day"))
+
+
+@R.add()
+def stress_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.monitors import situations
+
+    keys = F.when(F.col("value") < 95, F.array(F.concat(F.lit("K"), (F.col("user_id") % 7).cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("value") / 10).alias("impact"), F.col("value").cast("int").alias("reports"), keys.alias("keys"))
+    return situations(rows)
+
+
+@R.add()
+def index_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.monitors import trades
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("index_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("user_id").cast("string").alias("ticker"), (F.col("value") / 50 - 1).alias("sentiment"), F.lit(2.0).alias("evidence"), (F.col("value") / 10).alias("impact"), F.col("event_id").cast("string").alias("event_id"))
+    return trades(rows)
