@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import _BYTE, U64, ids_back, mix, powers, prefix_sums, range_hash, runs, slices
+from tidemark.llm.kernels import _BYTE, _GOLD, U64, ids_back, mix, powers, prefix_sums, range_hash, runs, slices
 from tidemark.llm.parts import KEY_SCHEMA, doc_parts, exchange, key_part, key_rows, load, number_of_parts, part_of, seen, squeeze, table_of, unsqueeze
 
 LENGTH, GRAM = 100, 32
@@ -29,7 +29,7 @@ SHALLOW = 16
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the anchors, the first and last window start of each, and the hashes of their grams."""
-    found = [_anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram, offs[i]) for i, j in slices(offs, 1 << 20)]
+    found = [_anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram, offs[i]) for i, j in slices(offs, 1 << 19)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
 
 
@@ -54,7 +54,8 @@ def _anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, base: i
         return none
     place = (low[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     first, count = runs(place)
-    return place[first] + base, start[first] + base, start[first + count - 1] + base, keys[place[first]]
+    # Least hashes are small numbers; mixed again, they deal evenly.
+    return place[first] + base, start[first] + base, start[first + count - 1] + base, mix(keys[place[first]] + _GOLD)
 
 
 def blind_order(strings: list[bytes]) -> list[int]:
