@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,21 @@ def normal_cdf_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 
+Steps = list[tuple[str, str]]
+
+
+def normal_quantile_steps(p: str, out: str) -> Steps:
+    """The same as ``normal_quantile_sql`` in columns, so that nothing is worked out twice."""
+    q, r, c, s, t = (f"{out}_{n}" for n in "qrcst")
+    return [(q, f"{p} - 0.5e0"), (r, f"sqrt(-ln(least({p}, 1e0 - {p})))"), (c, f"0.180625e0 - {q} * {q}"), (s, f"{r} - 1.6e0"), (t, f"{r} - 5e0"), (out, f"CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {_ratio(_CENTRE, c)} WHEN {r} <= 5e0 THEN sign({q}) * {_ratio(_TAIL, s)} ELSE sign({q}) * {_ratio(_FAR, t)} END")]
+
+
+def normal_cdf_steps(x: str, out: str) -> Steps:
+    a, e, tail = (f"{out}_{n}" for n in ("a", "e", "tail"))
+    far = f"{e} / ({a} + 1e0 / ({a} + 2e0 / ({a} + 3e0 / ({a} + 4e0 / ({a} + 0.65e0))))) / 2.506628274631e0"
+    return [(a, f"abs({x})"), (e, f"exp(-{a} * {a} / 2e0)"), (tail, f"CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < 7.07106781186547e0 THEN {e} * {_ratio(_HART, a)} ELSE {far} END"), (out, f"CASE WHEN {x} > 0 THEN 1e0 - {tail} ELSE {tail} END")]
+
+
 # Rating grades from best to worst with one-year default probabilities, the Basel floor, and standardised weights.
 RATING_PD = {"AAA": 0.0001, "AA": 0.0002, "A": 0.0006, "BBB": 0.0020, "BB": 0.0090, "B": 0.0350, "CCC": 0.2000, "D": 1.0}
 STANDARD_WEIGHT = {"AAA": 0.2, "AA": 0.2, "A": 0.5, "BBB": 1.0, "BB": 1.0, "B": 1.5, "CCC": 1.5, "D": 1.5}
@@ -95,13 +112,10 @@ def correlation_sql(pd: str) -> str:
     return f"(0.12e0 * {w} + 0.24e0 * (1e0 - {w}))"
 
 
-Steps = list[tuple[str, str]]
-
-
 def stressed_pd_steps(pd: str, z: str, out: str) -> Steps:
     """Default probability after a systematic shock of z deviations: its probit moves by -z * sqrt(rho / (1 - rho))."""
     p, rho, probit, x = (f"{out}_{n}" for n in ("p", "rho", "probit", "x"))
-    return [(p, f"greatest(1e-6, least(1e0 - 1e-9, {pd}))"), (rho, correlation_sql(p)), (probit, normal_quantile_sql(p)), (x, f"({probit} - ({z}) * sqrt({rho} / (1e0 - {rho})))"), (out, normal_cdf_sql(x))]
+    return [(p, f"greatest(1e-6, least(1e0 - 1e-9, {pd}))"), (rho, correlation_sql(p)), *normal_quantile_steps(p, probit), (x, f"({probit} - ({z}) * sqrt({rho} / (1e0 - {rho})))"), *normal_cdf_steps(x, out)]
 
 
 def irb_weight_steps(pd: str, lgd: str, maturity: str, out: str) -> Steps:
@@ -113,17 +127,24 @@ def irb_weight_steps(pd: str, lgd: str, maturity: str, out: str) -> Steps:
         (p, f"greatest({PD_FLOOR}e0, least(0.9999e0, {pd}))"),
         (rho, correlation_sql(p)),
         (b, f"pow(0.11852e0 - 0.05478e0 * ln({p}), 2)"),
-        (probit, normal_quantile_sql(p)),
+        *normal_quantile_steps(p, probit),
         (x, f"(({probit} + sqrt({rho}) * 3.090232306167813e0) / sqrt(1e0 - {rho}))"),
-        (n, normal_cdf_sql(x)),
+        *normal_cdf_steps(x, n),
         (out, f"(greatest(0e0, {k}) * 12.5e0)"),
     ]
 
 
 def with_steps(df: DataFrame, steps: Steps) -> DataFrame:
-    """Columns added one after another, so that each is computed once."""
+    """Columns added level by level: each is computed once, together with all whose inputs are there as well."""
+    depth: dict[str, int] = {}
+    levels: list[dict[str, Column]] = []
     for name, text in steps:
-        df = df.withColumn(name, F.expr(text))
+        depth[name] = max((depth[w] + 1 for w in set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text)) if w in depth), default=0)
+        if depth[name] == len(levels):
+            levels.append({})
+        levels[depth[name]][name] = F.expr(text)
+    for level in levels:
+        df = df.withColumns(level)
     return df
 
 
