@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 # HTML entities that feeds use, and what they stand for; the ampersand last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
+# Patterns and words of the cleaning rules.
 URL = r"https?://\S+|www\.\S+"
 RETWEET = r"(?i)^\s*RT @\w+:\s*"
 PUBLISHER_SUFFIX = r"\s+[-|–—]\s+[A-Z][A-Za-z0-9_&.' ]{1,30}$"
 FILE_NAME = r"(?i)^[A-Za-z0-9_\s().,&'-]{1,80}\.(pdf|docx?|xlsx?|pptx?|csv|txt)$"
-#: Words that no complete headline ends in.
+#: Words that no complete headline ends in; fixed values.
 OPEN_ENDINGS = ["a", "an", "the", "of", "to", "amid", "with", "by", "from", "into", "for", "and", "or", "but", "as", "at", "its", "their", "his", "her", "than"]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DOCUMENT = "doc_id string, source string, kind string, published_at timestamp, text string, url string, publisher string, finance_feed boolean, meta map<string,string>"
 POSITION = "position_id string, asset_class string, bond_type string, obligor_id string, obligor_name string, sector string, country string, region string, currency string, rating string, lgd double, notional double, drawn double, undrawn double, ccf double, maturity double, fixed_float string, coupon double, duration double, convexity double, direction int, source string"
-#: Column places (from 0) of a news index file: time, themes, tone, and the page data that has the title.
+# Column places (from 0) of a news index file: time, themes, tone, and the page data that has the title.
 NEWS_TIME, NEWS_URL, NEWS_THEMES, NEWS_TONE, NEWS_EXTRA, NEWS_COLUMNS = 1, 4, 7, 15, 26, 27
 KEPT_THEMES = "^(ECON_|SANCTIONS|ARMEDCONFLICT)"
 
@@ -26,7 +26,7 @@ def news_index(spark: SparkSession, path: str) -> DataFrame:
 def slots(spark: SparkSession, start: str, end: str) -> DataFrame:
     """The quarter hours from start up to and without end, each a file's name."""
     at = F.explode(F.sequence(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end)) - F.expr("interval 1 second"), F.expr("interval 15 minutes")))
-    return spark.range(1).select(at.alias("slot")).withColumn("file", F.concat(F.date_format("slot", "yyyyMMddHHmmss"), F.lit(".gkg.csv.zip")))
+    return spark.range(1).select(at.alias("slot")).withColumn("file", F.concat(F.date_format("slot", "yyyyMMddHHmmss"), F.lit(".csv.zip")))
 
 
 def replay_pack(spark: SparkSession, path: str) -> DataFrame:
