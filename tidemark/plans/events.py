@@ -148,3 +148,14 @@ def index_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("index_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("user_id").cast("string").alias("ticker"), (F.col("value") / 50 - 1).alias("sentiment"), F.lit(2.0).alias("evidence"), (F.col("value") / 10).alias("impact"), F.col("event_id").cast("string").alias("event_id"))
     return trades(rows)
+
+
+@R.add("""WITH RECURSIVE d AS (%s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d),
+f AS (SELECT user_id, i, day, CASE WHEN score >= 3 THEN 2 WHEN score >= 1.5 THEN 1 ELSE 0 END AS s FROM n WHERE i = 1
+ UNION ALL SELECT n.user_id, n.i, n.day, CASE WHEN n.score >= 3 OR (f.s = 2 AND n.score >= 2.5) THEN 2 WHEN n.score >= 1.5 OR (f.s > 0 AND n.score >= 1.0) THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1),
+first_ AS (SELECT user_id, min(day) AS flagged FROM f WHERE s = 2 GROUP BY user_id), act AS (SELECT user_id, min(ts)::DATE AS acted FROM events WHERE event_type = 'purchase' AND value > 90 GROUP BY user_id)
+SELECT user_id, acted, flagged, datediff('day', flagged, acted) AS lead_days FROM act LEFT JOIN first_ USING (user_id)""" % _DAILY)
+def lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = first_flags(spark, sf_dir).where("status = 'Watch Negative'").select("user_id", F.col("first_day").alias("flagged"))
+    acted = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 90").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("acted"))
+    return acted.join(flags, "user_id", "left").select("user_id", "acted", "flagged", F.datediff("acted", "flagged").cast("long").alias("lead_days"))

@@ -158,3 +158,21 @@ def temperature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prices(spark, sf_dir).withColumn("t", F.concat(F.lit("t"), F.substring("ticker", 1, 1)))
     return rows.groupBy("day").pivot("t", [f"t{i}" for i in range(1, 6)]).agg(F.max("px"))
+
+
+# Episodes of this repository's own.
+_EPISODES = [("a", "1995-03-01", "1995-06-15"), ("b", "1996-09-10", "1997-01-20"), ("c", "1998-08-01", "1998-10-10")]
+_EPISODE_SQL = "(VALUES " + ", ".join(f"('{i}', DATE '{s}', DATE '{e}')" for i, s, e in _EPISODES) + ") e(episode, start_, end_)"
+
+
+@R.add(f"""WITH p AS ({_PRICES}), g AS (SELECT episode, start_, end_, ticker FROM {_EPISODE_SQL}, (SELECT DISTINCT ticker FROM p)),
+s AS (SELECT g.*, CASE WHEN p.day >= start_ - 5 THEN p.px END AS a FROM g ASOF LEFT JOIN p ON g.ticker = p.ticker AND g.start_ >= p.day),
+b AS (SELECT s.episode, s.ticker, s.a, CASE WHEN p.day >= s.end_ - 5 THEN p.px END AS b FROM s ASOF LEFT JOIN p ON s.ticker = p.ticker AND s.end_ >= p.day)
+SELECT episode, ticker, round((b / a - 1) * 100, 4) AS pct, round(b - a, 4) AS pts FROM b""")
+def analog_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prices(spark, sf_dir).select("ticker", "day", "px")
+    episodes = F.explode(F.array(*[F.struct(F.lit(i).alias("episode"), F.lit(s).cast("date").alias("start"), F.lit(e).cast("date").alias("end")) for i, s, e in _EPISODES]))
+    rows = p.select("ticker").distinct().select("ticker", episodes.alias("e")).select("ticker", "e.*")
+    rows = asof.asof_join(rows.withColumnRenamed("start", "day"), p, ["ticker"], "day", ["px"], tolerance="interval 5 days").withColumnRenamed("px", "a").drop("day")
+    rows = asof.asof_join(rows.withColumnRenamed("end", "day"), p, ["ticker"], "day", ["px"], tolerance="interval 5 days").withColumnRenamed("px", "b")
+    return rows.select("episode", "ticker", F.round((F.col("b") / F.col("a") - 1) * 100, 4).alias("pct"), F.round(F.col("b") - F.col("a"), 4).alias("pts"))
