@@ -84,7 +84,7 @@ def buffers(texts: pa.Array, pad: str = "") -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = 2 << 20):
+def slices(offs: np.ndarray, most: int = 1 << 19):
     """Ranges of texts with at most so many bytes in all, one text at least."""
     i, n = 0, len(offs) - 1
     while i < n:

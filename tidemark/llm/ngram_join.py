@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import checkpointed, components
-from tidemark.llm.kernels import _BYTE, U64, as_array, buffers, ids_of, lower_ascii, mix, prefix_sums, range_hash, runs, shingle_sets, slices
+from tidemark.llm.kernels import U64, as_array, buffers, ids_of, lower_ascii, mix, runs, shingle_sets, slices
 from tidemark.llm.parts import KEY_SCHEMA, exchange, key_rows, load, number_of_parts, part_of, seen, squeeze, table_of
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -48,15 +48,13 @@ def text_parts(docs: DataFrame, n: int) -> DataFrame:
             all_ids, texts = ids_of(batch.column(0)), batch.column(1)
             for i, j in slices(buffers(texts)[1], 8 << 20):
                 data, offs = buffers(texts.slice(i, j - i))
-                data = lower_ascii(data)
-                keys = range_hash(prefix_sums(_BYTE[data]), offs[:-1], offs[1:])
-                order = np.lexsort((all_ids[i:j], keys))
-                first, _ = runs(keys[order])
-                order = order[first]
-                part = (keys[order] % U64(n)).astype(np.int32)
+                raw = lower_ascii(data).tobytes()
+                keys = np.frombuffer(b"".join(hashlib.md5(raw[a:b]).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), U64).reshape(-1, 2)
+                order = np.lexsort((all_ids[i:j], keys[:, 1], keys[:, 0]))
+                order = order[np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1))]
+                part = (keys[order, 0] % U64(n)).astype(np.int32)
                 order = order[np.argsort(part, kind="stable")]
                 part = np.sort(part, kind="stable")
-                raw = data.tobytes()
                 rows = []
                 at, count = runs(part)
                 for a, c in zip(at.tolist(), count.tolist(), strict=True):

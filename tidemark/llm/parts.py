@@ -45,7 +45,7 @@ def doc_parts(docs: DataFrame, n: int) -> DataFrame:
             all_ids = ids_of(batch.column(0))
             texts = batch.column(1)
             _, offs = buffers(texts)
-            for i, j in slices(offs, 32 << 20):
+            for i, j in slices(offs, 16 << 20):
                 ids = all_ids[i:j]
                 part = (mix(ids.view(U64)) % U64(n)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
