@@ -36,6 +36,8 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     rows = (
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("lang").cast("string").alias("lang"), chance.alias("chance"), stretch.alias("stretch"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang", F.pmod("chance", F.lit(16))).orderBy("chance", "stretch")))
+        .where(F.col("place") <= STRETCHES)  # a common language is cut down in many tasks first
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "stretch")))
         .where(F.col("place") <= STRETCHES)
         .orderBy("lang", "place")
