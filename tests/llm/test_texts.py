@@ -87,6 +87,24 @@ def test_tiles_are_real_and_do_not_overlap(seed):
     assert len(seen_a) == 40 == greedy_coverage(item.tolist(), text.tolist(), 5)
 
 
+def test_tiles_keep_what_a_longer_tile_leaves():
+    parts = [[f"{i}{j}" if j else "The" for j in range(6)] for i in range(5)]
+    number = {w: n for n, w in enumerate(sorted({w for p in parts for w in p}), 1)}
+    item, text = (np.array([number[w] for i in order for w in parts[i]], np.uint64) for order in (range(5), (1, 0, 3, 2, 4)))
+    assert sum(t[2] for t in decontaminate.tile(item, text, 5)) == 29 == greedy_coverage(item.tolist(), text.tolist(), 5)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_of_moved_short_sentences_are_greedy(seed):
+    rng = random.Random(seed)
+    parts = [[rng.randint(1, 3)] + [10 * i + j for j in range(10, 10 + rng.randint(4, 8))] for i in range(1, 8)]
+    item = [w for p in parts for w in p]
+    rng.shuffle(parts)
+    text = [w for p in parts + parts[:2] for w in p]
+    tiles = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 5)
+    assert sum(t[2] for t in tiles) == greedy_coverage(item, text, 5)
+
+
 def test_contamination(spark):
     items = {10: [f"b{i}" for i in range(30)], 11: [f"c{i}" for i in range(40)], 12: ["a", "b", "c"]}
     fill = [f"f{i}" for i in range(500)]

@@ -10,6 +10,7 @@ passage whose sentences have been moved about is still found.
 from __future__ import annotations
 
 import math
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[tu
     item and text are arrays of word hashes; 0 matches nothing.  In each round running
     hashes of length s over unmarked words pair up equal stretches, which are extended as far
     as both stay equal and unmarked.  A match over twice s raises s; else the matches are
-    marked by falling length, and s is halved down to least.
+    marked by falling length, what is left of a match that a longer one overlaps among them,
+    and s is halved down to least.
     """
     free_item, free_text = item != 0, text != 0
     tiles: list[tuple[int, int, int]] = []
@@ -56,12 +58,20 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[tu
         if longest > 2 * s:
             s = longest
             continue
-        for length, a, b in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            while length >= s and not (free_item[a : a + length].all() and free_text[b : b + length].all()):
-                length -= 1  # what a longer tile has taken is cut off at the end
-            if length >= s:
-                free_item[a : a + length] = free_text[b : b + length] = False
-                tiles.append((a, b, length))
+        queue = [(-length, a, b) for length, a, b in found]
+        heapify(queue)
+        while queue:
+            length, a, b = heappop(queue)
+            free = free_item[a : a - length] & free_text[b : b - length]
+            if free.all():
+                free_item[a : a - length] = free_text[b : b - length] = False
+                tiles.append((a, b, -length))
+                continue
+            # What longer tiles have taken is cut out; each stretch left waits for its turn by its own length.
+            edge = np.flatnonzero(np.diff(free, prepend=False, append=False)).tolist()
+            for i, j in zip(edge[0::2], edge[1::2], strict=True):
+                if j - i >= s:
+                    heappush(queue, (i - j, a + i, b + i))
         if s == least:
             break
         s = max(least, s // 2)
