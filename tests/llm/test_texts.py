@@ -179,6 +179,18 @@ def test_reputation_shrinks_and_blocks(spark):
     assert url_filter.judge(pages.limit(0).select("page_id", "url"), pages.select("page_id", "bad"), []).count() == 0
 
 
+def test_hosts_without_labels_have_their_domains_bound(spark):
+    rows = [("a.evil.org", 1)] * 200 + [(f"h{i}.y{i}.org", 0) for i in range(200)] + [("a.fine.bad", 1)] * 30 + [("b.evil.org", None), ("new.z.org", None), ("c.new.bad", None), ("x.unseen", None)]
+    pages = spark.createDataFrame([(i, f"http://{h}/", b) for i, (h, b) in enumerate(rows)], "page_id long, url string, bad int")
+    outcomes = pages.where("bad is not null").select("page_id", "bad")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(pages.select("page_id", "url"), outcomes, []).collect()}
+    assert got["a.evil.org"] == got["b.evil.org"] == "block" and got["new.z.org"] == got["h1.y1.org"] == "allow"
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), "bad")
+    by = {r["host"]: r for r in url_filter.reputations(hosts, hosts).collect()}
+    assert by["b.evil.org"]["n"] == 0 and by["b.evil.org"]["mean"] > 0.9 and by["c.new.bad"]["mean"] > by["x.unseen"]["mean"]
+    assert by["x.unseen"]["mean"] == pytest.approx(230 / 430) and by["c.new.bad"]["lower"] <= by["c.new.bad"]["mean"]
+
+
 PII_TEXTS = ["a@b.c%d@e.f x@y.com. 1.2.3.4.5 12.34.56.78.90", "card 4111 1111 1111 1111, 4111-1111-1111-1112", "😀 foo@bar.baz 0001.02.3.4 999.1.1.1", "+1 (23) 456-7890. +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "1 2 3 4 4 5 5 6 7 8 9 0 1 2 3 4 5", "x" * 5000 + "@" + "y" * 300 + ".z", "9" * 3000, "a@b", ".".join("1" * 40), "a.b@c-.-d..e@f.g"]
 
 

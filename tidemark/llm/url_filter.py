@@ -38,20 +38,26 @@ def levels(host: Column) -> tuple[Column, Column]:
 
 def strength(groups: DataFrame) -> DataFrame:
     """One row (prior_n): the prior's strength, from groups of (n, bad), by the moments of a beta-binomial."""
-    sums = groups.agg(F.sum("n").alias("N"), F.sum("bad").alias("X"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("Q"), F.count("*").alias("G"))
+    sums = groups.where("n > 0").agg(F.sum("n").alias("N"), F.sum("bad").alias("X"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("Q"), F.count("*").alias("G"))
     rate = F.col("X") / F.col("N")
     spread = F.try_divide(F.round(F.col("Q"), 9) - F.col("X") * rate, rate * (1 - rate)) - (F.col("G") - 1)
     share = F.try_divide(spread, F.col("N") - F.col("N2") / F.col("N") - (F.col("G") - 1))
     return sums.select(F.when(share > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / share - 1))).otherwise(F.lit(STRONGEST)).alias("prior_n"), rate.alias("rate"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Rows (host, n, bad, mean, lower) from rows (host, bad 0/1): each host's posterior mean and lower bound.
 
-    Rows without a host or an outcome are left out.  With no outcomes at all there are no rows.
+    others (host) are hosts to judge too, with outcomes or without: n and bad are 0 without, and the posterior is the prior
+    of the domain, which without outcomes is the suffix's, and that one's the rate of all.
+    Rows without a host or an outcome are left out.  With no outcomes at all mean and lower are null.
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain, "suffix": suffix})
+    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    if others is not None:
+        bare = others.where("host is not null").select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
+        hosts = hosts.unionByName(bare).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = (F.col("bad") + F.col("prior_n") * F.col("above")) / (F.col("n") + F.col("prior_n"))
@@ -77,12 +83,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
 
     pages has page_id and url; outcomes has page_id and bad (0 or 1, null unknown), any
     number for a page.  A null url, or one without ``://``, has an empty host and path and
-    is judged as the host of that name.  A host without labelled pages is allowed: its
-    posterior is a prior, which blocks nobody.  Repeated rows each give a row.
+    is judged as the host of that name.  A host without labelled pages is judged by the bound of
+    its prior: its domain's rate, else its suffix's, else that of all pages.  Without any
+    outcome every host is allowed.  Repeated rows each give a row.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("int").alias("bad"))
-    scored = reputations(urls.select("page_id", "host").join(known, "page_id").select("host", "bad")).select("host", "lower")
+    scored = reputations(urls.select("page_id", "host").join(known, "page_id").select("host", "bad"), urls.select("host")).select("host", "lower")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("lower") >= BLOCK_RATE, F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(scored, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
