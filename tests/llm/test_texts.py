@@ -214,6 +214,28 @@ def test_contexts_find_what_the_expressions_miss(spark):
     assert text[50] == "kontakt: <email> end" and text[51] == rows[-1][1] and text[3] == "hello kontakt: <email> bye"
 
 
+def test_contexts_find_numbers_in_groups(spark):
+    def card(i):
+        d = f"411111111111{i:03d}"
+        return d + next(c for c in "0123456789" if brute.luhn(d + c))
+
+    numbers = ["(555) 123-4567", "030 1234 5678", "030.1234 567"]
+    rows = [(i, f"ring +4930{i:07d} now") for i in range(40)] + [(100 + i, f"number: {card(i)} ok") for i in range(40)]
+    rows += [(200 + i, f"ring {n} now") for i, n in enumerate(numbers)] + [(210, "number: 1234 5678 9012 3456 ok"), (211, "ring 030 1234 5678 9.8.7.6 now"), (212, "other 030 1234 5678 now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(brute.docs(spark, rows)).collect()}
+    assert [got[200 + i] for i in range(3)] == [f"phone:5:{5 + len(n)}" for n in numbers]
+    assert got[210] == "card:8:27" and got[211] == "ip:19:26,phone:5:18" and got[212] == ""
+    text = {r["doc_id"]: r["text"] for r in pii.redact(brute.docs(spark, rows)).collect()}
+    assert text[200] == "ring <phone> now" and text[210] == "number: <card> ok"
+
+
+def test_believed_values_support_further_patterns(spark):
+    rows = [(i, f"kontakt: user{i}@mail{i}.org bye") for i in range(80)]
+    rows += [(100 + i, f"kontakt: hidden{i}@localhost end") for i in range(5)] + [(200 + i, f"write hidden{i}@localhost end") for i in range(5)] + [(300, "about hidden1@localhost end")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(brute.docs(spark, rows)).collect()}
+    assert got[100] == "email:9:26" and [got[200 + i] for i in range(5)] == ["email:6:23"] * 5 and got[300] == ""
+
+
 def test_shards(spark, tmp_path):
     rows = [(i, f"text {i}") for i in range(200)] + [(None, None), (7, "text 7")]
     store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=6000, first_tier_bytes=500, fan_in=3)

@@ -3,8 +3,8 @@
 Regular expressions find the base entities.  These seed a graph between lexical patterns
 (the word in front, with the kind) and instances (the values that follow it).  In turns, a
 pattern's confidence is the share of its instances that are believed, and an instance that
-is not a base entity is believed by how sure its patterns make it.  Patterns of enough
-support and confidence mark further values of a plausible form wherever they follow them.
+is not a base entity is believed by how sure its patterns make it; what is believed supports
+further patterns in the next turn.  Patterns of enough support and confidence mark further values of a plausible form wherever they follow them.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9][\\x20-]?[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 #: Words with a digit or an at sign, which may be identifiers.
 _WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Groups of digits, 7 to 19 in all, joined by single spaces, dots, dashes or brackets; as many whole groups as fit.
+_RUN = r"(?<![^\x20\x09-\x0D])[(+]?[0-9](?:(?:[ .()-]|\) | \(|\)-)?[0-9]){6,18}(?![0-9\p{L}@])"
 #: Forms that an unseen identifier of a kind may have.
 FORMS = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]+([.:][0-9]+){3,}$", "card": r"^([0-9][ -]?){13,19}$", "phone": r"^[(+]?[0-9][0-9().-]{6,18}$"}
 SUPPORT, CONFIDENCE, TURNS = 5, 0.9, 2
@@ -73,6 +75,15 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def fits(kind: str, value: Column) -> Column:
+    """Whether a value has the form of a kind, spaces between its groups left out."""
+    return F.replace(value, F.lit(" "), F.lit("")).rlike(FORMS[kind])
+
+
+def fits_kind(kind: Column, value: Column) -> Column:
+    return reduce(lambda c, i: c | ((kind == i) & fits(KINDS[i], value)), range(len(KINDS)), F.lit(False))
+
+
 def _valid_span(kind: str, span: Column) -> Column:
     return valid(kind, span["value"])
 
@@ -91,7 +102,11 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Words that may be identifiers and do not touch a base span, what is neither letter nor digit cut off at both ends, as occurrences of kind -1."""
+    """What may be an identifier and does not touch a base span, as occurrences of kind -1.
+
+    Groups of digits with spaces between that have a form as a whole, and words outside these,
+    what is neither letter nor digit cut off at both ends.
+    """
 
     def trim(s: Column) -> Column:
         lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}0-9(+]+", ""))
@@ -99,8 +114,14 @@ def candidates(text: Column, base: Column) -> Column:
         return F.struct(s["kind"].alias("kind"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(core)).alias("end"), core.alias("value"))
 
     words = F.transform(occurrences(text, _WORD, -1), trim)
-    free = F.filter(words, lambda s: (F.length(s["value"]) > 3) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(text.rlike("[0-9@]"), free).otherwise(F.array().cast(SPAN))
+    # Base spans are blanked, so that a run ends in front of them.
+    masked = F.aggregate(base, text, lambda t, b: F.overlay(t, F.repeat(F.lit("\x01"), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"]))
+    formed = lambda s: s["value"].contains(" ") & reduce(lambda c, k: c | fits(k, s["value"]), KINDS, F.lit(False))
+    runs = F.when(text.rlike(r"[0-9]\)?[ ]\(?[0-9]"), F.filter(occurrences(masked, _RUN, -1), formed)).otherwise(F.array().cast(SPAN))
+    apart = lambda s, others: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    free = F.filter(words, lambda s: (F.length(s["value"]) > 3) & apart(s, base))
+    joined = F.aggregate(F.array(runs), free, lambda ws, rs: F.concat(F.filter(ws, lambda s: apart(s, rs)), rs))  # runs are found once
+    return F.when(text.rlike("[0-9@]"), joined).otherwise(F.array().cast(SPAN))
 
 
 def in_context(text: Column, spans: Column) -> Column:
@@ -122,23 +143,25 @@ def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     pairs = found.select(F.explode(F.concat("base", "maybe")).alias("s")).where("s.front <> ''").groupBy("s.front", "s.value").agg(F.max("s.kind").alias("seed"))
     pairs = checkpointed(pairs)
     total = pairs.groupBy("front").agg(F.count("*").alias("instances"))
-    seeded = pairs.where("seed >= 0").groupBy("front", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    edges = checkpointed(seeded.join(total, "front").join(pairs, "front").select("front", "kind", "value", "seed", "instances"))
-    belief = edges.select("value", "kind", (F.col("seed") == F.col("kind")).cast("double").alias("sure")).groupBy("value", "kind").agg(F.max("sure").alias("sure"))
-    patterns = None
+    seeds = pairs.where("seed >= 0").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("sure")).distinct()
+    belief, patterns = seeds, None
     for _ in range(turns):
+        known = belief.where(F.col("sure") >= confidence).select("value", "kind")
+        backed = pairs.join(known, "value").where((F.col("seed") == F.col("kind")) | ((F.col("seed") < 0) & fits_kind(F.col("kind"), F.col("value"))))
+        backed = backed.groupBy("front", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        edges = checkpointed(backed.join(total, "front").join(pairs, "front").select("front", "kind", "value", "seed", "instances"))
         patterns = edges.join(belief, ["value", "kind"]).groupBy("front", "kind").agg((F.sum("sure") / F.max("instances")).alias("share"))
         told = edges.join(patterns, ["front", "kind"]).groupBy("value", "kind").agg(F.max((F.col("seed") == F.col("kind")).cast("double")).alias("own"), F.max((F.col("seed") >= 0) & (F.col("seed") != F.col("kind"))).alias("other"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("heard"))
-        belief = checkpointed(told.select("value", "kind", F.when(F.col("own") > 0, 1.0).when(F.col("other"), 0.0).otherwise(F.col("heard")).alias("sure")))
+        told = told.select("value", "kind", F.when(F.col("own") > 0, 1.0).when(F.col("other"), 0.0).otherwise(F.col("heard")).alias("sure"))
+        belief = checkpointed(told.unionByName(seeds).groupBy("value", "kind").agg(F.max("sure").alias("sure")))
     best = patterns.where(F.col("share") >= confidence).groupBy("front").agg(F.max_by("kind", F.struct("share", -F.col("kind"))).alias("kind"))
     return checkpointed(best)
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows (doc_id, mark, kind, start, end) of unseen identifiers that believed patterns mark."""
-    form = reduce(lambda c, i: c | ((F.col("kind") == i) & F.col("value").rlike(FORMS[KINDS[i]])), range(len(KINDS)), F.lit(False))
     rows = found.select("doc_id", "mark", F.explode("maybe").alias("s")).select("doc_id", "mark", F.col("s.front").alias("front"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    return rows.join(patterns, "front").where(form).select("doc_id", "mark", "kind", "start", "end").distinct()
+    return rows.join(patterns, "front").where(fits_kind(F.col("kind"), F.col("value"))).select("doc_id", "mark", "kind", "start", "end").distinct()
 
 
 def texts_of(spans: Column) -> Column:
