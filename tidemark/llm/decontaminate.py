@@ -10,6 +10,8 @@ passage whose sentences have been moved about is still found.
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,11 +29,47 @@ _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+#: Scripts written without spaces between words, by the first words of their characters' names.
+_UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "HALFWIDTH KATAKANA ", "BOPOMOFO ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ", "NUSHU ", "TANGUT ", "YI ")
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Class of each code point: 0 part of a word, 1 between words (spaces and punctuation), 2 a word of its own (unspaced scripts and symbols)."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in [*range(128, 0x32400), *range(0xE0000, 0xE0200)]:
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PZ" or kind in ("Cc", "Sk") or c == 0x200B:
+            out[c] = 1
+        elif kind[0] == "S" or unicodedata.name(chr(c), "").startswith(_UNSPACED):
+            out[c] = 2
+    return out
+
+
 def word_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (runs of letters, digits and non-ASCII characters), and the n+1 offsets of the texts."""
+    """Hashes of the lower-cased words, and the n+1 offsets of the texts.
+
+    Words are runs of letters, digits and other non-ASCII characters that are no space or
+    punctuation; each character of a script without spaces, and each non-ASCII symbol, is one.
+    """
     data, offs = buffers(pc.utf8_lower(as_array(texts).cast(pa.large_string())), " ")
-    edge = np.flatnonzero(np.diff(_BREAK[data], prepend=True))
-    starts, ends = edge[0::2], edge[1::2]
+    word = ~_BREAK[data]
+    cut = np.zeros(len(data) + 1, bool)
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0xFF >> (size + 1))
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+    kind = _classes()[code]
+    for k in range(4):
+        gap = (kind == 1) & (size > k)
+        word[lead[gap] + k] = False
+    own = kind == 2
+    cut[lead[own]] = cut[lead[own] + size[own]] = True
+    before = np.concatenate([[False], word])
+    after = np.append(word, False)
+    starts, ends = np.flatnonzero(after & (~before | cut)), np.flatnonzero(before & (~after | cut))
     return range_hash(prefix_sums(_BYTE[data]), starts, ends), np.searchsorted(starts, offs)
 
 
@@ -109,12 +147,17 @@ def matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text
 class Index:
     """Seeds of the benchmark items of one pass."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed_words: int):
+    def __init__(self, rows: list[tuple[int, str]], seed_words: int, short_items: bool = False):
         self.k = seed_words
         words, offs = word_arrays(pa.array([t for _, t in rows], pa.string()))
         self.items = [(i, words[a:b]) for (i, _), a, b in zip(rows, offs[:-1], offs[1:], strict=True)]
         at = windows(len(words), offs, seed_words)
-        seeds = range_hash(prefix_sums(words), at, at + seed_words)
+        size = np.full(len(at), seed_words)
+        if short_items:  # the whole of an item is its seed
+            short = np.flatnonzero((np.diff(offs) > 0) & (np.diff(offs) < seed_words))
+            at, size = np.concatenate([at, offs[:-1][short]]), np.concatenate([size, np.diff(offs)[short]])
+        self.sizes = np.unique(size).tolist()
+        seeds = range_hash(prefix_sums(words), at, at + size)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner = seeds[order], (np.searchsorted(offs, at, "right") - 1)[order]
         self.bits = max(16, int(len(seeds) * 16).bit_length())
@@ -124,32 +167,35 @@ class Index:
     def contaminated(self, texts: pa.Array, threshold: float):
         """(text, item id, words covered, words of the item, tiles) for each pair of a text and an item that it covers to the threshold."""
         words, offs = word_arrays(texts)
-        at = windows(len(words), offs, self.k)
-        keys = range_hash(prefix_sums(words), at, at + self.k)
-        maybe = np.flatnonzero(self.table[keys >> U64(64 - self.bits)])
-        lo, hi = np.searchsorted(self.seeds, keys[maybe], "left"), np.searchsorted(self.seeds, keys[maybe], "right")
-        hit = lo < hi
-        at, lo, hi = at[maybe[hit]], lo[hit], hi[hit]
+        sums, hits = prefix_sums(words), [np.zeros((4, 0), np.int64)]
+        for k in self.sizes:
+            at = windows(len(words), offs, k)
+            keys = range_hash(sums, at, at + k)
+            maybe = np.flatnonzero(self.table[keys >> U64(64 - self.bits)])
+            lo, hi = np.searchsorted(self.seeds, keys[maybe], "left"), np.searchsorted(self.seeds, keys[maybe], "right")
+            hit = lo < hi
+            hits.append(np.stack([at[maybe[hit]], lo[hit], hi[hit], np.full(hit.sum(), k)]))
+        at, lo, hi, size = (h := np.concatenate(hits, axis=1))[:, np.argsort(h[0], kind="stable")]
         doc = np.searchsorted(offs, at, "right") - 1
         for d in np.unique(doc).tolist():
             mine = slice(*np.searchsorted(doc, [d, d + 1]))
             # Only words under a seed can be in a tile; others, and what lies between stretches, become a break.
             covered = np.zeros(int(offs[d + 1] - offs[d]) + 1, np.int64)
             np.add.at(covered, at[mine] - offs[d], 1)
-            np.add.at(covered, at[mine] - offs[d] + self.k, -1)
+            np.add.at(covered, at[mine] - offs[d] + size[mine], -1)
             covered = np.cumsum(covered)[:-1] > 0
             keep = covered | np.concatenate([[False], covered[:-1]])
             text = np.where(covered, words[offs[d] : offs[d + 1]], U64(0))[keep]
             place = np.flatnonzero(keep)
             for o in sorted({o for i, j in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True) for o in self.owner[i:j].tolist()}):
                 item_id, item = self.items[o]
-                tiles = tile(item, text, self.k)
+                tiles = tile(item, text, min(self.k, len(item)))
                 n = sum(t[2] for t in tiles)
                 if n >= threshold * len(item):
                     yield d, item_id, n, len(item), [(a, int(place[b]), m) for a, b, m in tiles]
 
 
-def passes(benchmark: DataFrame, seed_words: int) -> list:
+def passes(benchmark: DataFrame, seed_words: int, short_items: bool = False) -> list:
     """Broadcast indexes, each over at most about PASS_BYTES of benchmark text (an item longer than that has a pass of its own)."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -157,21 +203,22 @@ def passes(benchmark: DataFrame, seed_words: int) -> list:
     out = []
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], seed_words)))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], seed_words, short_items)))
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, short_items: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, n_covered, n_item, coverage, tiles) for each contaminated pair.
 
     tiles is an array of (item_start, doc_start, n_words) in words.  Whole texts are read.
-    Null or empty texts match nothing, nor do items of fewer words than a seed has; items
+    Null or empty texts match nothing, nor do items of fewer words than a seed has unless
+    short_items is set, which finds these wherever all their words follow one another; items
     without an id are left out.  Repeated rows each give their pairs; a null doc_id stays null.
     The documents are not shuffled: each pass looks them up in a broadcast index of at most
     PASS_BYTES of benchmark text.
     """
     out = None
-    for shared in passes(benchmark, seed_words):
+    for shared in passes(benchmark, seed_words, short_items):
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -188,10 +235,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, short_items: bool = False) -> DataFrame:
     """The documents that no item contaminates, all columns as they were."""
     at = docs.columns.index("text")
-    for shared in passes(benchmark, seed_words):
+    for shared in passes(benchmark, seed_words, short_items):
 
         def run(batches, shared=shared):
             for batch in batches:
