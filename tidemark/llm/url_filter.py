@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 BLOCK_RATE, DEVIATIONS = 0.5, 1.645
 #: Bounds of a prior's strength in pages.
 WEAKEST, STRONGEST = 1.0, 1_000_000.0
+#: Suffixes of several labels under which anyone registers names; give a whole public-suffix list for more.  Some 10,000 rules at most.
+SUFFIXES = [f"{second}.{top}" for top, seconds in {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt net org school", "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or re",
+    "br": "com edu gov net org", "cn": "ac com edu gov net org", "hk": "com edu gov net org", "tw": "com edu gov idv net org", "in": "ac co edu firm gen gov ind net org", "id": "ac co go or web",
+    "za": "ac co gov net org web", "il": "ac co gov net org", "tr": "com edu gen gov net org", "mx": "com edu gob net org", "ar": "com edu gob net org", "co": "com edu gov net org", "pl": "com edu gov net org",
+    "ua": "com edu gov net org", "sg": "com edu gov net org", "my": "com edu gov net org", "ph": "com edu gov net org", "th": "ac co go in or", "vn": "com edu gov net org", "ng": "com edu gov net org", "ke": "ac co go or",
+    "io": "github gitlab", "com": "appspot blogspot herokuapp myshopify wixsite", "dev": "pages web workers", "app": "netlify vercel web", "net": "azurewebsites cloudfront",
+}.items() for second in seconds.split()]
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,11 +37,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label), a port left out."""
+def levels(host: Column, suffixes: list[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix, a port left out.
+
+    The suffix is the longest of suffixes that ends the host, else the last label; the domain
+    has one label more.  ``*.x`` stands for x with any label in front, ``!y.x`` takes y.x out
+    of it.  An address is its own domain, and addresses are one suffix.
+    """
     bare = F.regexp_replace(host, ":[0-9]*$", "")
     two = F.regexp_extract(bare, "([^.]+[.][^.]+)$", 1)
-    return F.when(two == "", bare).otherwise(two), F.regexp_extract(bare, "([^.]*)$", 1)
+    domain, suffix = F.when(two == "", bare).otherwise(two), F.regexp_extract(bare, "([^.]*)$", 1)
+    tail = lambda n: F.substring_index(bare, ".", -n)
+    plain, wild, out = ([r for r in suffixes if r[0] not in "*!"], [r[2:] for r in suffixes if r[0] == "*"], [r[1:] for r in suffixes if r[0] == "!"])
+    for n in range(2, max((r.count(".") + 1 for r in suffixes), default=1) + 1):
+        # A host of fewer labels is its own tail at every n; a rule has exactly n.
+        exact = F.size(F.split(bare, "[.]")) >= n
+        fits = exact & (tail(n).isin(plain) | (tail(n - 1).isin(wild) & ~tail(n).isin(out)))
+        domain, suffix = F.when(fits, tail(n + 1)).otherwise(domain), F.when(fits, tail(n)).otherwise(suffix)
+    for n in sorted({r.count(".") + 1 for r in out}):  # these go before all others
+        named = tail(n).isin([r for r in out if r.count(".") + 1 == n])
+        domain, suffix = F.when(named, tail(n)).otherwise(domain), F.when(named, tail(n - 1)).otherwise(suffix)
+    address = bare.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$") | bare.startswith("[")
+    return F.when(address, bare).otherwise(domain), F.when(address, F.lit("[address]")).otherwise(suffix)
 
 
 def strength(groups: DataFrame) -> DataFrame:
@@ -45,14 +70,14 @@ def strength(groups: DataFrame) -> DataFrame:
     return sums.select(F.when(share > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / share - 1))).otherwise(F.lit(STRONGEST)).alias("prior_n"), rate.alias("rate"))
 
 
-def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def reputations(outcomes: DataFrame, others: DataFrame | None = None, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """Rows (host, n, bad, mean, lower) from rows (host, bad 0/1): each host's posterior mean and lower bound.
 
     others (host) are hosts to judge too, with outcomes or without: n and bad are 0 without, and the posterior is the prior
     of the domain, which without outcomes is the suffix's, and that one's the rate of all.
     Rows without a host or an outcome are left out.  With no outcomes at all mean and lower are null.
     """
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
     hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     if others is not None:
         bare = others.where("host is not null").select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
@@ -78,7 +103,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return text, verdict
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], suffixes: list[str] = SUFFIXES) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict) for every page.
 
     pages has page_id and url; outcomes has page_id and bad (0 or 1, null unknown), any
@@ -89,7 +114,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("int").alias("bad"))
-    scored = reputations(urls.select("page_id", "host").join(known, "page_id").select("host", "bad"), urls.select("host")).select("host", "lower")
+    scored = reputations(urls.select("page_id", "host").join(known, "page_id").select("host", "bad"), urls.select("host"), suffixes).select("host", "lower")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("lower") >= BLOCK_RATE, F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(scored, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
