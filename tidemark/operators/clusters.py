@@ -87,7 +87,17 @@ def fold(shard: Shard, rows: pd.DataFrame, c: ClusterConfig) -> pd.DataFrame:
 def cluster(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
     """Rows (shard, doc_id, cluster_id, similarity, novelty); docs: shard, doc_id, seq, at (timestamp), embedding, names.  A cluster is named by its first document."""
     rows = docs.select(F.col("shard").cast("string"), F.col("doc_id").cast("string"), "seq", (F.unix_micros("at") / 1e6).alias("at"), "embedding", "names")
-    return rows.groupBy("shard").applyInPandas(lambda pdf: fold(Shard(), pdf, config), OUT)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, last = None, None
+        for batch in batches:
+            for _, part in batch.groupby("shard", sort=False, dropna=False):
+                if shard is None or part["shard"].iloc[0] != last:
+                    shard, last = Shard(), part["shard"].iloc[0]
+                yield fold(shard, part, config)
+
+    # Spark sorts, on disk where need be; a task holds one batch of rows and the live clusters of one shard.
+    return rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("at"), F.asc_nulls_last("seq")).mapInPandas(run, OUT)
 
 
 def cluster_stream(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
