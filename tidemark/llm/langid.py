@@ -30,7 +30,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Stretches of labelled text for each language, from documents chosen and places set by hashes.  Bounded by the constants above."""
+    """Stretches of labelled text for each language, from documents chosen and places set by hashes.  Bounded by the constants above; more languages than fit are an error."""
     chance = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
     stretch = F.substring(F.col("text"), (1 + F.pmod(F.shiftright(chance, 8), F.greatest(F.length("text") - STRETCH_CHARS, F.lit(1)))).cast("int"), F.lit(STRETCH_CHARS))
     rows = (
@@ -41,9 +41,11 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "stretch")))
         .where(F.col("place") <= STRETCHES)
         .orderBy("lang", "place")
-        .limit(STRETCHES * LANGUAGES)
+        .limit(STRETCHES * LANGUAGES + 1)
         .collect()
     )
+    if len(rows) > STRETCHES * LANGUAGES:
+        raise ValueError(f"more labelled languages than the {LANGUAGES} that a sample holds")
     found: dict[str, list[str]] = {}
     for r in rows:
         found.setdefault(r["lang"], []).append(r["stretch"])
