@@ -8,7 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute
-from tidemark.llm import ngram_join, suffixes, word_windows
+from tidemark.llm import decontaminate, kernels, ngram_join, parts, suffixes, word_windows
+
+
+@pytest.fixture(autouse=True)
+def several_parts(monkeypatch):
+    monkeypatch.setattr(parts, "PART_BYTES", 4000)
 
 
 def corpus(seed, n=60):
@@ -110,3 +115,62 @@ def test_deep_shallow_order(strings):
 def test_blind_trie(strings):
     strings = [s.encode() for s in strings]
     assert [strings[i] for i in suffixes.blind_order(strings)] == sorted(strings)
+
+
+def morse(bits):
+    """A Thue-Morse word of 2**bits letters and its complement: the same to a polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_words_that_collide_under_polynomials(spark, bits):
+    one, two = morse(bits)
+    ends = np.array([len(one), 2 * len(one) + 1])
+    for seed in (0, 1):
+        a, b = kernels.word_hashes(np.frombuffer(f"{one} {two} ".encode(), np.uint8), ends - len(one), ends, seed)
+        assert a != b
+    front = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{front} {one}"), (2, f"{front} {two}"), (3, f"{one} x y z v"), (4, f"{two} x y z v")]
+    same(word_windows.remove_repeats(brute.docs(spark, rows)), brute.word_dedup(rows, 20))
+    same(ngram_join.jaccard_components(brute.docs(spark, rows)), brute.jaccard(rows))
+    bench = spark.createDataFrame([(1, f"{one} a b c d e f")], "item_id long, text string")
+    found = decontaminate.contamination(brute.docs(spark, [(1, f"{one} a b c d"), (2, f"{two} a b c d"), (3, f"{one} a b c d e f")]), bench, threshold=0.5)
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]
+
+
+def test_windows_hash_alike_wherever_they_stand():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 4, 400).astype(np.uint64)
+    for length in (1, 2, 3, 5, 7, 10, 20):
+        seen = {}
+        for i, h in enumerate(kernels.window_hashes(words, length).tolist()):
+            assert seen.setdefault(tuple(words[i : i + length].tolist()), h) == h
+        assert len(set(seen.values())) == len(seen) and i == 400 - length
+    keys = rng.integers(0, 9, 300).astype(np.uint64) << np.uint64(40)
+    want = [i + int(np.argmin(keys[i : i + 7])) for i in range(294)]
+    assert kernels.leftmost_least(keys, 7, chunk=50).tolist() == want
+
+
+def test_a_gram_with_ever_different_neighbours_is_split(spark, monkeypatch):
+    rng = random.Random(3)
+    gram = "the same line of 32 bytes here, "
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, noise(90) + gram + noise(90)) for i in range(60)] + [(100 + i, rows_text) for i, rows_text in enumerate([noise(90) + gram + noise(90)] * 3)]
+    data, offs = np.frombuffer("".join(t for _, t in rows[:60]).encode(), np.uint8), np.cumsum([0] + [len(t) for _, t in rows[:60]])
+    _, near, far, keys, looks = suffixes.anchors(data, offs, 100, 32)
+    assert suffixes.key_counts(keys, near, far, looks)[1].max() < 4  # no key for all of them
+    same(suffixes.remove_repeats(brute.docs(spark, rows)), brute.byte_dedup(rows, 100))
+    long = noise(80)
+    rows += [(200 + i, noise(90) + long + noise(90)) for i in range(40)] + [(300 + i, rows[70 % len(rows)][1]) for i in range(4)]
+    monkeypatch.setattr(suffixes, "SPLIT", 4)
+    monkeypatch.setattr(parts, "PART_BYTES", 1 << 20)
+    same(suffixes.remove_repeats(brute.docs(spark, rows)), brute.byte_dedup(rows, 100))
+
+
+def test_rows_without_id_are_dealt_by_text(spark):
+    rows = [(None, f"text {i} " * 20) for i in range(100)]
+    dealt = parts.doc_parts(brute.docs(spark, rows), 8).groupBy("part").count().collect()
+    assert len(dealt) == 8

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.kernels import U64, _BYTE, as_array, buffers, ids_of, prefix_sums, range_hash, slices, windows
+from tidemark.llm.kernels import U64, as_array, buffers, prefix_sums, range_hash, slices, windows, word_hashes
 
 SEED_WORDS, THRESHOLD = 5, 0.8
 #: Benchmark text that one pass holds in memory; more text is more passes.
@@ -70,7 +70,7 @@ def word_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[False], word])
     after = np.append(word, False)
     starts, ends = np.flatnonzero(after & (~before | cut)), np.flatnonzero(before & (~after | cut))
-    return range_hash(prefix_sums(_BYTE[data]), starts, ends), np.searchsorted(starts, offs)
+    return word_hashes(data, starts, ends), np.searchsorted(starts, offs)
 
 
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:

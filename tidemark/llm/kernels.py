@@ -27,7 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 with np.errstate(over="ignore"):
-    _BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
+    # A random number for each byte; low bytes differ, so that no difference is a multiple of a large power of two.
+    _BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD) >> U64(8) << U64(8) | np.arange(256, dtype=U64)
+_PLACES: dict[int, np.ndarray] = {}
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -105,8 +107,63 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_sums(_BYTE[data]), starts, ends)
+def places(n: int, seed: int) -> np.ndarray:
+    """A random odd number for each place in a word, by seed."""
+    if len(_PLACES.get(seed, ())) < n:
+        with np.errstate(over="ignore"):
+            _PLACES[seed] = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=U64) * _GOLD + mix(U64(seed + 1))) | U64(1)
+    return _PLACES[seed]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each word: bytes times random numbers for their places, summed.  Words must not overlap.
+
+    Unlike a polynomial's, the factors follow no rule, so no family of words collides; seeds give independent hashes.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    shift = np.repeat(starts - first, size)
+    index = np.arange(len(shift))
+    index += shift  # the bytes of words
+    place = index - np.repeat(starts, size)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(_BYTE[data[index]] * places(int(size.max()), seed)[place], first) + size.astype(U64) * _GOLD)
+
+
+def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all windows of so many words, from the hashes of windows half as long."""
+    out, done, block, size = None, 0, hashes, 1
+    with np.errstate(over="ignore"):
+        n = max(0, len(hashes) - length + 1)
+        while size <= length:
+            if length & size:
+                tail = block[done : done + n]
+                out = tail if out is None else mix(mix(out ^ _BASE) + tail)
+                done += size
+            if size * 2 <= length:
+                block = mix(mix(block[: len(block) - size] ^ _BASE) + block[size:])
+            size *= 2
+        return mix(out + U64(length) * _GOLD)
+
+
+def leftmost_least(keys: np.ndarray, span: int, chunk: int = 1 << 19) -> np.ndarray:
+    """Place of the least of each run of span keys, the leftmost of several.  Keys are compared by their leading 44 bits, everywhere alike."""
+    n = max(0, len(keys) - span + 1)
+    out = np.empty(n, np.int64)
+    if not chunk + span <= 1 << 20:
+        raise ValueError("span too long")
+    for a in range(0, n, chunk):
+        part = keys[a : min(a + chunk, n) + span - 1]
+        low, reach = part >> U64(20) << U64(20) | np.arange(len(part), dtype=U64), 1
+        while reach * 2 <= span:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if span > reach:
+            low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+        out[a : a + chunk] = (low & U64((1 << 20) - 1)).astype(np.int64) + a
+    return out
 
 
 def windows(n_words: int, word_offs: np.ndarray, length: int) -> np.ndarray:
@@ -120,14 +177,17 @@ def windows(n_words: int, word_offs: np.ndarray, length: int) -> np.ndarray:
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each padded text, and their n+1 offsets.  A text with fewer than k words gives its whole sequence."""
     starts, ends, wo = words(data, offs)
-    sums = prefix_sums(word_hashes(data, starts, ends))
+    hashes = word_hashes(data, starts, ends)
     at = windows(len(starts), wo, k)
+    keys, first = [window_hashes(hashes, k)[at]] if len(at) else [np.zeros(0, U64)], [at]
     count = np.diff(wo)
-    short = np.flatnonzero((count > 0) & (count < k))
-    first = np.concatenate([at, wo[:-1][short]])
-    last = np.concatenate([at + k, wo[1:][short]])
+    for size in range(1, k):
+        short = wo[:-1][count == size]
+        if len(short):
+            keys.append(window_hashes(hashes, size)[short])
+            first.append(short)
+    keys, first = np.concatenate(keys), np.concatenate(first)
     doc = np.searchsorted(wo, first, "right") - 1
-    keys = range_hash(sums, first, last)
     order = np.lexsort((keys, doc))
     keys, doc = keys[order], doc[order]
     new = np.ones(len(keys), bool)

@@ -98,7 +98,7 @@ _UNIT_SCHEMA = "name string, id long, n long, keys binary, prefix array<long>, l
 
 def units(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """_UNIT_SCHEMA rows for all distinct texts; keys (shared shingles, sorted), prefix (the rarest) and low (the smallest under two orders) only where a partner is possible."""
-    n = number_of_parts(docs.sparkSession)
+    n = number_of_parts(docs)
     parts = text_parts(docs, n)
 
     def count(table: pa.Table) -> pa.Table:

@@ -1,8 +1,8 @@
-"""Documents dealt into parts by a hash of their id, and key exchanges between parts.
+"""Documents dealt into parts by a hash of id and text, and key exchanges between parts.
 
-A *part* holds a bounded share of the documents: the number of parts follows
-``spark.sql.shuffle.partitions``, which grows with the input, so that every part
-fits in a task.  Texts travel compressed.  Keys (hashes of windows or shingles) are
+A *part* holds a bounded share of the documents: texts are measured first, and the
+number of parts follows from their bytes, so that every part fits in a task whatever
+the settings.  Texts travel compressed.  Keys (hashes of windows or shingles) are
 dealt by their leading bits into as many parts; one sorted array for each pair of
 parts travels instead of a row for each key.  Equal keys of one part travel once,
 so a very frequent key costs a part one entry, not one for each occurrence.
@@ -10,18 +10,24 @@ so a very frequent key costs a part one entry, not one for each occurrence.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.kernels import U64, as_array, buffers, ids_of, mix, runs, slices
 
-PARTS_PER_PARTITION = 2
+#: Bytes of text in a part, about; a longer text has a part to itself.
+PART_BYTES = 8 << 20
 
 
-def number_of_parts(spark: SparkSession) -> int:
-    return PARTS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def number_of_parts(docs: DataFrame) -> int:
+    """From the bytes of all texts; one aggregate over the text column."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"]
+    return max(1, math.ceil((total or 0) / PART_BYTES))
 
 
 def need_columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -47,7 +53,10 @@ def doc_parts(docs: DataFrame, n: int) -> DataFrame:
             _, offs = buffers(texts)
             for i, j in slices(offs, 16 << 20):
                 ids = all_ids[i:j]
-                part = (mix(ids.view(U64)) % U64(n)).astype(np.int32)
+                data, at = buffers(texts.slice(i, j - i))
+                # By text, too: any number of rows may have one id or none.
+                look = np.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], U64)
+                part = (mix(mix(ids.view(U64)) ^ look) % U64(n)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 data, at = buffers(texts.slice(i, j - i).take(pa.array(order)))
                 ids, part = ids[order], part[order]

@@ -2,8 +2,11 @@
 
 Every window of 100 bytes has an *anchor*: the leftmost of its 32-byte strings of least
 hash.  Equal windows have equal anchors at the same place, so only suffixes that begin at
-an anchor need sorting, one in about 35, and of these only those whose anchor string
-occurs more than once.  They are dealt by a hash of the anchor, with the bytes around it.
+an anchor need sorting, one in about 35.  Windows that reach further to the right of their
+anchor than to the left share the 66 bytes from it on, the others those up to its end; these
+longer strings are what anchors are counted and dealt by, so an anchor that is everywhere with
+ever different neighbours is dealt by its neighbours.  Anchors whose string occurs once are
+done.  A string that is in very many different surroundings still is dealt window by window.
 
 Each share is sorted twice, the text from the anchor on and the text before it read
 backwards: multikey passes order all suffixes by their first bytes, eight at a time, to a
@@ -15,47 +18,71 @@ windows for every distance between window and anchor, exactly and without more h
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import _BYTE, _GOLD, U64, ids_back, mix, powers, prefix_sums, range_hash, runs, slices
+from tidemark.llm.kernels import _BYTE, U64, ids_back, leftmost_least, mix, powers, prefix_sums, range_hash, runs
 from tidemark.llm.parts import KEY_SCHEMA, doc_parts, exchange, key_part, key_rows, load, number_of_parts, part_of, seen, squeeze, table_of, unsqueeze
 
 LENGTH, GRAM = 100, 32
 SHALLOW = 16
+#: A string in so many different surroundings, or in four for each part, is dealt window by window.
+SPLIT = 1 << 14
+_CHUNK = 1 << 19
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, the first and last window start of each, and the hashes of their grams."""
-    found = [_anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram, offs[i]) for i, j in slices(offs, 1 << 19)]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
-
-
-def _anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, base: int):
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
-    if len(data) < length:
-        return none
-    at = np.arange(len(data) - gram + 1)
-    keys = range_hash(prefix_sums(_BYTE[data]), at, at + gram)
-    bits = U64(int(len(data)).bit_length())
-    low = keys >> bits << bits | at.astype(U64)  # least hash, leftmost place
-    span, reach = length - gram + 1, 1
-    while reach * 2 <= span:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if span > reach:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    size = np.diff(offs)
-    left = np.repeat(offs[1:], size) - np.arange(len(data))  # bytes to the end of the text
-    start = np.flatnonzero(left[: len(low)] >= length)
-    if not len(start):
-        return none
-    place = (low[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    first, count = runs(place)
-    # Least hashes are small numbers; mixed again, they deal evenly.
-    return place[first] + base, start[first] + base, start[first + count - 1] + base, mix(keys[place[first]] + _GOLD)
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Place, least and greatest distance to a window's start, key and look of each anchor's two sides that have windows.
+
+    The key is a hash of the bytes that all windows of the side share, the look one of all their bytes.
+    """
+    half = (length - gram) // 2
+    found = []
+    for a in range(0, len(data) - length + 1, _CHUNK):  # a long text is no single piece
+        piece = data[a : a + _CHUNK + length - 1]
+        sums, at = prefix_sums(_BYTE[piece]), np.arange(len(piece) - gram + 1)
+        least = leftmost_least(range_hash(sums, at, at + gram), length - gram + 1)
+        index = np.arange(len(least)) + a
+        start = np.flatnonzero(offs[np.searchsorted(offs, index, "right")] - index >= length)
+        place = least[start]
+        first, count = runs(place)
+        place, far, near = place[first], place[first] - start[first], place[first] - start[first + count - 1]
+        right, left = near <= half, far > half
+        place = np.concatenate([place[right], place[left]])
+        near, far = np.concatenate([near[right], np.maximum(near[left], half + 1)]), np.concatenate([np.minimum(far[right], half), far[left]])
+        side = np.repeat([0, 1], [right.sum(), left.sum()])
+        keys = range_hash(sums, np.where(side, place - half - 1, place), np.where(side, place + gram, place + length - half))
+        found.append((place + a, near, far, keys, range_hash(sums, place - far, place - near + length)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+
+
+def key_counts(keys: np.ndarray, near: np.ndarray, far: np.ndarray, looks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and in how many different surroundings each is."""
+    with np.errstate(over="ignore"):
+        looks = mix(looks + near.astype(U64) * U64(65537) + far.astype(U64))
+    order = np.lexsort((looks, keys))
+    keys, looks = keys[order], looks[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (looks[1:] != looks[:-1])
+    keys = keys[new]
+    first, count = runs(keys)
+    return keys[first], count
+
+
+def by_window(data: np.ndarray, place: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchor, distance and key of each single window of the anchors; the key is a hash of the window."""
+    size = far - near + 1
+    which = np.repeat(np.arange(len(place)), size)
+    distance = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + near[which]
+    keys, factors = np.zeros(len(which), U64), powers(length)[0][:length]
+    for i in range(0, len(which), 4096):
+        j = slice(i, i + 4096)
+        with np.errstate(over="ignore"):
+            keys[j] = mix((_BYTE[data[(place[which[j]] - distance[j])[:, None] + np.arange(length)]] * factors).sum(axis=1, dtype=U64))
+    return which, distance, keys
 
 
 def blind_order(strings: list[bytes]) -> list[int]:
@@ -188,24 +215,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     doc_id counts as smaller than all others and stays null; rows of equal doc_id are not told
     apart, so neither is earlier than the other at the same start.  Other columns are ignored.
     """
-    n = number_of_parts(docs.sparkSession)
+    n = number_of_parts(docs)
     parts = doc_parts(docs, n)
     before = length - gram
+    split = max(1, math.ceil(math.log2(max(SPLIT, 4 * n))))
 
     def open_part(table: pa.Table) -> pa.Table:
         _, data, offs = load(table, b"")
-        return key_rows(part_of(table), np.unique(anchors(data, offs, length, gram)[3]), n, carry=b"")
+        _, near, far, keys, looks = anchors(data, offs, length, gram)
+        keys, count = key_counts(keys, near, far, looks)
+        return key_rows(part_of(table), keys, n, np.minimum(count, 65535), carry=b"")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, offs = load(left, b"")
-        place, lo, hi, keys = anchors(data, offs, length, gram)
+        place, near, far, keys, _ = anchors(data, offs, length, gram)
         distinct, which, count = np.unique(keys, return_inverse=True, return_counts=True)
         level, _ = seen(right, distinct, n)
         again = ((level > 0) | (count > 1))[which]
-        place, lo, hi, keys = place[again], lo[again], hi[again], keys[again]
+        hot = level[which][again] >= split
+        place, near, far, keys = place[again], near[again], far[again], keys[again]
+        if hot.any():
+            of, distance, single = by_window(data, place[hot], near[hot], far[hot], length)
+            place = np.concatenate([place[~hot], place[hot][of]])
+            near, far = (np.concatenate([v[~hot], distance]) for v in (near, far))
+            keys = np.concatenate([keys[~hot], single])
+        lo, hi = place - far, place - near
         owner = np.searchsorted(offs, place, "right") - 1
         doc, at = ids[owner], place - offs[owner]
-        near, far = place - hi, place - lo
         around, looks = surroundings(data, place, lo, hi, before, length)
         # Anchors of one part whose windows are all the same travel once, at their earliest place.
         alike = [looks, far, near]

@@ -1,10 +1,12 @@
 """Substring deduplication over word windows by level-wise doubling.
 
-Windows of a short length are counted over all documents.  Only where two windows that
-lie end to end (or overlap, at the last level) both occur more than once can the window
-that they make up together occur more than once; so each level counts only what the
-level before has left, at twice its length, until nothing is left or the wanted length
-is reached.  At the wanted length a window that also starts earlier marks its words.
+Every window of the wanted length has a *landmark*: of the short windows in it the
+leftmost of least hash.  Equal windows have equal landmarks, so the first level counts only
+short windows that are landmarks, about one in eight.  A window whose landmark occurs
+more than once is a candidate; each further level counts the windows of twice the length at
+both ends of the candidates and keeps those for which both occur more than once, until
+nothing is left or the wanted length is reached.  There a window that also starts
+earlier marks its words.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import _GOLD, U64, ids_back, mix, prefix_sums, range_hash, runs, slices, windows, word_hashes, words
+from tidemark.llm.kernels import U64, ids_back, leftmost_least, runs, slices, window_hashes, windows, word_hashes, words
 from tidemark.llm.parts import KEY_SCHEMA, blocks, doc_parts, exchange, from_planes, key_part, key_rows, load, number_of_parts, part_of, planes, seen, squeeze, table_of, unsqueeze
 
 _FIRST_SCHEMA = "part int, source int, keys binary, more binary, docs binary, starts binary, carry binary"
@@ -37,21 +39,33 @@ class Part:
 
     def __init__(self, table: pa.Table):
         self.ids, self.data, self.offs = load(table)
-        starts, ends, hashes = [], [], []
-        for i, j in slices(self.offs):  # arrays of eight bytes for each byte of text stay small
+        starts, ends = [], []
+        for i, j in slices(self.offs):
             base = self.offs[i]
-            data = self.data[base : self.offs[j]]
-            a, b, _ = words(data, self.offs[i : j + 1] - base)
+            a, b, _ = words(self.data[base : self.offs[j]], self.offs[i : j + 1] - base)
             starts.append(a + base)
             ends.append(b + base)
-            hashes.append(word_hashes(data, a, b))
         self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
         self.word_offs = np.searchsorted(self.starts, self.offs)
-        self.sums = prefix_sums(np.concatenate(hashes))
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.word_offs))
+        self.kept: dict[int, np.ndarray] = {}
 
-    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        return range_hash(self.sums, at, at + length)
+    def words(self, seed: int) -> np.ndarray:
+        if seed not in self.kept:
+            out = [np.zeros(0, U64)]
+            for i, j in slices(self.offs):  # arrays of eight bytes for each byte of text stay small
+                mine, base = slice(self.word_offs[i], self.word_offs[j]), self.offs[i]
+                out.append(word_hashes(self.data[base : self.offs[j]], self.starts[mine] - base, self.ends[mine] - base, seed))
+            self.kept[seed] = np.concatenate(out)
+        return self.kept[seed]
+
+    def hashes(self, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+        """Hashes of the windows of so many words that begin at the words at; independent ones for other seeds."""
+        return window_hashes(self.words(seed), length)[at] if len(at) else np.zeros(0, U64)
+
+    def landmarks(self, length: int, short: int) -> np.ndarray:
+        """First word of the landmark of the window that begins at each word, whether it stays within a text or not."""
+        return leftmost_least(window_hashes(self.words(0), short), length - short + 1) if len(self.starts) >= length else np.zeros(0, np.int64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,27 +77,30 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order][first], which, count
 
 
-def survivors(part: Part, n: int, table: pa.Table, length: int) -> np.ndarray:
-    """Whether each window of the level that table answers occurs more than once; indexed by first word."""
-    rows = table.to_pylist()
-    carry = next((r["carry"] for r in rows if r["carry"] is not None), None)
-    size = len(part.starts)
-    at = candidates(part, unsqueeze(carry, (size + 7) // 8, np.uint8))
-    keys, which, count = distinct(part.hashes(at, length))
-    level, _ = seen(table, keys, n)
-    out = np.zeros(size, bool)
-    out[at[(level > 0)[which] | (count > 1)[which]]] = True
-    return out
+def looked_at(part: Part, at: np.ndarray, level: int, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the two windows of a level that each candidate (first words at) is judged by: its landmark at the first level, then both ends."""
+    length = steps[-1]
+    if level == 0:
+        mark = part.landmarks(length, steps[0])[at]
+        return mark, mark
+    return at, at + length - steps[level]
 
 
-def candidates(part: Part, bits: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(bits, count=len(part.starts)))
+def survivors(part: Part, n: int, table: pa.Table, level: int, steps: list[int]) -> np.ndarray:
+    """First words of the candidates whose windows of the level that table answers occur more than once."""
+    carry = next((r for r in table.column("carry").to_pylist() if r is not None), None)
+    at = candidates(part, unsqueeze(carry, (len(part.starts) + 7) // 8, np.uint8))
+    one, two = looked_at(part, at, level, steps)
+    places = np.unique(np.concatenate([one, two]))
+    keys, which, count = distinct(part.hashes(places, steps[level]))
+    found, _ = seen(table, keys, n)
+    again = np.zeros(len(part.starts), bool)
+    again[places] = (found > 0)[which] | (count > 1)[which]
+    return at[again[one] & again[two]]
 
 
-def doubled(part: Part, repeated: np.ndarray, before: int, length: int) -> np.ndarray:
-    """First words of the windows of length whose first and last windows of the length before are repeated."""
-    at = windows(len(part.starts), part.word_offs, length)
-    return at[repeated[at] & repeated[at + length - before]]
+def candidates(part: Part, bits: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(bits, count=len(part.starts)))
 
 
 def mask_bits(size: int, at: np.ndarray) -> bytes:
@@ -103,11 +120,8 @@ def first_rows(source: int, part: Part, at: np.ndarray, length: int, n: int, car
 
 
 def earliest(part: Part, at: np.ndarray, length: int):
-    """Distinct windows (two hashes each) in order, their earliest document and start, and for each of at whether it is later than that."""
-    keys = part.hashes(at, length)
-    half = (length + 1) // 2
-    with np.errstate(over="ignore"):
-        more = mix(part.hashes(at, half) * _GOLD + part.hashes(at + length - half, half))
+    """Distinct windows (two independent hashes each) in order, their earliest document and start, and which of them each of at is."""
+    keys, more = part.hashes(at, length), part.hashes(at, length, 1)
     doc = part.ids[part.doc[at]]
     start = at - part.word_offs[part.doc[at]]
     order = np.lexsort((start, doc, more, keys))
@@ -178,7 +192,7 @@ def kept_texts(part: Part, keep: np.ndarray):
         yield out[a : max(a, b - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, shortest: int = 10, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 20, shortest: int = 5, texts: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256), and with texts also kept (string).
 
     Words are runs without ASCII white space, unchanged.  A word goes if a window of length
@@ -189,29 +203,29 @@ def remove_repeats(docs: DataFrame, length: int = 20, shortest: int = 10, texts:
     the same start.  Other columns are ignored.
 
     shortest bounds the first level's windows from below.  Each level shuffles hashes, not texts;
-    the texts are shuffled once, compressed.
+    the texts are shuffled once, compressed.  Windows of the wanted length are told apart by
+    128 bits of two independent hashes.
     """
-    n = number_of_parts(docs.sparkSession)
+    n = number_of_parts(docs)
     parts = doc_parts(docs, n)
     steps = lengths(length, shortest)
 
     def open_level(table: pa.Table) -> pa.Table:
         part, source = Part(table), part_of(table)
-        at = windows(len(part.starts), part.word_offs, steps[0])
+        at = windows(len(part.starts), part.word_offs, length)
         return rows_for(0, source, part, at)
 
     def rows_for(k: int, source: int, part: Part, at: np.ndarray) -> pa.Table:
         carry = mask_bits(len(part.starts), at)
         if k == len(steps) - 1:
             return first_rows(source, part, at, steps[k], n, carry)
-        keys, _, _ = distinct(part.hashes(at, steps[k]))
+        keys, _, _ = distinct(part.hashes(np.unique(np.concatenate(looked_at(part, at, k, steps))), steps[k]))
         return key_rows(source, keys, n, carry=carry)
 
     def next_level(k: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             part, source = Part(left), part_of(left)
-            repeated = survivors(part, n, right, steps[k - 1])
-            return rows_for(k, source, part, doubled(part, repeated, steps[k - 1], steps[k]))
+            return rows_for(k, source, part, survivors(part, n, right, k - 1, steps))
 
         return run
 
