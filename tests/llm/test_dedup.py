@@ -74,18 +74,32 @@ def test_jaccard_exactly_at_the_threshold(spark):
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(brute.docs(spark, rows)).collect()) == sorted(brute.jaccard(rows))
 
 
-def test_large_buckets_are_dealt_into_shares(spark, monkeypatch):
+@pytest.mark.parametrize(("seed", "changes"), [(8, 1), (9, 3), (10, 5)])
+def test_large_buckets_are_dealt_into_shares(spark, monkeypatch, seed, changes):
     monkeypatch.setattr(ngram_join, "SHARE", 7)
-    rng = random.Random(8)
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(60):
         ws = list(base)
-        ws[rng.randrange(60)] = f"v{i}"
+        for k in range(rng.randint(0, changes)):
+            ws[rng.randrange(60)] = f"v{i}_{k}" if rng.random() < 0.7 else f"u{rng.randrange(4)}"
         rows.append((i, " ".join(ws)))
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(brute.docs(spark, rows)).collect()) == sorted(brute.jaccard(rows))
 
 
+def test_pairs_of_shares_meet(spark, monkeypatch):
+    rng = random.Random(11)
+    sets = {i: sorted(rng.sample(range(40), 12)) for i in range(80)}
+    for i in range(0, 80, 2):  # some pairs in reach
+        sets[i + 1] = sorted({*sets[i][:-1], rng.randrange(100, 200)})
+    table = spark.createDataFrame([(i, len(k), np.array(k, np.uint64).tobytes()) for i, k in sets.items()], "id long, n long, keys binary")
+    rows = spark.createDataFrame([(1, i, i, 9) for i in sets], "bucket long, id long, component long, shares int")
+    got = {(r["a"], r["b"]) for run, in ((ngram_join.within_shares,), (ngram_join.across_shares,)) for r in run(rows, table, 1, 80, 100).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert {(min(p), max(p)) for p in got} == want and len(want) >= 40
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (None, "a b c d e f g"), (4, "other words")]
     kept = ngram_join.one_of_each(brute.docs(spark, rows, extra=True))

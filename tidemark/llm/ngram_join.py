@@ -12,7 +12,10 @@
 Within a bucket units are sorted by size and cut into tiles.  A pair of tiles is skipped if
 their sizes are too far apart; for the others the Hamming distance of parity bitmaps bounds
 each overlap from above, and only pairs that could pass, and are not joined yet, have their
-sorted arrays intersected.  Large buckets are dealt into pairs of shares.
+sorted arrays intersected.  Large buckets are dealt into shares, twice anew, which joins what
+is alike in them at a cost that grows with the bucket, not its square.  Only of buckets that
+still have several components do pairs of shares meet, with bitmaps alone; the sorted
+arrays are fetched for the pairs that could pass.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from tidemark.llm.kernels import U64, as_array, buffers, ids_of, lower_ascii, mi
 from tidemark.llm.parts import KEY_SCHEMA, exchange, key_rows, load, number_of_parts, part_of, seen, squeeze, table_of
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Units of a bucket that one task compares; larger buckets are dealt into pairs of shares of this size.
+#: Units of a bucket that one task compares; larger buckets are dealt into shares of this size.
 SHARE = 2000
 TILE, BITS = 256, 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +52,7 @@ def text_parts(docs: DataFrame, n: int) -> DataFrame:
             for i, j in slices(buffers(texts)[1], 8 << 20):
                 data, offs = buffers(texts.slice(i, j - i))
                 raw = lower_ascii(data).tobytes()
-                keys = np.frombuffer(b"".join(hashlib.md5(raw[a:b]).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), U64).reshape(-1, 2)
+                keys = np.frombuffer(b"".join(hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), U64).reshape(-1, 2)
                 order = np.lexsort((all_ids[i:j], keys[:, 1], keys[:, 0]))
                 order = order[np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1))]
                 part = (keys[order, 0] % U64(n)).astype(np.int32)
@@ -77,7 +80,7 @@ class Part:
         for i, a, b in zip(ids.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             unit.setdefault(raw[a : b - 1], i)  # in the order of ids
         self.ids = np.array(list(unit.values()), np.int64)
-        self.names = [hashlib.md5(t).hexdigest() for t in unit]
+        self.names = [hashlib.sha256(t).hexdigest()[:32] for t in unit]
         texts = list(unit)
         offs = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=offs[1:])
@@ -131,23 +134,16 @@ def bitmap(keys: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((keys & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(U64)
 
 
-def compare(size: np.ndarray, keys: list[np.ndarray], label: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that join labels not joined before.  With side, only pairs of different sides are looked at."""
-    order = np.argsort(size, kind="stable")
-    size, label = size[order], np.unique(label[order], return_inverse=True)[1]
-    keys = [keys[i] for i in order]
-    own = np.array([len(k) for k in keys])
-    maps = np.stack([bitmap(k) for k in keys])
-    if side is not None:
-        side = side[order]
-    links = []
-    tiles = range(0, len(size), TILE)
-    for a in tiles:
+def could_pass(size: np.ndarray, own: np.ndarray, maps: np.ndarray, label: np.ndarray, num: int, den: int, side: np.ndarray | None = None):
+    """Pairs of tiles of units sorted by size: (first of one, first of the other, matrix of the pairs that could reach the threshold)."""
+    for a in range(0, len(size), TILE):
         sa = slice(a, min(a + TILE, len(size)))
         for b in range(a, len(size), TILE):
             sb = slice(b, min(b + TILE, len(size)))
             if size[b] * num > size[sa.stop - 1] * den:
                 break  # all further tiles have sets too large for any of this one
+            if side is not None and len(np.unique(np.concatenate([side[sa], side[sb]]))) == 1:
+                continue
             far = np.bitwise_count(maps[sa, None, :] ^ maps[None, sb, :]).sum(axis=2, dtype=np.int32)
             most = (own[sa, None] + own[None, sb] - far) // 2  # the overlap is no larger
             could = (num + den) * most >= num * (size[sa, None] + size[None, sb])
@@ -155,37 +151,95 @@ def compare(size: np.ndarray, keys: list[np.ndarray], label: np.ndarray, num: in
             could &= label[sa, None] != label[None, sb]
             if side is not None:
                 could &= side[sa, None] != side[None, sb]
-            if a == b:
-                could = np.triu(could, 1)
-            for i in np.flatnonzero(could.any(axis=1)).tolist():
-                for j in np.flatnonzero(could[i]).tolist():
-                    x, y = a + i, b + j
-                    if label[x] != label[y]:
-                        both = len(np.intersect1d(keys[x], keys[y], assume_unique=True))
-                        if (num + den) * both >= num * (size[x] + size[y]):
-                            links.append((int(order[x]), int(order[y])))
-                            label[label == label[y]] = label[x]
+            yield a, b, np.triu(could, 1) if a == b else could
+
+
+def compare(size: np.ndarray, keys: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join labels not joined before."""
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], np.unique(label[order], return_inverse=True)[1]
+    keys = [keys[i] for i in order]
+    own = np.array([len(k) for k in keys])
+    links = []
+    for a, b, could in could_pass(size, own, np.stack([bitmap(k) for k in keys]), label, num, den):
+        for i in np.flatnonzero(could.any(axis=1)).tolist():
+            for j in np.flatnonzero(could[i]).tolist():
+                x, y = a + i, b + j
+                if label[x] != label[y] and overlap_reaches(size[x], size[y], keys[x], keys[y], num, den):
+                    links.append((int(order[x]), int(order[y])))
+                    label[label == label[y]] = label[x]
     return links
 
 
+def overlap_reaches(n: int, m: int, one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
+    return (num + den) * len(np.intersect1d(one, two, assume_unique=True)) >= num * (n + m)
+
+
+def within_shares(rows: DataFrame, sets: DataFrame, salt: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the units (bucket, id, component, shares) that one dealing brings into one share."""
+    share = F.pmod(F.xxhash64("id", F.lit(salt)), F.col("shares")).cast("int")
+    rows = rows.withColumn("share", share).join(sets.select("id", "n", "keys"), "id").select("bucket", "share", "id", "component", "n", "keys")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, size = (as_array(table.column(c)).to_numpy() for c in ("id", "component", "n"))
+        found = compare(size, [np.frombuffer(k, U64) for k in table.column("keys").to_pylist()], label, num, den)
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
+
+    return rows.groupBy("bucket", "share").applyInArrow(run, "a long, b long")
+
+
+def across_shares(rows: DataFrame, sets: DataFrame, salt: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the units (bucket, id, component, shares) of different shares: bitmaps meet first, sorted arrays only for pairs that could pass."""
+
+    def sketch(batches):
+        for batch in batches:
+            keys = [np.frombuffer(k, U64) for k in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(k) for k in keys], pa.int64()), pa.array([bitmap(k).tobytes() for k in keys], pa.binary())], ["id", "n", "own", "map"])
+
+    share = F.pmod(F.xxhash64("id", F.lit(salt)), F.col("shares")).cast("int")
+    rows = rows.withColumns({"share": share, "other": F.explode(F.sequence(F.lit(0), F.col("shares") - 1))}).where("share <> other").withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
+    rows = rows.join(sets.select("id", "n", "keys").mapInArrow(sketch, "id long, n long, own long, map binary"), "id")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, label, share, size, own = (as_array(table.column(c)).to_numpy() for c in ("id", "component", "share", "n", "own"))
+        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), U64).reshape(len(ids), -1)
+        order = np.argsort(size, kind="stable")
+        ids, found = ids[order], [np.zeros((2, 0), np.int64)]
+        for a, b, could in could_pass(size[order], own[order], maps[order], label[order], num, den, share[order]):
+            i, j = np.nonzero(could)
+            found.append(np.stack([ids[a + i], ids[b + j]]))
+        found = np.concatenate(found, axis=1)
+        return pa.table({"a": found.min(axis=0), "b": found.max(axis=0)})
+
+    pairs = rows.groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
+
+    def verify(batches):
+        for batch in batches:
+            a, b, n, m, one, two = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "keys_a", "keys_b"))
+            keep = [overlap_reaches(p, q, np.frombuffer(x, U64), np.frombuffer(y, U64), num, den) for p, q, x, y in zip(n, m, one, two, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, "a long, b long")
+
+
 def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in buckets (token, id, component); a bucket of one component is left out."""
+    """Links (a, b) found in buckets (token, id, component), enough to join whatever is linked; a bucket of one component is left out."""
     # Tokens whose units come from the same components make one bucket: near copies share hundreds.
     met = buckets.select("token", "component").distinct().groupBy("token").agg(F.bit_xor(F.xxhash64("component")).alias("who"), F.count("*").alias("parties")).where("parties > 1")
     rows = buckets.join(met, "token").select(F.xxhash64("who", "parties").alias("bucket"), "id", "component").distinct()
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
-    rows = rows.join(sizes, "bucket").withColumns({"share": share, "other": F.explode(F.sequence(F.lit(0), F.col("shares") - 1))}).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
-    rows = rows.join(sets.select("id", "n", "keys"), "id").select("bucket", "x", "y", "id", "component", "share", "n", "keys")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, label, share, size = (as_array(table.column(c)).to_numpy() for c in ("id", "component", "share", "n"))
-        keys = [np.frombuffer(k, U64) for k in table.column("keys").to_pylist()]
-        two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        found = compare(size, keys, label, num, den, share if two else None)
-        return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
+    rows = checkpointed(rows.join(sizes, "bucket"))
+    found, large = checkpointed(within_shares(rows, sets, 0, num, den)), rows.where("shares > 1")
+    for meeting in (within_shares, across_shares):
+        if large.isEmpty():
+            return found
+        joined = components(found.unionAll(large.select("id", "component")))
+        large = large.withColumnRenamed("component", "before").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "before").alias("component"), "shares")
+        several = large.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest").select("bucket")
+        large = checkpointed(large.join(several, "bucket"))
+        found = checkpointed(found.unionAll(meeting(large, sets, 1, num, den)))  # pairs of shares follow the second dealing
+    return found
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -197,18 +251,18 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     doc_id reachable by links, itself included.  Null, empty and blank texts have no set and
     link with nothing, not with each other.  Rows without doc_id take no part: their other
     columns are null.  Repeated rows each give a row.  Other columns are ignored.  Shingles
-    are compared by 64-bit hashes.
+    are compared by 64-bit hashes, texts by 128 bits of SHA-256.
     """
     spark_units = checkpointed(units(docs, k, num, den))
     alive = spark_units.where("keys is not null")
     first = alive.select("id", F.explode("low").alias("token")).select("token", "id", F.col("id").alias("component")).distinct()
-    near = checkpointed(links_in(first, alive, num, den))
+    near = links_in(first, alive, num, den)
     joined = components(near)
     of = alive.join(joined, "id", "left").select("id", "prefix", F.coalesce("component", "id").alias("component"))
     rest = links_in(of.select("id", "component", F.explode("prefix").alias("token")), alive, num, den)
     of = components(near.unionAll(rest))
     done = spark_units.select("name", "id", "n").join(of, "id", "left").select("name", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
-    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.md5(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER).cast("binary"))).alias("name"))
+    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.substring(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER).cast("binary"), 256), 1, 32)).alias("name"))
     return members.join(done, "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
