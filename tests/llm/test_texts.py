@@ -256,11 +256,57 @@ def test_shards(spark, tmp_path):
     assert store.vacuum() > 0 and store.read().count() == len(rows)
 
 
+def test_two_writers_cannot_commit_one_version(spark, tmp_path):
+    rows = brute.docs(spark, [(1, "a"), (2, "b")])
+    one, two = (sharding.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.version = two.version = lambda: 0  # both looked before either wrote
+    assert one.append(rows.where("doc_id = 1")) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.append(rows.where("doc_id = 2"))
+    assert not one._publish("x", one._name(1)) and one._publish("x", one._name(2))
+    store = sharding.Store(spark, str(tmp_path / "s"))
+    assert [r["doc_id"] for r in store.read(1).collect()] == [1]
+
+
+def planned(shards, target, fan_in):
+    """shards of (name, bytes, tier, born): sets of names to be merged, by hand."""
+    out = set()
+    for tier in {t for _, _, t, _ in shards}:
+        mine = sorted((s for s in shards if s[2] == tier and s[1] * 2 <= target), key=lambda s: (s[3], s[0]))
+        if len(mine) < fan_in:
+            continue
+        groups, at = {}, 0
+        for name, size, *_ in mine:
+            groups.setdefault((at + size / 2) // target, []).append(name)
+            at += size
+        out |= {tuple(g) for g in groups.values() if len(g) > 1}
+    return out
+
+
+def test_plan_is_the_one_made_by_hand(spark, tmp_path):
+    rng = random.Random(5)
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1000, first_tier_bytes=100, fan_in=3)
+    shards = [(f"shards/{i:03d}", rng.choice([20, 90, 150, 350, 480, 700, 1000]), rng.randint(0, 2), rng.randint(1, 5)) for i in range(60)]
+    store._commit(spark.createDataFrame([(n, b, 1, t, v) for n, b, t, v in shards], sharding._MANIFEST), 1)
+    got = {}
+    for r in store.plan().collect():
+        got.setdefault(r["target"], []).append(r)
+    born = {n: v for n, _, _, v in shards}
+    assert {tuple(r["shard"] for r in sorted(g, key=lambda r: (born[r["shard"]], r["shard"]))) for g in got.values()} == planned(shards, 1000, 3)
+    assert all(sum(r["bytes"] for r in g) < 2 * 1000 for g in got.values())
+
+
 def test_shard_documents(spark, tmp_path, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("tier", F.lit("x"))
     got = sharding.shard_documents(docs, str(tmp_path / "d"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert set(got.columns) == {*docs.columns, "document_tier", "arrival", "shard", "version"}
+    store = sharding.Store(spark, str(tmp_path / "d"))
+    assert store.version() > sharding.ARRIVALS and store.manifest(sharding.ARRIVALS).count() > store.manifest().count() and store.plan().isEmpty()
+    assert store.manifest(3).agg(F.max("born")).first()[0] == 3
     assert sharding.shard_documents(docs.limit(0), str(tmp_path / "e")).count() == 0
+    odd = brute.docs(spark, [(None, None), (None, "x"), (-1, ""), (-1, "")], extra=True)
+    assert sorted((tuple(r) for r in sharding.shard_documents(odd, str(tmp_path / "f")).select("doc_id", "text", "arrival").collect()), key=repr) == [(-1, "", 15)] * 2 + [(None, "x", 0), (None, None, 0)]
 
 
 def test_pipeline(spark, sf):

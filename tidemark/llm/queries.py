@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, langid, near_vectors, ngram_join, pii, sharding, suffixes, url_filter, word_windows
+from tidemark.llm.graph import shared_top
 
 #: (verdict, host, path) of the rules that come before a host's reputation.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -20,9 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,8 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+    return rows.select("doc_id", "arrival", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -142,4 +142,7 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pca_tiles": _OP1, "op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8}
+# Whatever shard a document ends up in: it is there once, and as it was.
+_OP10 = "SELECT doc_id, coalesce((doc_id % 16 + 16) % 16, 0)::BIGINT AS arrival, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+ORACLE_SQL: dict[str, str] = {"op1_pca_tiles": _OP1, "op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8, "op10_tiered_shards": _OP10}
