@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -221,21 +222,65 @@ def test_contexts_find_numbers_in_groups(spark):
 
     numbers = ["(555) 123-4567", "030 1234 5678", "030.1234 567"]
     rows = [(i, f"ring +4930{i:07d} now") for i in range(40)] + [(100 + i, f"number: {card(i)} ok") for i in range(40)]
-    rows += [(200 + i, f"ring {n} now") for i, n in enumerate(numbers)] + [(210, "number: 1234 5678 9012 3456 ok"), (211, "ring 030 1234 5678 9.8.7.6 now"), (212, "other 030 1234 5678 now")]
+    rows += [(200 + i, f"ring {n} now") for i, n in enumerate(numbers)] + [(210, "number: 1234 5678 9012 3456 ok"), (211, "ring 030 1234 5678 9.8.7.6 now"), (212, "other 030 1234 5678 then"), (213, "other 030 1234 5679 now")]
     got = {r["doc_id"]: r["spans"] for r in pii.find(brute.docs(spark, rows)).collect()}
     assert [got[200 + i] for i in range(3)] == [f"phone:5:{5 + len(n)}" for n in numbers]
-    assert got[210] == "card:8:27" and got[211] == "ip:19:26,phone:5:18" and got[212] == ""
+    assert got[210] == "card:8:27" and got[211] == "ip:19:26,phone:5:18" and got[212] == "" and got[213] == "phone:6:19"
     text = {r["doc_id"]: r["text"] for r in pii.redact(brute.docs(spark, rows)).collect()}
     assert text[200] == "ring <phone> now" and text[210] == "number: <card> ok"
 
 
 def test_believed_values_support_further_patterns(spark):
     rows = [(i, f"kontakt: user{i}@mail{i}.org bye") for i in range(80)]
-    rows += [(100 + i, f"kontakt: hidden{i}@localhost end") for i in range(5)] + [(200 + i, f"write hidden{i}@localhost end") for i in range(5)] + [(300, "about hidden1@localhost end")]
+    rows += [(100 + i, f"kontakt: hidden{i}@localhost end") for i in range(5)] + [(200 + i, f"write hidden{i}@localhost end") for i in range(5)] + [(300, "about hidden1@localhost then")]
     got = {r["doc_id"]: r["spans"] for r in pii.find(brute.docs(spark, rows)).collect()}
     assert got[100] == "email:9:26" and [got[200 + i] for i in range(5)] == ["email:6:23"] * 5 and got[300] == ""
 
 
+def test_time_grows_with_length(spark):
+    texts = [" ".join(f"x{i}y 4{i:05d}" for i in range(20000)), " ".join(f"{i:05d}" for i in range(40000)), " ".join(f"u{i}@m{i}.org," for i in range(20000)), "1 " * 150000, "+1 (23) 456-7890 a " * 15000]
+    docs = brute.docs(spark, list(enumerate(texts))).repartition(5)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    new = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert time.time() - began < 40
+    for i, t in enumerate(texts):
+        found = brute.personal(t)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [len(found[k]) for k in pii.KINDS]
+    assert new[2] == ", ".join(["<email>"] * 20000) + "," and new[3] == texts[3] and new[4] == "<phone> a " * 15000
+
+
+def test_discoveries_are_right_and_whole(spark):
+    rng = random.Random(2)
+    vowels = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    filler = lambda n: " ".join(vowels() for _ in range(n))
+    rows, planted = [], set()
+    cues = {"phone": ["ring", "call us on"], "email": ["mailto:", "contact address"], "ip": ["host", "server at"]}
+    make = {"phone": (lambda i: f"+49 30 {1000000 + i}", lambda i: f"030 {1000 + i} {5000 + i}"), "email": (lambda i: f"u{i}@site{i % 7}.org", lambda i: f"u{i}@intranet{i % 5}"), "ip": (lambda i: f"10.{i % 200}.3.4", lambda i: f"10.{i % 200}.3.4.{i % 250}:{8000 + i}")}
+    for i in range(900):
+        kind = rng.choice(list(cues))
+        cue, seen = rng.choice(cues[kind]), i % 9 != 0
+        front = f"{filler(rng.randint(1, 12))} {cue} "
+        value = make[kind][0 if seen else 1](i)
+        rows.append((i, f"{front}{value} {filler(5)} {rng.choice(['page', 'item', 'in'])} {rng.randint(1000, 10**9)} {filler(3)}"))
+        if not seen:
+            planted.add((i, f"{kind}:{len(front)}:{len(front) + len(value)}"))
+    got = {r["doc_id"]: (r["spans"], r["base_sha256"]) for r in pii.find(brute.docs(spark, rows)).collect()}
+    found = set()
+    for i, t in rows:
+        base = brute.personal(t)
+        found |= {(i, x) for x in got[i][0].split(",") if x and x not in {f"{k}:{a}:{b}" for k in pii.KINDS for a, b in base[k]}}
+    hits = len(found & planted)
+    assert hits / len(planted) >= 0.9 and hits / len(found) >= 0.9, (hits, len(planted), len(found))
+
+
+def test_overlapping_spans_are_replaced_together(spark):
+    text = "ab" * 600 + "0123456789" + "cd" * 3000
+    spans = "array(named_struct('kind', 1, 'start', 1203, 'end', 1206), named_struct('kind', 0, 'start', 1200, 'end', 1204), named_struct('kind', 2, 'start', 1205, 'end', 1210), named_struct('kind', 3, 'start', 7000, 'end', 7002))"
+    got = spark.createDataFrame([(text,)], "text string").select(pii.replaced(F.col("text"), F.expr(spans))).first()[0]
+    assert got == "ab" * 600 + "<email>" + ("cd" * 3000)[: 7000 - 1210] + "<phone>" + ("cd" * 3000)[7002 - 1210 :]
+
+
 def test_shards(spark, tmp_path):
     rows = [(i, f"text {i}") for i in range(200)] + [(None, None), (7, "text 7")]
     store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=6000, first_tier_bytes=500, fan_in=3)
