@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -24,19 +25,66 @@ def test_language_held_out_accuracy(spark, sf):
 
 def test_language_rows(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 9)]
-    docs = spark.createDataFrame(train + [(i, t, None) for i, t in ODD], "doc_id long, text string, lang string")
+    odd = [(None if i is None else 1000 + i, t) for i, t in ODD]
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in train + [(i, t, None) for i, t in odd] + [odd[0] + (None,)]], "doc_id long, text string, lang string, lang_pred string, score double")
     got = langid.identify(docs, langid.fit(docs)).collect()
-    assert len(got) == len(train) + len(ODD)
+    assert len(got) == len(train) + len(odd) + 1
     for r in got:
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
-    by = {r["doc_id"]: r["lang_pred"] for r in got}
-    assert by[None] == "en" and [by[i] for i in (1, 2, 3, 4)] != ["en"] * 4
-    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 3, 4) and r["doc_id"] is not None and r["lang_pred"] not in ("en", "de"))
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert by[1001] == [("und", 0.0)] * 2 and [by[1000 + i] for i in (2, 3, 4)] == [[("und", 0.0)]] * 3 and by[None][0][0] == "en" and by[1005][0][0] in ("en", "de")
     none = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert langid.identify(none, langid.fit(none)).first()["lang_pred"] == "und"
     assert langid.identify(none.limit(0), langid.fit(none)).count() == 0
 
 
+def test_language_query_is_the_parse_by_hand(spark, sf):
+    from tidemark.llm.queries import op3_language_id
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parser = langid.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("length(text) between 1 and 900").limit(40).collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in op3_language_id(spark, sf).collect()}
+    mapped = lambda t: langid.symbols_of(np.frombuffer(t.lower().encode(), np.uint8), np.array([0, len(t.lower().encode())]), parser.classes)[0].tobytes()
+    samples = {lang: [mapped(t) for t in ts] for lang, ts in langid.sample(docs).items()}
+    for i, t in texts.items():
+        costs = []
+        for lang, parts in sorted(samples.items()):
+            s, at, n = mapped(t), 0, 0
+            while at < len(s):
+                k = 1
+                while at + k < len(s) and any(s[at : at + k + 1] in p for p in parts):
+                    k += 1
+                at, n = at + k, n + 1
+            costs.append((n * np.log2(sum(len(p) + 1 for p in parts) + 1), lang))
+        assert got[i] == (min(costs)[1] if any(c.isalpha() for c in t) else "und"), (i, costs)
+
+
+def test_restarts_change_no_prediction(spark, sf, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parser, texts = langid.fit(docs), pa.array([r["text"] for r in docs.collect()])
+    names = parser.predict(texts)[0]
+    monkeypatch.setattr(langid, "BLOCK", 1 << 20)
+    assert parser.predict(texts)[0] == names
+
+
+def test_a_small_sample_is_no_handicap(spark):
+    rng = random.Random(4)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    rows = [(i, make("abcdefgh", 40), "big") for i in range(300)] + [(1000 + i, make("efghijkl", 40), "small") for i in range(6)]
+    rows += [(2000 + i, make("efghijkl", 12), None) for i in range(50)] + [(3000 + i, make("abcdefgh", 12), None) for i in range(50)] + [(4000, "漢字だけの文章はここにない言語です。まったく知らない。", None), (4001, make("efghijkl", 40), "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, parser).collect()}
+    assert sum(got[2000 + i] == "small" for i in range(50)) >= 48 and sum(got[3000 + i] == "big" for i in range(50)) >= 48
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(docs, parser).collect()}
+    assert 4000 not in kept and kept[4001] in ("small", "big") and len(kept) == len(rows) - 1
+
+
 def test_automaton_parse_is_the_longest_match_parse():
     rng = random.Random(1)
     found = {k: ["".join(rng.choice(a) for _ in range(60)) for _ in range(3)] for k, a in (("x", "abcd"), ("y", "bcde"))}
@@ -54,22 +102,21 @@ def test_automaton_parse_is_the_longest_match_parse():
 
 
 def greedy_coverage(item, text, least):
-    """Words of item covered by tiles, longest first, by trying all pairs of places."""
-    a, b = [False] * len(item), [False] * len(text)
-    total = 0
+    """Words of item covered by tiles, longest first, by comparing all pairs of places anew for each tile."""
+    item, text = np.asarray(item), np.asarray(text)
+    same, total = item[:, None] == text[None, :], 0
     while True:
-        best = (0, 0, 0)
-        for i in range(len(item)):
-            for j in range(len(text)):
-                k = 0
-                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not a[i + k] and not b[j + k]:
-                    k += 1
-                best = max(best, (k, -i, -j))
+        run, best = np.zeros(len(text) + 1, int), (0, 0, 0)
+        for i in range(len(item) - 1, -1, -1):  # run[j]: how far the words from i and j on are equal and free
+            run[:-1] = np.where(same[i], run[1:] + 1, 0)
+            run[-1] = 0
+            j = int(np.argmax(run[:-1]))
+            best = max(best, (int(run[j]), -i, -j))
         k, i, j = best[0], -best[1], -best[2]
         if k < least:
             return total
-        for x in range(k):
-            a[i + x] = b[j + x] = True
+        same[i : i + k] = False
+        same[:, j : j + k] = False
         total += k
 
 
@@ -95,15 +142,43 @@ def test_tiles_keep_what_a_longer_tile_leaves():
     assert sum(t[2] for t in decontaminate.tile(item, text, 5)) == 29 == greedy_coverage(item.tolist(), text.tolist(), 5)
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_tiles_of_moved_short_sentences_are_greedy(seed):
-    rng = random.Random(seed)
-    parts = [[rng.randint(1, 3)] + [10 * i + j for j in range(10, 10 + rng.randint(4, 8))] for i in range(1, 8)]
-    item = [w for p in parts for w in p]
-    rng.shuffle(parts)
-    text = [w for p in parts + parts[:2] for w in p]
-    tiles = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 5)
-    assert sum(t[2] for t in tiles) == greedy_coverage(item, text, 5)
+def test_tiles_of_moved_short_sentences_are_greedy():
+    for seed in range(1000):
+        rng = random.Random(seed)
+        parts = [[rng.randint(1, 3)] + [10 * i + j for j in range(10, 10 + rng.randint(4, 8))] for i in range(1, 7)]
+        item = [w for p in parts for w in p]
+        rng.shuffle(parts)
+        text = [w for p in parts + parts[:2] for w in p]
+        if seed % 2:  # the front of one match is the end of another
+            at = rng.randint(0, len(item) - 7)
+            text = item[at : at + 7] + [9] + item[at + 5 : at + 5 + rng.randint(5, 9)] + [9] + text[: rng.randint(0, 30)]
+        tiles = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 5)
+        assert sum(t[2] for t in tiles) == greedy_coverage(item, text, 5), seed
+
+
+def test_a_match_whose_front_is_taken_is_cut():
+    item = list(range(1, 13))
+    text = [*range(1, 8), 99, *range(6, 13)]
+    assert sum(t[2] for t in decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 5)) == 12
+
+
+def test_decontamination_query_by_brute_force(spark, sf):
+    from tidemark.llm.queries import op5_decontamination
+
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want, number = set(), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = words(r["text"] or "")
+        seeds = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for item_id, item in items:
+            if seeds & {tuple(item[i : i + 5]) for i in range(len(item) - 4)}:
+                a, b = ([number.setdefault(w, len(number)) for w in ws] for ws in (item, text))
+                n = greedy_coverage(a, b, 5)
+                if n >= 0.8 * len(item):
+                    want.add((r["doc_id"], item_id, n, len(item)))
+    got = {tuple(r)[:4] for r in op5_decontamination(spark, sf).collect()}
+    assert got == want and want
 
 
 def test_contamination(spark):
@@ -125,6 +200,10 @@ def test_contamination_in_several_passes(spark, sf, monkeypatch):
     once = sorted(decontaminate.contamination(docs, bench).select("doc_id", "item_id").collect())
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 2000)
     assert once and sorted(decontaminate.contamination(docs, bench).select("doc_id", "item_id").collect()) == once
+    odd = docs.unionAll(docs.where("doc_id < 5")).withColumn("name", F.lit(1)).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    bad = {r["doc_id"] for r in decontaminate.contamination(docs, bench).collect()}
+    kept = decontaminate.keep_clean(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - len(bad) - len({i for i in bad if i < 5})
 
 
 def test_bpe(spark, sf):

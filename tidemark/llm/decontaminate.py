@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -196,7 +196,10 @@ class Index:
 
 
 def passes(benchmark: DataFrame, seed_words: int, short_items: bool = False) -> list:
-    """Broadcast indexes, each over at most about PASS_BYTES of benchmark text (an item longer than that has a pass of its own)."""
+    """Broadcast indexes, each over at most about PASS_BYTES of benchmark text (an item longer than that has a pass of its own).
+
+    The driver makes them one by one, and keeps each in a file, not in memory.
+    """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, math.ceil(total / PASS_BYTES))
@@ -236,17 +239,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, short_items: bool = False) -> DataFrame:
-    """The documents that no item contaminates, all columns as they were."""
+    """The documents that no item contaminates, all columns as they were.
+
+    With one pass documents are filtered where they are read.  With more, each pass finds the
+    texts that it contaminates, so that a task holds one index at a time, and documents
+    with these texts go by an anti-join on 128 bits of their SHA-256.
+    """
     at = docs.columns.index("text")
-    for shared in passes(benchmark, seed_words, short_items):
+    indexes = passes(benchmark, seed_words, short_items)
 
-        def run(batches, shared=shared):
+    def filtering(shared, keep_them: bool):
+        def run(batches):
             for batch in batches:
-                text = batch.column(at)
+                text = batch.column(at if keep_them else 0)
                 for i, j in slices(buffers(text)[1]):
-                    keep = np.ones(j - i, bool)
-                    keep[[d for d, *_ in shared.value.contaminated(text.slice(i, j - i), threshold)]] = False
-                    yield batch.slice(i, j - i).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                    clean = np.ones(j - i, bool)
+                    clean[[d for d, *_ in shared.value.contaminated(text.slice(i, j - i), threshold)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean if keep_them else ~clean))
+
+        return run
+
+    if len(indexes) == 1:
+        return docs.mapInArrow(filtering(indexes[0], True), docs.schema)
+    name = F.substring(F.sha2(F.col("text").cast("string").cast("binary"), 256), 1, 32)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    found = reduce(DataFrame.unionAll, [texts.mapInArrow(filtering(shared, False), "text string") for shared in indexes]).select(name.alias("name")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"))
+    return rows.join(found, "name", "left_anti").select("row.*")

@@ -1,8 +1,9 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton holds a sample of its labelled text.  A text is
-parsed from left to right into the longest phrases that occur in the sample; the
-language that needs the fewest phrases a byte names the text.  A parse never goes
+parsed from left to right into the longest phrases that occur in the sample.  A phrase of
+a larger sample takes more bits to point at, so phrases count by the logarithm of
+their sample's size (cross-entropy); the language of the least cost names the text.  A parse never goes
 back, so with "end the phrase and start again" folded into the automaton's table it
 is one table look-up for each byte, made for thousands of blocks of text at a time.
 """
@@ -19,8 +20,10 @@ from tidemark.llm.kernels import as_array, buffers, slices
 
 #: Bounds of the training sample: so many stretches of so many characters for each language, so many languages.
 STRETCHES, STRETCH_CHARS, LANGUAGES = 240, 120, 400
-#: A parse starts afresh after so many bytes, so that long texts are parsed in parallel.
-BLOCK = 256
+#: A parse starts afresh after so many symbols, so that very long texts are parsed in parallel.
+BLOCK = 4096
+#: Texts of so many symbols or more that need a phrase for nearly each of them are in no learned language; a stated language yields to a prediction of this score.
+FEW, STRANGE, CLEAR = 20, 0.75, 0.2
 _OTHER, _PAD = 0, 1
 
 
@@ -111,12 +114,14 @@ class Parser:
         self.classes = byte_classes([t for ts in found.values() for t in ts])
         self.width = int(self.classes.max()) + 1
         self.start, tables, base = [], [], 0
+        bits = []
         for lang in self.languages:
             symbols: list[int] = []
             for t in found[lang]:
                 raw = np.frombuffer(t.lower().encode(), np.uint8)
                 symbols += symbols_of(raw, np.array([0, len(raw)]), self.classes)[0].tolist()
                 symbols.append(2)  # no text gives it a transition that counts: matches end here
+            bits.append(np.log2(len(symbols) + 1))
             step = suffix_automaton(symbols)
             nxt = np.full((len(step), self.width), -1, np.int64)
             for s, row in enumerate(step):
@@ -131,6 +136,7 @@ class Parser:
             tables.append(table.astype(np.int32))
             self.start.append(base)
             base += len(step)
+        self.bits = np.array(bits)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,23 +165,25 @@ class Parser:
                 total[i] = np.bincount(doc, count[i], len(size)).astype(np.int64)
         return total, size
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: 1 less the ratio of the best language's phrases to the next one's."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, 1 less the ratio of the least cost to the next one, and whether it is in no learned language."""
         lower = pc.utf8_lower(as_array(texts).cast(pa.large_string()))
         letter = pc.fill_null(pc.match_substring_regex(lower, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         data, offs = buffers(lower)
-        names, scores = np.full(len(lower), "und", object), np.zeros(len(lower))
+        names, scores, strange = np.full(len(lower), "und", object), np.zeros(len(lower)), ~letter
         if self.languages and len(lower):
-            phrases, _ = self.phrases(data, offs)
-            best = np.argmin(phrases, axis=0)  # the first in the order of names, if several
-            low = phrases[best, np.arange(len(lower))]
+            phrases, size = self.phrases(data, offs)
+            cost = phrases * self.bits[:, None]
+            best = np.argmin(cost, axis=0)  # the first in the order of names, if several
+            low = cost[best, np.arange(len(lower))]
             if len(self.languages) > 1:
-                second = np.partition(phrases, 1, axis=0)[1]
-                scores = np.where(letter, 1 - low / np.maximum(second, 1), 0.0)
+                second = np.partition(cost, 1, axis=0)[1]
+                scores = np.where(letter & (second > 0), 1 - low / np.where(second > 0, second, 1), 0.0)
             else:
                 scores = letter.astype(float)
             names = np.where(letter, np.array(self.languages, object)[best], "und")
-        return names.tolist(), scores
+            strange |= (size >= FEW) & (phrases.min(axis=0) >= STRANGE * size)
+        return names.tolist(), scores, strange
 
 
 def fit(docs: DataFrame) -> Parser:
@@ -186,7 +194,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) for the whole text of every document.
 
     ``und`` with score 0 where text is null, empty or has no letter, or where there was no
-    labelled text at all.  Equal phrase counts go to the first language by name, with score 0.
+    labelled text at all.  Equal costs go to the first language by name, with score 0.
     A null doc_id stays null and is not held out.  Repeated rows each give a row; other
     columns are ignored.  lang, source and doc_id play no part in a prediction.
     """
@@ -196,7 +204,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
         for batch in batches:
             _, offs = buffers(batch.column(2))
             for i, j in slices(offs, 4 << 20):
-                names, scores = shared.value.predict(batch.column(2).slice(i, j - i))
+                names, scores, _ = shared.value.predict(batch.column(2).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -204,7 +212,12 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, parser: Parser) -> DataFrame:
-    """The documents whose language is found, all columns as they were; a null lang gets the prediction.  Documents named ``und`` go."""
+    """The documents whose language is found, all columns but lang as they were.
+
+    Documents named ``und`` go, and those of FEW symbols or more that no learned language
+    fits.  A null lang gets the prediction, and so does one that a prediction of a score of
+    CLEAR or more contradicts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     names = docs.columns
 
@@ -214,10 +227,11 @@ def keep_identified(docs: DataFrame, parser: Parser) -> DataFrame:
             _, offs = buffers(text)
             for i, j in slices(offs, 4 << 20):
                 part = batch.slice(i, j - i)
-                found = pa.array(shared.value.predict(text.slice(i, j - i))[0], pa.string())
+                found, score, strange = shared.value.predict(text.slice(i, j - i))
+                found = pa.array(found, pa.string())
                 if "lang" in names:
                     k = names.index("lang")
-                    part = part.set_column(k, "lang", pc.coalesce(part.column(k), found))
-                yield part.filter(pc.not_equal(found, "und"))
+                    part = part.set_column(k, "lang", pc.coalesce(pc.if_else(pa.array(score >= CLEAR), found, part.column(k)), found))
+                yield part.filter(pa.array(~strange))
 
     return docs.mapInArrow(run, docs.schema)
