@@ -12,7 +12,7 @@ from tidemark.llm.graph import checkpointed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts without a letter go."""
+    """Documents whose language is found, with it; texts without a letter and texts in no learned language go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
