@@ -1,7 +1,7 @@
 """Column builders and operators on small cases of known result."""
 
 import math
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from statistics import NormalDist
 
 import numpy as np
@@ -150,15 +150,54 @@ def test_targets_keep_all_bounds(sentiment):
     sector = np.repeat(np.arange(8), [5, 5, 3, 2, 2, 1, 1, 1])
     low, high = 0.4 * parent, np.minimum(2 * parent, 0.12)
     raw = parent * np.exp(2 * np.array(sentiment))
-    w = tilt.banded(tilt.bounded(raw / raw.sum(), low, high), parent, sector, 0.08, low, high)
+    w = tilt.goal(raw / raw.sum(), parent, sector, tilt.TiltConfig())
     assert w.sum() == pytest.approx(1) and (w >= low - 1e-9).all() and (w <= high + 1e-9).all()
+    for k in range(8):
+        mine = sector == k
+        assert abs(w[mine].sum() - parent[mine].sum()) <= 0.08 + 1e-9
+        free = mine & (w > low + 1e-9) & (w < high - 1e-9)
+        assert np.ptp(w[free] / raw[free]) < 1e-9 if free.any() else True  # what no bound holds is in proportion
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 1), st.floats(0, 0.3), st.floats(0, 0.5)), min_size=1, max_size=12), st.floats(0, 1))
+def test_poured_is_the_level_found_by_halving(rows, part):
+    shape, low, more = (np.array(c) for c in zip(*rows, strict=True))
+    high, total = low + more, float(low.sum() + part * more.sum())
+    a, b = 0.0, 1e4
+    for _ in range(200):
+        m = (a + b) / 2
+        a, b = (m, b) if np.clip(m * shape, low, high).sum() < total else (a, m)
+    assert np.allclose(tilt.poured(shape, low, high, total), np.clip(b * shape, low, high), atol=1e-7)
+    with pytest.raises(ValueError):
+        tilt.poured(shape, low, high, float(high.sum()) + 1)
 
 
 def test_turnover_is_capped():
     now, goal = np.full(4, 0.25), np.array([0.7, 0.1, 0.1, 0.1])
-    w, t = tilt.turned(now, goal, tilt.TiltConfig())
+    w, t = tilt.traded(now, goal, tilt.TiltConfig())
     assert t == pytest.approx(0.10) and w.sum() == pytest.approx(1)
-    assert tilt.turned(now, now + 0.001, tilt.TiltConfig())[1] == 0
+    assert tilt.traded(now, now + 0.001, tilt.TiltConfig())[1] == 0
+
+
+def test_backtest_by_hand(spark):
+    rng = np.random.default_rng(3)
+    days = [date(2024, 1, d) for d in range(1, 9)]
+    names = ["A", "B", "C"]
+    goals, rets = rng.dirichlet(np.ones(3), 8), rng.normal(0, 0.02, (8, 3))
+    g = spark.createDataFrame([("s", d, n, float(goals[i, j])) for i, d in enumerate(days) for j, n in enumerate(names)], "strategy string, date date, ticker string, target double")
+    r = spark.createDataFrame([(d, n, float(rets[i, j])) for i, d in enumerate(days) for j, n in enumerate(names)], "date date, ticker string, ret double")
+    c = tilt.TiltConfig()
+    w, want = np.full(3, 1 / 3), []
+    for i in range(8):
+        move = np.where(np.abs(goals[i] - w) >= c.no_trade, goals[i] - w, 0.0)
+        move = move - move.sum() * np.abs(move) / np.abs(move).sum()
+        turnover = min(np.abs(move).sum() / 2, c.max_turnover)
+        w = w + move * turnover / (np.abs(move).sum() / 2)
+        want.append(((1 - turnover * c.cost_bps / 1e4) * (1 + w @ rets[i]) - 1, turnover))
+        w = w * (1 + rets[i]) / (w * (1 + rets[i])).sum()
+    got = [(x["net"], x["turnover"]) for x in tilt.backtest(g, r, c).orderBy("date").collect()]
+    assert np.allclose(got, want)
 
 
 def test_clusters_follow_time_and_names(spark):

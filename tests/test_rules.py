@@ -37,6 +37,7 @@ def test_longest_mention_wins(spark):
     ("Oil output falls again", {}),
     ("A jump in crude", {"OIL": 1}),
     ("Falling gas prices help", {"GAS": -1}),
+    ("Easter demand for gold in Los Angeles", {}),
     ("Oil and gold gain", {"OIL": 1, "GOLD": 1}),
     ("The committee met", {}),
     (None, {}),

@@ -81,7 +81,7 @@ def fit_head(rows: DataFrame, label: str, embedding: str = "embedding"):
     """A logistic head on embeddings, rows weighted by the root of how rare their class is."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     most = counts.agg(F.max("_n")).first()[0]
-    weighted = rows.join(F.broadcast(counts.limit(10_000)), label).withColumns({"_w": F.sqrt(F.lit(float(most)) / F.col("_n")), "_x": array_to_vector(F.col(embedding).cast("array<double>"))})
+    weighted = rows.join(counts, label).withColumns({"_w": F.sqrt(F.lit(float(most)) / F.col("_n")), "_x": array_to_vector(F.col(embedding).cast("array<double>"))})
     return Pipeline(stages=[LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=40, regParam=0.01)]).fit(weighted)
 
 

@@ -68,3 +68,9 @@ def classification_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     sums = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("right").alias("right"))
     p, r = F.coalesce(F.try_divide("right", "said"), F.lit(0.0)), F.coalesce(F.try_divide("right", "support"), F.lit(0.0))
     return sums.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+
+
+def grid(rows: DataFrame, name: str, day: str) -> DataFrame:
+    """Rows (name, day) for every name on every day that any has.  Days, some 400 a year, are gathered and exploded beside each name, so names are not joined."""
+    days = rows.select(day).distinct().agg(F.array_sort(F.collect_list(day)).alias("_days"))
+    return rows.select(name).distinct().crossJoin(F.broadcast(days)).select(name, F.explode("_days").alias(day))

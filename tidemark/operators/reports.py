@@ -68,9 +68,9 @@ def actions(f: dict) -> list[str]:
 
 
 def memo(totals: DataFrame, losses: DataFrame, scenario_id: str, generate: Callable[[str], str] | None = None) -> str:
-    """A memo in HTML; every text is escaped.  losses is a top list and has at most a few dozen rows a scenario."""
+    """A memo in HTML; every text is escaped.  losses is a top list, all of which is shown: cut it before to the length wanted."""
     f = facts(totals, scenario_id)
-    rows = losses.where(losses["scenario_id"] == scenario_id).limit(50).collect()
+    rows = losses.where(losses["scenario_id"] == scenario_id).collect()
     cells = "".join(f"<tr><td>{html.escape(str(r['position_id']))}</td><td>{dollars(r['pnl'])}</td></tr>" for r in rows)
     steps = "".join(f"<li>{html.escape(a)}</li>" for a in actions(f))
     return f"<h1>{html.escape(scenario_id)}</h1><p>{html.escape(checked_summary(f, generate))}</p><ul>{steps}</ul><table>{cells}</table>"

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.monitors import folded
+
+# Thresholds of the watch list, and the points of the scorecards below.
 WATCH, MONITOR, HYSTERESIS = 3.0, 1.5, 0.5
 
 
@@ -40,23 +46,31 @@ def gate(finance_feed: Column, entities: Column, companies: Column, themes: Colu
     return finance_feed | (F.size(companies) > 0) | ((F.size(entities) > 0) & (F.coalesce(risky, F.lit(False)) | (cue_hits > 0)))
 
 
+def next_status(score: float, before: str | None) -> str | None:
+    """The status that a score gives; one that is held is only lost HYSTERESIS below its threshold."""
+    for status, bar, holders in (("Watch Negative", WATCH, ("Watch Negative",)), ("Monitor", MONITOR, ("Watch Negative", "Monitor"))):
+        if score >= bar - (HYSTERESIS if before in holders else 0.0):
+            return status
+    return None
+
+
 def watch_status(scores: DataFrame, by: str, time: str, score: str) -> DataFrame:
-    """Rows (by, time, score, status): each key's scores in order of time, folded with hysteresis.
+    """Rows (by, time, score, status): each key's scores in order of time, folded with hysteresis.  A null score keeps the status."""
+    kinds = [scores.schema[c].dataType.simpleString() for c in (by, time, score)]
 
-    A flagged name keeps its status until its score is HYSTERESIS below the threshold.  A key's
-    scores are folded in one array, which has one entry for each time.
-    """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(score).alias("s"))))
+    def start() -> Callable:
+        held = None
+
+        def step(r) -> list[tuple]:
+            nonlocal held
+            if not pd.isna(r.score):
+                held = next_status(r.score, held)
+            return [(r.key, r.time, r.score, held)]
 
-    def step(acc: Column, x: Column) -> Column:
-        last = acc["last"]
-        now = F.when((x["s"] >= WATCH) | ((last == "Watch Negative") & (x["s"] >= WATCH - HYSTERESIS)), "Watch Negative").when((x["s"] >= MONITOR) | ((last != "") & (x["s"] >= MONITOR - HYSTERESIS)), "Monitor").otherwise("")
-        return F.struct(now.alias("last"), F.array_append(acc["out"], F.struct(x["t"].alias("t"), x["s"].alias("s"), now.alias("status"))).alias("out"))
+        return step
 
-    t, s = scores.schema[time].dataType.simpleString(), scores.schema[score].dataType.simpleString()
-    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<struct<t:{t},s:{s},status:string>>").alias("out"))
-    folded = scores.groupBy(by).agg(seq.alias("_seq")).select(by, F.explode(F.aggregate("_seq", start, step, lambda a: a["out"])).alias("_x"))
-    return folded.select(by, F.col("_x.t").alias(time), F.col("_x.s").alias(score), F.nullif(F.col("_x.status"), F.lit("")).alias("status"))
+    rows = scores.select(F.col(by).alias("key"), F.col(time).alias("time"), F.col(score).alias("score"))
+    return folded(rows, "key", ["time", "score"], start, f"key {kinds[0]}, time {kinds[1]}, score {kinds[2]}, status string").toDF(by, time, score, "status")
 
 
 def watch_score(x: dict[str, Column] | None = None) -> Column:

@@ -1,7 +1,8 @@
-"""A sentiment-tilted index: target weights within bounds and sector bands, turnover rules, and a backtest."""
+"""A sentiment-tilted index: target weights within bounds and sector bands, turnover rules, and a backtest in units."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.monitors import folded
 
+
+# The index's published rules.
 @dataclass(frozen=True)
 class TiltConfig:
     strength: float = 2.0
@@ -28,37 +32,38 @@ def tilted(panel: DataFrame, strength: float = 2.0) -> DataFrame:
     return panel.withColumn("_raw", raw).withColumn("weight", F.col("_raw") / F.sum("_raw").over(Window.partitionBy("date"))).drop("_raw")
 
 
-def bounded(w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Weights within bounds that add up to one: what is clamped stays, the rest is scaled, until nothing more is clamped."""
-    if low.sum() > 1 + 1e-9 or high.sum() < 1 - 1e-9:
-        raise ValueError("no weights within these bounds add up to one")
-    w, free = w.copy(), np.ones(len(w), bool)
-    while free.any():
-        w[free] *= (1 - w[~free].sum()) / w[free].sum()
-        out = free & ((w > high + 1e-12) | (w < low - 1e-12))
-        if not out.any():
-            break
-        w[out] = np.clip(w[out], low[out], high[out])
-        free &= ~out
-    return w
-
-
-def banded(w: np.ndarray, parent: np.ndarray, sector: np.ndarray, band: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Sectors brought back within band of their parent weight, bounds kept, in 25 passes at most."""
-    names = np.unique(sector)
-    for _ in range(25):
-        calm = True
-        for name in names if len(names) > 1 else []:
-            own = sector == name
-            now, base = w[own].sum(), parent[own].sum()
-            to = float(np.clip(now, base - band, base + band))
-            if abs(to - now) > 1e-9:
-                w = np.where(own, w * (to / now), w * ((1 - to) / w[~own].sum()))
-                calm = False
-        w = bounded(w, low, high)
-        if calm:
-            break
-    return w
+def poured(shape: np.ndarray, low: np.ndarray, high: np.ndarray, total: float) -> np.ndarray:
+    """clip(level * shape, low, high) for the one level at which it adds up to total; shape is positive.
+
+    The sum grows with the level in straight pieces that meet where an entry leaves its lower
+    or reaches its upper bound, so the piece that total falls in is found by sorting these.
+    """
+    if not low.sum() - 1e-9 <= total <= high.sum() + 1e-9:
+        raise ValueError(f"nothing within these bounds adds up to {total}")
+    corners = np.sort(np.concatenate([low / shape, high / shape]))
+    sums = np.clip(corners[:, None] * shape, low, high).sum(axis=1)
+    k = int(np.searchsorted(sums, total))
+    if k == 0 or k == len(sums):
+        return np.clip(corners[min(k, len(sums) - 1)] * shape, low, high)
+    gap = sums[k] - sums[k - 1]
+    level = corners[k - 1] + (corners[k] - corners[k - 1]) * ((total - sums[k - 1]) / gap if gap > 0 else 0.0)
+    return np.clip(level * shape, low, high)
+
+
+def goal(shape: np.ndarray, parent: np.ndarray, sector: np.ndarray, config: TiltConfig) -> np.ndarray:
+    """Weights in the proportions of shape, sectors within their band around the parent's weight, then stocks within their bounds."""
+    low = config.min_multiple * parent
+    high = np.maximum(np.minimum(config.max_multiple * parent, config.max_weight), low)
+    names, of = np.unique(sector, return_inverse=True)
+    by = lambda v: np.bincount(of, v, len(names))
+    floor, ceiling = by(low), by(high)
+    if len(names) > 1:
+        floor, ceiling = np.maximum(floor, by(parent) - config.sector_band), np.minimum(ceiling, by(parent) + config.sector_band)
+    shares = poured(by(shape), floor, ceiling, 1.0)
+    out = np.empty(len(shape))
+    for k, share in enumerate(shares):
+        out[of == k] = poured(shape[of == k], low[of == k], high[of == k], share)
+    return out
 
 
 def targets(panel: DataFrame, config: TiltConfig = TiltConfig()) -> DataFrame:
@@ -66,46 +71,62 @@ def targets(panel: DataFrame, config: TiltConfig = TiltConfig()) -> DataFrame:
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
-        parent = rows["parent"].to_numpy()
-        low = config.min_multiple * parent
-        high = np.maximum(np.minimum(config.max_multiple * parent, config.max_weight), low)
-        w = bounded(rows["weight"].to_numpy(), low, high)
-        return rows[["date", "ticker"]].assign(target=banded(w, parent, rows["sector"].to_numpy(), config.sector_band, low, high))
+        return rows[["date", "ticker"]].assign(target=goal(rows["weight"].to_numpy(), rows["parent"].to_numpy(), rows["sector"].to_numpy(), config))
 
     rows = tilted(panel, config.strength).select("date", "ticker", "sector", "parent", "weight")
     return rows.groupBy("date").applyInPandas(one, f"date {panel.schema['date'].dataType.simpleString()}, ticker string, target double")
 
 
-def turned(now: np.ndarray, target: np.ndarray, config: TiltConfig) -> tuple[np.ndarray, float]:
-    """Weights after the turnover rules, and the one-way turnover."""
-    move = np.where(np.abs(target - now) >= config.no_trade, target - now, 0.0)
-    size = np.abs(move)
-    if size.any():
-        move = move - move.sum() * size / size.sum()
-    turnover = float(np.abs(move).sum() / 2)
-    if turnover > config.max_turnover:
-        move, turnover = move * (config.max_turnover / turnover), config.max_turnover
-    return now + move, turnover
+def traded(now: np.ndarray, target: np.ndarray, config: TiltConfig) -> tuple[np.ndarray, float]:
+    """Weights after the turnover rules, and the one-way turnover.
+
+    Moves under no_trade are not made.  Sales pay for purchases: of B to buy and S to sell,
+    both sides become 2BS / (B + S), and no more than max_turnover.
+    """
+    wish = np.where(np.abs(target - now) < config.no_trade, 0.0, target - now)
+    buys, sells = np.maximum(wish, 0.0), np.maximum(-wish, 0.0)
+    b, s = buys.sum(), sells.sum()
+    if b == 0 or s == 0:
+        return now, 0.0
+    both = min(2 * b * s / (b + s), config.max_turnover)
+    return now + buys * (both / b) - sells * (both / s), float(both)
 
 
 def backtest(goals: DataFrame, rets: DataFrame, config: TiltConfig = TiltConfig()) -> DataFrame:
     """Rows (strategy, date, net, turnover): each day trades from drifted weights towards the target, pays for it and earns the returns.
 
-    goals: strategy, date, ticker, target; rets: date, ticker, ret.  A day depends on the one before, so a
-    strategy is one group of (days x constituents) rows; strategies run in parallel.
+    goals: strategy, date, ticker, target; rets: date, ticker, ret.  Between trades units are
+    held, so that weights drift with prices.  A day depends on the one before: a strategy is one
+    fold over its days, each a row with its constituents; a task holds one strategy's units.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="date", columns="ticker", values=["target", "ret"]).sort_index()
-        goal, ret = wide["target"].to_numpy(), wide["ret"].fillna(0.0).to_numpy()
-        w, out = np.full(goal.shape[1], 1 / goal.shape[1]), []
-        for day, g, r in zip(wide.index, goal, ret, strict=True):
-            w, turnover = turned(w, np.where(np.isnan(g), w, g), config)
-            gross = float(w @ r)
-            out.append((rows["strategy"].iloc[0], day, (1 - turnover * config.cost_bps / 1e4) * (1 + gross) - 1, turnover))
-            w = w * (1 + r)
-            w = w / w.sum()
-        return pd.DataFrame(out, columns=["strategy", "date", "net", "turnover"])
-
-    rows = goals.join(rets, ["date", "ticker"])
-    return rows.groupBy("strategy").applyInPandas(one, f"strategy string, date {goals.schema['date'].dataType.simpleString()}, net double, turnover double")
+    def start() -> Callable:
+        units: dict[str, float] = {}
+        price: dict[str, float] = {}
+
+        def step(r) -> list[tuple]:
+            day = list(r.names)
+            names = [x["ticker"] for x in day]
+            for n in names:
+                price.setdefault(n, 1.0)
+            if not units:
+                units.update({n: 1 / len(names) for n in names})
+            held = sorted({*units, *names})
+            p = np.array([price.setdefault(n, 1.0) for n in held])
+            worth = p * np.array([units.get(n, 0.0) for n in held])
+            value = worth.sum()
+            wanted = {x["ticker"]: x["target"] for x in day if x["target"] is not None}
+            now = worth / value
+            weights, turnover = traded(now, np.array([wanted.get(n, w) for n, w in zip(held, now, strict=True)]), config)
+            before = value
+            value *= 1 - turnover * config.cost_bps / 1e4
+            ret = {x["ticker"]: x["ret"] or 0.0 for x in day}
+            for n, w, at in zip(held, weights, p, strict=True):
+                units[n] = w * value / at
+                price[n] = at * (1 + ret.get(n, 0.0))
+            return [(r.strategy, r.date, sum(units[n] * price[n] for n in held) / before - 1, turnover)]
+
+        return step
+
+    rows = goals.join(rets, ["date", "ticker"]).groupBy("strategy", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "target", "ret"))).alias("names"))  # the constituents of one day
+    return folded(rows, "strategy", ["date"], start, f"strategy string, date {goals.schema['date'].dataType.simpleString()}, net double, turnover double")

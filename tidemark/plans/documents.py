@@ -170,10 +170,12 @@ def mixed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(F.collect_set("role").over(w)) > 1).alias("mixed"), F.length("text").cast("long").alias("n"))
 
 
-@R.add("SELECT lang, " + ", ".join(f"count(*) FILTER (source = 'src{i}') AS src{i}" for i in range(4)) + " FROM documents GROUP BY lang")
+@R.add("WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, string_agg(source || '=' || n, ',' ORDER BY source) AS sources, sum(n)::BIGINT AS total FROM n GROUP BY lang")
 def language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"src{i}" for i in range(4)]
-    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source", names).count().na.fill(0, names)
+    """All sources of a language side by side, whatever they are named."""
+    n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.concat_ws("=", "source", "n"))))
+    return n.groupBy("lang").agg(F.array_join(pairs, ",").alias("sources"), F.sum("n").alias("total"))
 
 
 @R.add("SELECT event_id, k AS key, v AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || k) AS v)")
@@ -225,7 +227,7 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.linking import MoveWords, price_directions
 
-    words = MoveWords(up=("er",), down=("tion",), quantity=("wh",), filler=("and", "of"), subjects={"THE": ("the",), "THAT": ("that",)})
+    words = MoveWords(up=frozenset({"in", "on"}), down=frozenset({"for", "is"}), quantity=frozenset({"was"}), filler=frozenset({"and", "of"}), subjects={"THE": ("the",), "THAT": ("that",)})
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(price_directions(F.col("text"), words)).alias("price", "direction"))
     return rows.groupBy("price").agg(F.count_if(F.col("direction") > 0).alias("up"), F.count_if(F.col("direction") < 0).alias("down"))
 

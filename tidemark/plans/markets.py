@@ -59,8 +59,7 @@ def outer_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""WITH s AS ({_SIGNALS}), g AS (SELECT ticker, day FROM (SELECT DISTINCT ticker FROM s), (SELECT DISTINCT day FROM s)) SELECT g.ticker, g.day, coalesce(s, 0) AS s, coalesce(volume, 0) AS volume FROM g LEFT JOIN s USING (ticker, day)""")
 def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = daily_signals(spark, sf_dir)
-    names = [r["ticker"] for r in s.select("ticker").distinct().limit(1000).collect()]  # the constituents
-    grid = s.select("day").distinct().select("day", F.explode(F.array(*map(F.lit, names))).alias("ticker"))
+    grid = panel.grid(s, "ticker", "day")
     return grid.join(s, ["ticker", "day"], "left").select("ticker", "day", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("volume", F.lit(0)).alias("volume"))
 
 

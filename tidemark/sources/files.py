@@ -65,9 +65,9 @@ def write_capped(docs: DataFrame, path: str, key: str, order: list[str], copies:
     first_n(docs, [key], order, copies).drop("place").write.mode("overwrite").json(path)
 
 
-def report_markdown(rows: DataFrame, most: int = 200) -> str:
-    """A Markdown table of a short result; numbers to the right."""
+def report_markdown(rows: DataFrame) -> str:
+    """A Markdown table of a result, which has to be short, as reports are; numbers to the right."""
     names = rows.columns
     number = {c for c, t in rows.dtypes if t in ("int", "bigint", "double", "float")}
     lines = ["| " + " | ".join(names) + " |", "|" + "|".join("---:" if c in number else "---" for c in names) + "|"]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect())])
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect())])
