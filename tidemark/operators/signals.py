@@ -54,6 +54,11 @@ def next_status(score: float, before: str | None) -> str | None:
     return None
 
 
+def next_status_of(score: Column) -> Column:
+    """The status of a score where none was held before."""
+    return F.when(score >= WATCH, "Watch Negative").when(score >= MONITOR, "Monitor")
+
+
 def watch_status(scores: DataFrame, by: str, time: str, score: str) -> DataFrame:
     """Rows (by, time, score, status): each key's scores in order of time, folded with hysteresis.  A null score keeps the status."""
     kinds = [scores.schema[c].dataType.simpleString() for c in (by, time, score)]
@@ -80,10 +85,11 @@ def watch_score(x: dict[str, Column] | None = None) -> Column:
     full = F.least(F.lit(4.0), g("credit_impact") - 5.5)
     credit = F.when(g("credit_impact") > 5.5, F.when(g("credit_focus"), full).otherwise(F.least(F.lit(1.0), 0.5 * full)))
     news = F.when(g("news_impact") >= 7, F.least(F.lit(1.5), 0.5 + 0.5 * (g("news_impact") - 7)) * F.when(g("news_focus"), 1.0).otherwise(0.5))
-    centre = F.least(F.lit(1.5), F.greatest(F.lit(0.5), 1.5 * (g("epicentre_impact") - 6) / 3))
+    # least and greatest pass over nulls
+    centre = F.when(g("epicentre_impact").isNotNull(), F.least(F.lit(1.5), F.greatest(F.lit(0.5), 1.5 * (g("epicentre_impact") - 6) / 3)))
     low = (g("sentiment") <= -0.15) & (g("evidence") >= 2)
     tone = F.when(low, F.least(F.lit(2.0), (-g("sentiment") - 0.1) * 5) + F.when(g("trend") <= -0.15, 0.5).otherwise(0.0))
-    moved = F.when(g("defaulted"), 2.0).otherwise(F.least(F.lit(2.0), 0.5 * g("notches")))
+    moved = F.when(g("defaulted"), 2.0).when(g("notches").isNotNull(), F.least(F.lit(2.0), 0.5 * g("notches")))
     zero = F.lit(0.0)
     return sum((F.coalesce(F.bround(p, 2), zero) for p in (credit, news, centre, tone, moved)), zero)
 
