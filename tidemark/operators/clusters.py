@@ -8,7 +8,7 @@ for the window are forgotten, which bounds the state of a shard.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,19 @@ def cluster(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFra
     return rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("at"), F.asc_nulls_last("seq")).mapInPandas(run, OUT)
 
 
+def event_clusters(founders: DataFrame, firm_types: list[str], threshold: float = 0.76, bonus: float = 0.06, window_hours: float = 48.0) -> DataFrame:
+    """Rows as from ``cluster``: founding documents of stories joined to events of their own type.
+
+    founders: event_type, doc_id, seq, at, embedding, names (companies).  A shared name lowers the bar by bonus; stories
+    of firm_types only join an event that shares one.  Types run in parallel.  A story whose event has been forgotten is
+    passed in again as a founder and opens or joins another.
+    """
+    rows = founders.withColumnRenamed("event_type", "shard")
+    firm = F.col("shard").isin(firm_types)
+    config = ClusterConfig(threshold=threshold, penalty=0.0, bonus=bonus, window_hours=window_hours)
+    return cluster(rows.where(~firm), config).unionByName(cluster(rows.where(firm), replace(config, need_shared=True)))
+
+
 def cluster_stream(docs: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
     """The same over a stream; what a shard remembers, its clusters of the last window, is Spark's state for it."""
     import pickle

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import GRADES, RATING_PD, STANDARD_WEIGHT, Steps, case_sql, correlation_sql, irb_weight_steps, lifetime_pd_sql, stressed_pd_steps, with_steps
@@ -120,10 +120,18 @@ def exposures(book: DataFrame) -> DataFrame:
     return book.groupBy("obligor_id").agg(F.sum(held).alias("exposure"), F.sum(F.when(cds & (F.col("direction") > 0), F.col("notional")).otherwise(0.0)).alias("protection"), F.min_by("rating", "position_id").alias("rating"))
 
 
+def concentration(stressed: DataFrame, house: str, top: int = 3) -> DataFrame:
+    """Rows (scenario_id, losers, top): how many lose, and the share of all losses that the largest ones are.  An obligor's positions add up; trades with the clearing house count one by one."""
+    name = F.when(F.col("obligor_id") == house, F.col("position_id").cast("string")).otherwise(F.col("obligor_id"))
+    losers = stressed.groupBy("scenario_id", name.alias("name")).agg(F.round(F.sum("pnl"), 2).alias("pnl")).where("pnl < 0")
+    worst = losers.withColumn("_r", F.row_number().over(Window.partitionBy("scenario_id").orderBy("pnl", "name"))).where(F.col("_r") <= top).groupBy("scenario_id").agg(F.sum("pnl").alias("_top"))
+    return losers.groupBy("scenario_id").agg(F.count("*").alias("losers"), F.sum("pnl").alias("_all")).join(worst, "scenario_id").select("scenario_id", "losers", (F.col("_top") / F.col("_all")).alias("top"))
+
+
 def worst_migration(stressed: DataFrame) -> DataFrame:
     """For each obligor that is downgraded in any scenario its rating and the worst one after."""
     place = F.expr(_ORDINAL.format("rating_after"))
     return stressed.where("rating_after <> rating").groupBy("obligor_id").agg(F.min_by("rating", "position_id").alias("rating"), F.max_by("rating_after", place).alias("worst"), F.max(place - F.expr(_ORDINAL.format("rating"))).alias("notches"))
 
 
-__all__ = ["CHANNELS", "FACTORS", "STRESS_STEPS", "correlation_sql", "exposures", "roll_up", "stress", "totals", "worst_migration"]
+__all__ = ["CHANNELS", "FACTORS", "STRESS_STEPS", "concentration", "correlation_sql", "exposures", "roll_up", "stress", "totals", "worst_migration"]

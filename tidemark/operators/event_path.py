@@ -207,3 +207,45 @@ def signals_at(observations: DataFrame, opens: DataFrame, half_life: dict[str, f
     full = full.withColumns({"_w": F.sum(F.coalesce(F.col("w") * F.col("_g"), F.lit(0.0))).over(so_far) / F.col("_g"), "_ws": F.sum(F.coalesce(F.col("ws") * F.col("_g"), F.lit(0.0))).over(so_far) / F.col("_g")})
     sums = full.groupBy("entity", "open").agg(F.sum(cred[F.col("kind")] * F.col("_w")).alias("evidence"), F.sum(cred[F.col("kind")] * F.col("_ws")).alias("_s"))
     return sums.where("evidence > 0").select("entity", "open", "evidence", (F.col("_s") / (F.col("evidence") + prior)).alias("sentiment"))
+
+
+def listed_events(events: DataFrame, least: float = 0.0, event_type: str | None = None) -> DataFrame:
+    """Events of an impact or more, of one type if that is given, most severe and most reported first."""
+    rows = events.where(F.col("impact") >= least)
+    return (rows.where(F.col("event_type") == event_type) if event_type else rows).orderBy(F.desc("impact"), F.desc("n_docs"), "event_id")
+
+
+def latest_documents(docs: DataFrame, n: int, entity: str | None = None, event: str | None = None) -> DataFrame:
+    """The last n documents, of an entity or an event if one is given, newest first."""
+    rows = docs.where(F.array_contains("entities", entity)) if entity else docs
+    return (rows.where(F.col("event_id") == event) if event else rows).orderBy(F.desc("at"), F.desc("doc_id")).limit(n)
+
+
+def weak_label(counts: Column, order: list[str], noise: str) -> Column:
+    """The type of most cues, null where several have as many, noise without any."""
+    numbers = F.array(*[counts[t] for t in order])
+    top = F.array_max(numbers)
+    alone = F.size(F.filter(numbers, lambda n: n == top)) == 1
+    return F.when(top == 0, noise).when(alone, F.element_at(F.array(*map(F.lit, order)), F.array_position(numbers, top).cast("int")))
+
+
+def topic_label(topic: Column, clear: dict[str, str], mixed: dict[str, str | None], by_cues: Column) -> Column:
+    """The type of a clear topic; else what the cues say, or the mixed topic's own type, or null."""
+    pick = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() if v for x in (k, v)])[topic]
+    return F.coalesce(pick(clear), by_cues, pick(mixed))
+
+
+def analysed(docs: DataFrame, text: str, cues: dict[str, list[str]], severity: dict[str, str], positive: list[str], negative: list[str], negators: list[str], base: dict[str, float]) -> DataFrame:
+    """docs with sentiment, event_type, confidence and impact of each text alone, as a single report that nobody corroborates.  OTHER must be the last of cues."""
+    from tidemark.functions.cues import cue_hits, fused
+    from tidemark.operators.models import rules
+
+    types = list(cues)
+    rows = rules(docs.withColumn("_text", F.coalesce(text, F.lit(""))), "_text", cues, positive, negative, negators)
+    rows = rows.withColumn("_h", cue_hits(F.col("_text"), F.lit(True), F.lit(True), cues, severity)).withColumn("_p", fused(F.col("event"), F.col("_h"), types))
+    best = F.array_max(F.transform("_p", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
+    rows = rows.withColumn("_b", best).withColumns({"event_type": F.get(F.array(*map(F.lit, types)), -F.col("_b.i")), "confidence": F.col("_b.p"), "sentiment": F.get("sentiment", F.lit(2)) - F.get("sentiment", F.lit(0))})
+    one, points = F.lit(1), F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
+    given = {k: F.lit(0) for k in ("n_sectors", "n_regions", "market_docs")} | {k: one for k in ("n_scored", "n_stories", "n_news", "stories_last_hour")}
+    given |= {f"{k}_docs": (F.col("_h.severity")[k] > 0).cast("int") for k in ("extreme", "high", "scale")} | {"base": points[F.col("event_type")]}
+    return rows.withColumn("impact", impact(given)["score"]).drop("_text", "_h", "_p", "_b", "event")

@@ -89,3 +89,34 @@ def apply_head(model, rows: DataFrame, embedding: str = "embedding") -> DataFram
     """rows with probability (an array) and guess."""
     scored = model.transform(rows.withColumn("_x", array_to_vector(F.col(embedding).cast("array<double>"))))
     return scored.withColumn("probability", vector_to_array("probability")).withColumnRenamed("prediction", "guess").drop("_x", "rawPrediction")
+
+
+def mlp(weights: list[np.ndarray], biases: list[np.ndarray], temperature: float = 1.0) -> Callable[[Column], Column]:
+    """A column function for a head with hidden layers: each layer but the last is cut at 0, the last made probabilities at a temperature.  A null embedding gives null."""
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        known = vectors.dropna()
+        if len(known):
+            h = np.stack(known.to_list()).astype(float)
+            for i, (w, b) in enumerate(zip(weights, biases, strict=True)):
+                h = h @ w + b
+                h = np.maximum(h, 0.0) if i < len(weights) - 1 else h / temperature
+            h = np.exp(h - h.max(axis=1, keepdims=True))
+            out.loc[known.index] = list(h / h.sum(axis=1, keepdims=True))
+        return out
+
+    return run
+
+
+def first_available(loaders: list[Callable[[], Callable]], fallback: Callable) -> Callable:
+    """The first model that loads; the fallback, which needs nothing, if none does."""
+    import logging
+
+    for load in loaders:
+        try:
+            return load()
+        except Exception as e:  # whatever keeps a model from loading, the next one may do
+            logging.getLogger(__name__).warning("model unavailable (%s: %s)", type(e).__name__, e)
+    return fallback

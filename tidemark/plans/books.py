@@ -180,3 +180,87 @@ def scenario_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = scenarios.blend(scenarios.rank_analogs(pairs, {"2": ["1"], "3": ["2"], "4": ["3"]}, 0.5 - 0.01 * years), shocks)
     mean = scenarios.blend(pairs.withColumn("weight", F.lit(1.0)), shocks)
     return scenarios.mixed(near, mean).withColumn("shock", F.round("shock", 6))
+
+
+@R.add(f"""WITH l AS (SELECT scenario_id, CASE WHEN obligor_id = 'C1' THEN position_id::VARCHAR ELSE obligor_id END AS name, round(sum(pnl), 2) AS pnl FROM ({_STRESSED}) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY pnl, name) AS r FROM l WHERE pnl < 0)
+SELECT scenario_id, count(*) AS losers, round(sum(pnl) FILTER (r <= 3) / sum(pnl), 6) AS top_three FROM n GROUP BY scenario_id""")
+def loss_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of all losses the three largest are; trades of the house C1 count one by one."""
+    rows = credit.stress(book(spark, sf_dir), own_scenarios(spark))
+    return credit.concentration(rows, "C1").select("scenario_id", "losers", F.round("top", 6).alias("top_three"))
+
+
+@R.add(f"""WITH p AS (SELECT obligor_id, round(sum(pnl), 2) AS pnl FROM ({_STRESSED}) WHERE scenario_id = 'crash' GROUP BY obligor_id)
+SELECT 'C' || c_custkey AS obligor_id, round(least(coalesce(pnl, 0), 0), 0) + 0e0 AS hit FROM customer LEFT JOIN p ON p.obligor_id = 'C' || c_custkey WHERE c_acctbal < 0 ORDER BY least(coalesce(pnl, 0), 0), c_acctbal, c_custkey""")
+def names_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged names, those that the crash hits hardest first, the others in the list's own order."""
+    pnl = credit.stress(book(spark, sf_dir), own_scenarios(spark)).where("scenario_id = 'crash'").groupBy("obligor_id").agg(F.round(F.sum("pnl"), 2).alias("pnl"))
+    listed = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), "c_custkey").alias("obligor_id"), "c_acctbal", "c_custkey")
+    hit = F.least(F.coalesce("pnl", F.lit(0.0)), F.lit(0.0))
+    return listed.join(pnl, "obligor_id", "left").orderBy(hit, "c_acctbal", "c_custkey").select("obligor_id", (F.round(hit, 0) + 0.0).alias("hit"))
+
+
+_TEMPLATES = {"1": {"f_F": -2.0, "f_O": 1.0}, "2": {"f_F": 1.5, "f_P": -1.0}, "3": {"f_O": -2.5, "f_P": 2.0}}
+_NAIVE = {"f_F": -1.0, "f_O": -1.0}
+_EXPOSURE = {"f_F": 2.0, "f_O": -1.0, "f_P": 0.5}
+_OWN_OVERLAYS = [("OIL", "f_F", 30.0), ("GAS", "f_F", 15.0), ("GOLD", "f_O", 10.0), ("SPX", "f_P", 8.0)]
+_PRICES = {"1-URGENT": "OIL", "2-HIGH": "GAS", "3-MEDIUM": "GOLD", "4-NOT SPECIFIED": "SPX"}
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, f, v) for t, fs in _TEMPLATES.items() for f, v in fs.items()], "event_type string, factor string, shock double")
+
+
+_T = "(VALUES " + ", ".join(f"('{t}', '{f}', {v}::DOUBLE)" for t, fs in _TEMPLATES.items() for f, v in fs.items()) + ") t(kind, factor, shock)"
+_HISTORY = f"""s AS ({_SHOCKS}), e AS (SELECT episode_id, max(day) AS "end", substr(episode_id, 6, 1) AS kind FROM s GROUP BY episode_id), v AS (SELECT episode_id AS event_id, kind, "end" AS as_of FROM e),
+pr AS (SELECT v.event_id, v.kind, e.episode_id, e.kind AS other, (CASE WHEN e.kind = v.kind THEN 1.0 WHEN e.kind::INT = v.kind::INT - 1 THEN 0.4 ELSE 0.0 END) * exp(12 * (0.5 - 0.01 * abs(substr(v.event_id, 1, 4)::INT - substr(e.episode_id, 1, 4)::INT))) AS score FROM v JOIN e ON e."end" < v.as_of),
+rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, episode_id) AS place FROM pr WHERE score > 0),
+near AS (SELECT event_id, factor, sum(score * shock) / sum(score) AS shock FROM rk JOIN s USING (episode_id) WHERE place <= 3 GROUP BY ALL), mean AS (SELECT event_id, factor, avg(shock) AS shock FROM pr JOIN s USING (episode_id) GROUP BY ALL),
+mix AS (SELECT coalesce(n.event_id, m.event_id) AS event_id, coalesce(n.factor, m.factor) AS factor, 0.5 * coalesce(n.shock, m.shock) + 0.5 * coalesce(m.shock, n.shock) AS shock FROM near n FULL JOIN mean m ON n.event_id = m.event_id AND n.factor = m.factor)"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Shocks, pairs of events and earlier episodes, and what the nearest and all of these say."""
+    shocks = episode_shocks(spark, sf_dir)
+    episodes = shocks.groupBy("episode_id").agg(F.max("day").alias("end")).select("episode_id", "end", F.substring("episode_id", 6, 1).alias("event_type"), F.lit(False).alias("extreme"))
+    events = episodes.select(F.col("episode_id").alias("event_id"), "event_type", F.col("end").alias("as_of"), F.lit(8.0).alias("impact"))
+    pairs = scenarios.eligible(events, episodes)
+    years = F.abs(F.substring("event_id", 1, 4).cast("int") - F.substring("episode_id", 1, 4).cast("int"))
+    near = scenarios.blend(scenarios.rank_analogs(pairs, {"2": ["1"], "3": ["2"], "4": ["3"]}, 0.5 - 0.01 * years), shocks)
+    return shocks, pairs, near, scenarios.blend(pairs.withColumn("weight", F.lit(1.0)), shocks)
+
+
+@R.add(f"""WITH {_HISTORY}, ev AS (SELECT event_id, kind, 4.0 + (substr(event_id, 4, 1)::INT) AS impact, greatest(0.25, least(1.35, substr(event_id, 4, 1)::INT / 4.5)) AS sv FROM v),
+b AS (SELECT event_id, factor, round(shock * sv, 2) AS shock, 'analog' AS method FROM mix JOIN ev USING (event_id) UNION ALL SELECT event_id, factor, round(t.shock * sv, 2), 'template' FROM ev JOIN {_T} ON t.kind = CASE WHEN ev.kind IN ('1', '2', '3') THEN ev.kind ELSE '1' END WHERE event_id NOT IN (SELECT event_id FROM mix)),
+mv AS (SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS event_id, o_orderpriority AS price, count(*) FILTER (o_totalprice >= 150000) AS up, count(*) FILTER (o_totalprice < 150000) AS down FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL),
+o AS (SELECT event_id, price, (CASE price WHEN '1-URGENT' THEN 30.0 WHEN '2-HIGH' THEN 15.0 WHEN '3-MEDIUM' THEN 10.0 ELSE 8.0 END) * (up - down) / (up + down)::DOUBLE AS implied, CASE price WHEN '3-MEDIUM' THEN 'f_O' WHEN '4-NOT SPECIFIED' THEN 'f_P' ELSE 'f_F' END AS factor FROM mv WHERE up + down >= 5 AND abs(up - down) / (up + down)::DOUBLE >= 0.2),
+i AS (SELECT event_id, factor, round(arg_min(implied, price) * any_value(sv), 2) AS told FROM o JOIN ev USING (event_id) GROUP BY ALL)
+SELECT coalesce(b.event_id, i.event_id) AS event_id, coalesce(b.factor, i.factor) AS factor, round(coalesce(told, b.shock), 1) AS shock, CASE WHEN told IS NOT NULL THEN 'stated' ELSE method END AS method FROM b FULL JOIN i ON b.event_id = i.event_id AND b.factor = i.factor""")
+def event_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shocks, pairs, near, mean = history(spark, sf_dir)
+    events = shocks.select(F.col("episode_id").alias("event_id")).distinct().select("event_id", F.substring("event_id", 6, 1).alias("event_type"), (4.0 + F.substring("event_id", 4, 1).cast("int")).alias("impact"))
+    names = F.create_map(*[F.lit(x) for kv in _PRICES.items() for x in kv])
+    q = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    moves = table(spark, sf_dir, "orders").groupBy(q.alias("event_id"), names[F.col("o_orderpriority")].alias("price")).agg(F.count_if(F.col("o_totalprice") >= 150000).alias("up"), F.count_if(F.col("o_totalprice") < 150000).alias("down")).where("price is not null")
+    made = scenarios.for_events(events, scenarios.mixed(near, mean), _templates(spark), moves, "1", _OWN_OVERLAYS)
+    return made.withColumn("shock", F.round("shock", 1))
+
+
+@R.add(f"""WITH {_HISTORY}, k AS (SELECT event_id, kind FROM pr GROUP BY ALL HAVING count(*) >= 4), sm AS (SELECT event_id, factor, avg(shock) AS shock FROM pr JOIN s USING (episode_id) WHERE other = pr.kind GROUP BY ALL),
+c AS (SELECT event_id, 'naive' AS method, factor, shock FROM k, (VALUES {", ".join(f"('{f}', {v}::DOUBLE)" for f, v in _NAIVE.items())}) n(factor, shock) UNION ALL SELECT event_id, 'template', factor, shock FROM k JOIN {_T} ON t.kind = CASE WHEN k.kind IN ('1', '2', '3') THEN k.kind ELSE '1' END
+ UNION ALL SELECT event_id, 'all_mean', factor, shock FROM mean SEMI JOIN k USING (event_id) UNION ALL SELECT event_id, 'same_type_mean', factor, shock FROM sm SEMI JOIN k USING (event_id) UNION ALL SELECT event_id, 'same_type_mean', factor, shock FROM mean SEMI JOIN k USING (event_id) WHERE event_id NOT IN (SELECT event_id FROM sm)
+ UNION ALL SELECT event_id, 'nearest', factor, shock FROM near SEMI JOIN k USING (event_id) UNION ALL SELECT event_id, 'blended', factor, shock FROM mix SEMI JOIN k USING (event_id)),
+x AS (SELECT c.event_id, method, c.factor, round(c.shock, 2) AS shock, s.shock AS realised, CASE c.factor {" ".join(f"WHEN '{f}' THEN {v}" for f, v in _EXPOSURE.items())} END AS ex FROM c JOIN s ON s.episode_id = c.event_id AND s.factor = c.factor),
+h AS (SELECT method, count(*) FILTER (shock * realised > 0) / count(*) AS hit_rate FROM x WHERE abs(realised) >= 1 GROUP BY method),
+rl AS (SELECT episode_id AS event_id, sum(shock * CASE factor {" ".join(f"WHEN '{f}' THEN {v}" for f, v in _EXPOSURE.items())} END) AS pnl FROM s GROUP BY episode_id),
+er AS (SELECT event_id, method, round(abs(coalesce(p, 0) - pnl), 4) AS error FROM (SELECT event_id, method, sum(shock * ex) AS p FROM x GROUP BY ALL) RIGHT JOIN (SELECT DISTINCT event_id, method FROM c) USING (event_id, method) JOIN rl USING (event_id)),
+ag AS (SELECT event_id, max(error) FILTER (method = 'naive') AS na, max(error) FILTER (method = 'all_mean') AS me FROM er GROUP BY event_id)
+SELECT method, count(*) AS episodes, round(avg(error), 2) AS error_mean, round(median(error), 2) AS error_median, count(*) FILTER (error < na) AS closer_than_naive, count(*) FILTER (error < me) AS closer_than_average, round(any_value(hit_rate), 6) AS hit_rate FROM er JOIN ag USING (event_id) LEFT JOIN h USING (method) GROUP BY method""")
+def scenario_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shocks, pairs, near, mean = history(spark, sf_dir)
+    said = scenarios.candidates(pairs, shocks, near, mean, _NAIVE, _templates(spark), "1")
+    realised = shocks.select(F.col("episode_id").alias("event_id"), "factor", F.col("shock").alias("realised"))
+    exposure = spark.createDataFrame(list(_EXPOSURE.items()), "factor string, exposure double")
+    units = exposure.select("factor", F.lit("pct").alias("unit"))
+    b = scenarios.backtest(said, realised, exposure, units)
+    return b.select("method", "episodes", F.round("error_mean", 2).alias("error_mean"), F.round("error_median", 2).alias("error_median"), "closer_than_naive", "closer_than_average", F.round("hit_rate", 6).alias("hit_rate"))

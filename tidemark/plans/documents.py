@@ -174,8 +174,9 @@ def mixed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources of a language side by side, whatever they are named."""
     n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.concat_ws("=", "source", "n"))))
-    return n.groupBy("lang").agg(F.array_join(pairs, ",").alias("sources"), F.sum("n").alias("total"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))))
+    named = F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["source"], p["n"])), ",")
+    return n.groupBy("lang").agg(named.alias("sources"), F.sum("n").alias("total"))
 
 
 @R.add("SELECT event_id, k AS key, v AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || k) AS v)")

@@ -143,14 +143,48 @@ def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("strategy", *[F.round(c, 5).alias(c) for c in ("annual_return", "annual_volatility", "sharpe", "max_drawdown", "tracking_error", "days_ahead")])
 
 
-@R.add("""WITH l AS (SELECT label AS y, [embedding[1]::DOUBLE * 8, embedding[2]::DOUBLE * 8, embedding[3]::DOUBLE * 8] AS z FROM embeddings), g AS (SELECT unnest([0.5, 1.0, 1.5, 2.0, 3.0]) AS temperature),
-p AS (SELECT temperature, exp((z[(y % 3 + 1)::INT] - list_max(z)) / temperature) / (exp((z[1] - list_max(z)) / temperature) + exp((z[2] - list_max(z)) / temperature) + exp((z[3] - list_max(z)) / temperature)) AS p FROM l, g)
-SELECT temperature, round(-avg(ln(greatest(p, 1e-12))), 6) AS nll FROM p GROUP BY temperature""")
+@R.add("""WITH l AS (SELECT label % 3 AS y, list_transform([0, 1, 2], lambda k: 4 * list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN (i - 1) % 3 = k THEN embedding[i]::DOUBLE ELSE 0 END))) AS z FROM embeddings), g AS (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0]) AS temperature),
+p AS (SELECT temperature, exp((z[(y + 1)::INT] - list_max(z)) / temperature) / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / temperature))) AS p FROM l, g), n AS (SELECT temperature, round(-avg(ln(greatest(p, 1e-12))), 6) AS nll FROM p GROUP BY temperature)
+SELECT temperature, nll, row_number() OVER (ORDER BY nll, temperature) = 1 AS best FROM n""")
 def temperature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 8)
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 3 + 1).cast("int").alias("y"), z.alias("z"))
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.element_at(softmax(F.col("z"), t), F.col("y")).alias("p")) for t in (0.5, 1.0, 1.5, 2.0, 3.0)]))
-    return rows.select(each.alias("e")).groupBy(F.col("e.temperature").alias("temperature")).agg(F.round(-F.avg(F.log(F.greatest("e.p", F.lit(1e-12)))), 6).alias("nll"))
+    """How well softened logits, each a sum over every third component, fit the labels, and which temperature is best."""
+    from pyspark.sql import Window
+
+    temperatures = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
+    logit = lambda k: 4 * F.aggregate(F.transform("embedding", lambda x, i: F.when(i % 3 == k, x.cast("double")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 3 + 1).cast("int").alias("y"), F.array(*[logit(k) for k in range(3)]).alias("z"))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.element_at(softmax(F.col("z"), t), F.col("y")).alias("p")) for t in temperatures]))
+    fit = rows.select(each.alias("e")).groupBy(F.col("e.temperature").alias("temperature")).agg(F.round(-F.avg(F.log(F.greatest("e.p", F.lit(1e-12)))), 6).alias("nll"))
+    return fit.withColumn("best", F.row_number().over(Window.orderBy("nll", "temperature")) == 1)  # a row for each temperature
+
+
+@R.add("""WITH h AS (SELECT vec_id, list_transform(range(0, 4), lambda j: greatest(0, list_sum(list_transform(range(0, len(embedding)), lambda i: embedding[i + 1]::DOUBLE * (((i * 7 + j * 3) % 11) - 5) / 10)) + 0.1 * j)) AS h FROM embeddings),
+o AS (SELECT vec_id, list_transform(range(0, 3), lambda k: (list_sum(list_transform(range(0, 4), lambda j: h[j + 1] * (((j * 5 + k * 2) % 7) - 3) / 2)) + 0.2 * k) / 1.5) AS o FROM h)
+SELECT vec_id, round(exp(o[1]) / (exp(o[1]) + exp(o[2]) + exp(o[3])), 6) AS p0, round(exp(o[2]) / (exp(o[1]) + exp(o[2]) + exp(o[3])), 6) AS p1, round(exp(o[3]) / (exp(o[1]) + exp(o[2]) + exp(o[3])), 6) AS p2 FROM o""")
+def hidden_layer_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head with one hidden layer, its weights made by a rule, over all embeddings."""
+    import numpy as np
+
+    from tidemark.operators.models import mlp
+
+    first = np.fromfunction(lambda i, j: ((i * 7 + j * 3) % 11 - 5) / 10, (64, 4))
+    second = np.fromfunction(lambda j, k: ((j * 5 + k * 2) % 7 - 3) / 2, (4, 3))
+    head = mlp([first, second], [0.1 * np.arange(4), 0.2 * np.arange(3)], 1.5)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", head(F.col("embedding").cast("array<double>")).alias("p"))
+    return rows.select("vec_id", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)])
+
+
+@R.add(f"""WITH p AS ({_PRICES}), s AS ({_SIGNALS}), r AS (SELECT ticker, day, lead(px) OVER w / lag(px) OVER w - 1 AS ret FROM p WINDOW w AS (PARTITION BY ticker ORDER BY day)),
+j AS (SELECT s, ret FROM (SELECT ticker, day, s FROM s WHERE s <> 0) s ASOF JOIN r ON s.ticker = r.ticker AND s.day >= r.day WHERE ret IS NOT NULL)
+SELECT count(*) AS n, count(*) FILTER (s > 0) AS up, round(avg(((ret > 0) = (s > 0))::INT), 6) AS agreement, count(*) FILTER (abs(ret) >= 0.03) AS big, round(avg(((ret > 0) = (s > 0))::INT) FILTER (abs(ret) >= 0.03), 6) AS big_agreement, round(greatest(avg((ret > 0)::INT), avg((ret <= 0)::INT)), 6) AS majority FROM j""")
+def direction_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the signal's direction is that of the last price move, in all and among large moves, beside always saying the more common one."""
+    r = panel.returns(prices(spark, sf_dir), "ticker", "day", "px").select("ticker", "day", F.col("ret_around").alias("ret"))
+    said = daily_signals(spark, sf_dir).where("s <> 0").select("ticker", "day", "s")
+    j = asof.asof_join(said, r, ["ticker"], "day", ["ret"]).where("ret is not null")
+    same, large = ((F.col("ret") > 0) == (F.col("s") > 0)).cast("int"), F.abs("ret") >= 0.03
+    up = F.avg((F.col("ret") > 0).cast("int"))
+    return j.agg(F.count("*").alias("n"), F.count_if(F.col("s") > 0).alias("up"), F.round(F.avg(same), 6).alias("agreement"), F.count_if(large).alias("big"), F.round(F.avg(F.when(large, same)), 6).alias("big_agreement"), F.round(F.greatest(up, 1 - up), 6).alias("majority"))
 
 
 @R.add(f"SELECT day, " + ", ".join(f"max(px) FILTER (ticker LIKE '{i}-%') AS t{i}" for i in range(1, 6)) + f" FROM ({_PRICES}) GROUP BY day")

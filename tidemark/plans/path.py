@@ -196,3 +196,51 @@ def signals_at_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scored(spark, sf_dir).where(~F.col("duplicate")).select(F.explode("entities").alias("entity"), "kind", F.col("sentiment").alias("score"), F.lit(1.0).alias("weight"), "at")
     rows = P.signals_at(docs, at("14:30:00").unionByName(at("21:00:00")), {"news": 36.0, "social": 12.0}, {"news": 1.0, "social": 0.35})
     return rows.select("entity", F.col("open").cast("timestamp_ntz").alias("open"), F.round("evidence", 6).alias("evidence"), F.round("sentiment", 6).alias("sentiment"))
+
+
+@R.add(f"WITH {_SCORED} SELECT event_id, event_type, round(impact, 6) AS impact, n_docs FROM ei WHERE impact >= 5 AND event_type <> 'OTHER' ORDER BY impact DESC, n_docs DESC, event_id LIMIT 50")
+def top_impact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of events over an impact, most severe first, fifty at most."""
+    _, events = signals_of(spark, sf_dir)
+    return P.listed_events(events, 5.0).where("event_type <> 'OTHER'").limit(50).select("event_id", "event_type", F.round("impact", 6).alias("impact"), "n_docs")
+
+
+@R.add(f"WITH {_SCORED} SELECT doc_id, event_id, kind FROM sd WHERE list_contains(entities, 'N3') AND NOT dup ORDER BY moment DESC, doc_id DESC LIMIT 40")
+def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest documents of one entity, without copies."""
+    return P.latest_documents(scored(spark, sf_dir).where(~F.col("duplicate")), 40, entity="N3").select("doc_id", "event_id", "kind")
+
+
+@R.add(f"""WITH {_SCORED}, f AS (SELECT doc_id, unnest(entities) AS entity FROM sd), c AS (SELECT f.* FROM f JOIN em USING (entity) WHERE type = 'company'), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, entity FROM c JOIN n USING (doc_id) WHERE n BETWEEN 2 AND 5 UNION ALL SELECT doc_id, entity FROM f WHERE entity = 'N0')
+SELECT doc_id, string_agg(entity || '=' || round(((doc_id * 31 + substr(entity, 2)::INT) % 200 - 100) / 100.0::DOUBLE, 2), ',' ORDER BY entity) AS scores FROM t GROUP BY doc_id""")
+def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the entities that are scored apart, made up by a rule, as a map for each document."""
+    docs = scored(spark, sf_dir)
+    firms = [f"N{i}" for i in range(25) if i % 3]
+    pairs = P.target_pairs(docs, F.filter("entities", lambda e: e.isin(firms)), F.filter("entities", lambda e: e == "N0"))
+    made = pairs.withColumn("score", F.round(((F.col("doc_id") * 31 + F.substring("entity", 2, 9).cast("int")) % 200 - 100) / 100.0, 2))
+    maps = P.scores_by_document(made)
+    return maps.select("doc_id", F.array_join(F.transform(F.map_entries("scores"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("scores"))
+
+
+_WEAK = f"""WITH h AS (SELECT doc_id, lang, source, {_list_sql(HEADLINES)}[(doc_id % 16 + 1)::INT] || '. ' || coalesce(text, '') AS said FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT *, {", ".join(f"{_hits_sql(t, 'said')} AS c{i}" for i, t in enumerate(TYPES))} FROM h), m AS (SELECT *, greatest(c0, c1, c2, c3, c4) AS top FROM c)
+SELECT doc_id, CASE WHEN top = 0 THEN 'OTHER' WHEN (c0 = top)::INT + (c1 = top)::INT + (c2 = top)::INT + (c3 = top)::INT + (c4 = top)::INT = 1 THEN CASE WHEN c0 = top THEN 'GEOPOLITICAL' WHEN c1 = top THEN 'CREDIT_EVENT' WHEN c2 = top THEN 'REGULATORY' WHEN c3 = top THEN 'MARKET_COMMENTARY' ELSE 'MACROECONOMIC' END END AS weak,
+ CASE source WHEN 'src0' THEN 'REGULATORY' WHEN 'src1' THEN 'MACROECONOMIC' ELSE CASE WHEN top > 0 THEN CASE WHEN c0 = top THEN 'GEOPOLITICAL' WHEN c1 = top THEN 'CREDIT_EVENT' WHEN c2 = top THEN 'REGULATORY' WHEN c3 = top THEN 'MARKET_COMMENTARY' ELSE 'MACROECONOMIC' END WHEN source = 'src2' THEN 'OTHER' END END AS topic FROM m"""
+
+
+@R.add(_WEAK)
+def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by rule: the type of most cues if it is alone with that, noise without any; and by topic, where mixed topics go by their cues."""
+    headline = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("doc_id") % 16 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "source", T.cue_counts(F.concat(headline, F.lit(". "), F.coalesce("text", F.lit(""))), CUES).alias("cues"))
+    topic = P.topic_label(F.col("source"), {"src0": "REGULATORY", "src1": "MACROECONOMIC"}, {"src2": "OTHER"}, T.best_type(F.col("cues"), TYPES[:-1]))
+    return docs.select("doc_id", P.weak_label(F.col("cues"), TYPES[:-1], "OTHER").alias("weak"), topic.alias("topic"))
+
+
+@R.add("WITH t AS (SELECT lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, url, page_id FROM pages) SELECT title, min(page_id) AS page_id, count(*) AS found FROM t WHERE title <> '' GROUP BY title")
+def searched_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles once each, whatever their case, with the first page that has it."""
+    rows = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), "page_id").where("title <> ''")
+    return rows.groupBy("title").agg(F.min("page_id").alias("page_id"), F.count("*").alias("found"))
