@@ -11,18 +11,23 @@ def slot(path, name, text):
 
 def test_slot_stream_waits_for_a_late_file_then_gives_up(tmp_path):
     s = feeds.SlotStream({"path": str(tmp_path), "start": "20240101000000"})
-    assert s.read(s.initialOffset())[1] == {"slot": "20240101000000"}
+    told = lambda a, b: [r[1] for p in s.partitions(a, b) for r in s.read(p)]
+    first = s.initialOffset()
+    assert s.latestOffset() == {"slot": "20240101000000"}
     slot(tmp_path, "20240101000000", "a\nb\n")
     slot(tmp_path, "20240101003000", "d\n")
-    rows, offset = s.read(s.initialOffset())
-    assert [r[1] for r in rows] == ["a", "b"] and offset == {"slot": "20240101001500"}
+    offset = s.latestOffset()
+    assert told(first, offset) == ["a", "b"] and offset == {"slot": "20240101001500"}
     slot(tmp_path, "20240101001500", "c\n")
-    rows, offset = s.read(offset)
-    assert [r[1] for r in rows] == ["c", "d"] and offset == {"slot": "20240101004500"}
+    after = s.latestOffset()
+    assert told(offset, after) == ["c", "d"] and after == {"slot": "20240101004500"}
     slot(tmp_path, "20240101014500", "z\n")
-    rows, later = s.read(offset)
-    assert [r[1] for r in rows] == [] and later == {"slot": "20240101010000"}  # a slot that is four old is passed over
-    assert [r[1] for r in s.readBetweenOffsets({"slot": "20240101000000"}, offset)] == ["a", "b", "c", "d"]
+    later = s.latestOffset()
+    assert told(after, later) == [] and later == {"slot": "20240101010000"}  # a slot that is four old is passed over
+    assert told(first, after) == ["a", "b", "c", "d"]
+    again = feeds.SlotStream({"path": str(tmp_path), "start": "20240101000000"})
+    again.commit(after)
+    assert again.latestOffset() == later
 
 
 def test_slot_feed_as_a_source(spark, tmp_path):

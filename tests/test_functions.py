@@ -212,3 +212,14 @@ def test_clusters_follow_time_and_names(spark):
 def test_unknown_factors(spark):
     a, b = spark.createDataFrame([("x", 1.0), ("q", 2.0)], "factor string, shock double"), spark.createDataFrame([("x",)], "factor string")
     assert [r[0] for r in scenarios.unknown_factors(a, b).collect()] == ["q"]
+
+
+def test_entities_are_resolved_as_the_standard_has_it(spark):
+    import html
+
+    texts = ["a &amp; b", "&lt;p&gt;", "&amp;lt;", "&copy 2024 &copyright &notit; &notin;", "&#8364; &#x20AC; &#X41 &#65", "&#128; &#0; &#xD800; &#1114112; &#99999999999; &#1; &#13;", "&unknown; &; & x", "&CounterClockwiseContourIntegral; &ngE;", "AT&T", "&&amp&&", "&#x;&#;", "no entity", "", "&eacute;t&eacute; &EACUTE;", "x &nbsp y"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    from tidemark.functions import text
+
+    got = [r[0] for r in df.select(text.unescape(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts] + [None]

@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# HTML entities that feeds use, and what they stand for; the ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
+#: Names of HTML entities and what they stand for, as the standard has them; those without a semicolon are read as far as they go.
+NAMED = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
+LEGACY = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
+#: Numbers that the standard reads as characters of an old code page.
+_SILENT = [*range(0x1, 0x9), 0xB, *range(0xE, 0x20), 0x7F, *range(0xFDD0, 0xFDF0), *[plane << 16 | x for plane in range(17) for x in (0xFFFE, 0xFFFF)]]
+OLD_NUMBERS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 # Patterns and words of the cleaning rules.
 URL = r"https?://\S+|www\.\S+"
 RETWEET = r"(?i)^\s*RT @\w+:\s*"
-PUBLISHER_SUFFIX = r"\s+[-|–—]\s+[A-Z][A-Za-z0-9_&.' ]{1,30}$"
-FILE_NAME = r"(?i)^[A-Za-z0-9_\s().,&'-]{1,80}\.(pdf|docx?|xlsx?|pptx?|csv|txt)$"
+PUBLISHER_SUFFIX = r"(?U)\s+[-|–—]\s+[A-Z][\w&.' ]{1,30}$"
+FILE_NAME = r"(?iU)^[\w\s().,&'-]{1,80}\.(pdf|docx?|xlsx?|pptx?|csv|txt)$"
 #: Words that no complete headline ends in; fixed values.
 OPEN_ENDINGS = ["a", "an", "the", "of", "to", "amid", "with", "by", "from", "into", "for", "and", "or", "but", "as", "at", "its", "their", "his", "her", "than"]
 
 
 def unescape(text: Column) -> Column:
-    """Common HTML entities resolved; null stays null."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """HTML entities resolved, named ones and numbers, as browsers do; null stays null.
+
+    Only texts with an ampersand are cut at these; a name is looked up among the standard's.
+    """
+    named, legacy, old = (F.from_json(F.lit(json.dumps(d)), "map<string,string>") for d in (NAMED, LEGACY, OLD_NUMBERS))
+    longest = max(map(len, LEGACY))
+
+    def number(ref: Column) -> Column:
+        hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+        digits = F.regexp_replace(F.regexp_replace(ref, "^#[xX]?", ""), "^0+(?=.)", "")
+        n = F.when(F.length(digits) > 7, F.lit(1 << 30)).otherwise(F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+        bad, silent = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF) | (n == 0), n.isin(*_SILENT)
+        return F.when(bad, "\ufffd").when(n.between(0x80, 0x9F), old[n.cast("string")]).when(n == 0x0D, "\r").when(silent, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        bare = F.regexp_replace(ref, ";$", "")
+        size = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda k: F.when(legacy[F.substring(ref, F.lit(1), k)].isNotNull() & (k <= F.length(ref)), k).otherwise(0)))
+        rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
+        name = F.when(named[ref].isNotNull(), F.concat(named[ref], rest)).when(size > 0, F.concat(legacy[F.substring(ref, F.lit(1), size)], F.substring(piece, size + 1, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+        return F.when(ref == "", F.concat(F.lit("&"), piece)).when(ref.startswith("#"), F.concat(_of(bare, number), rest)).otherwise(name)
+
+    def resolved(t: Column) -> Column:
+        return bound(F.split(t, "&", -1), lambda ps: F.concat(F.get(ps, F.lit(0)), F.array_join(F.transform(F.slice(ps, 2, F.size(ps)), one), "")))
+
+    return F.when(text.contains("&"), resolved(text)).otherwise(text)
+
+
+def _of(value: Column, body) -> Column:
+    return body(value)
 
 
 def clean_text(text: Column, strip_publisher: bool = False) -> Column:

@@ -20,7 +20,8 @@ ENTITIES = {"E1": ["the", "this"], "E2": ["der", "die"], "E3": ["les", "une"], "
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({e}, 'https?://\S+|www\.\S+', ' ', 'g'), '(?i)^\s*RT @\w+:\s*', ''), '\s+', ' ', 'g'))"
 _UNESCAPE = "coalesce({c}, '')"
-for _a, _b in T.ENTITIES:
+# What the tables hold of entities, for the SQL; the ampersand last.
+for _a, _b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]:
     _UNESCAPE = f"replace({_UNESCAPE}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues as C
 from tidemark.functions import text as T
 from tidemark.operators import event_path as P
+from tidemark.operators.shared import checkpointed
 from tidemark.plans.common import Registry, table
 
 R = Registry()
@@ -77,7 +78,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 11 == 0).alias("extreme"), (i % 7 == 0).alias("high"), (i % 5 == 0).alias("scale"), (i % 4 == 0).alias("market"),
         F.array_distinct(F.array(F.concat(F.lit("N"), i % 25), F.concat(F.lit("N"), (i * 7) % 25))).alias("entities"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"),
     )
-    return P.mark_duplicates(docs, "fp").drop("fp")
+    return checkpointed(P.mark_duplicates(docs, "fp").drop("fp"))  # without texts; all that follows reads this
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:

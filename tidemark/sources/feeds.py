@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SLOT = timedelta(minutes=15)
 _FORMAT = "%Y%m%d%H%M%S"
@@ -28,22 +28,25 @@ class SlotFeed(DataSource):
     def schema(self) -> str:
         return "slot string, line string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return SlotStream(self.options)
 
     def reader(self, schema) -> DataSourceReader:
         return SlotReader(self.options)
 
 
-def lines(path: str, slot: str) -> list[tuple[str, str]] | None:
+def lines(path: str, slot: str) -> Iterator[tuple[str, str]] | None:
     """The rows of a slot, or nothing if its file is not there (yet)."""
     import os
 
     name = os.path.join(path, slot + ".csv")
-    if not os.path.exists(name):
-        return None
+    return _rows(name, slot) if os.path.exists(name) else None
+
+
+def _rows(name: str, slot: str) -> Iterator[tuple[str, str]]:
     with open(name, encoding="utf-8", errors="replace") as f:
-        return [(slot, line.rstrip("\n")) for line in f]
+        for line in f:
+            yield slot, line.rstrip("\n")
 
 
 def newest(path: str) -> str:
@@ -52,28 +55,42 @@ def newest(path: str) -> str:
     return max((n[:14] for n in os.listdir(path) if n.endswith(".csv") and n[:14].isdigit()), default="")
 
 
-class SlotStream(SimpleDataSourceStreamReader):
+class SlotStream(DataSourceStreamReader):
+    """The driver only looks at file names; each slot is a partition that an executor reads.  The folder must be one that all share."""
+
     def __init__(self, options: dict):
         self.path, self.start, self.give_up = options["path"], options["start"], int(options.get("give_up", 4))
+        self.at = self.start
 
     def initialOffset(self) -> dict:
         return {"slot": self.start}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at, last = [], datetime.strptime(start["slot"], _FORMAT), newest(self.path)
+    def latestOffset(self) -> dict:
+        """The first slot that is not there and may still come, or the one after the newest."""
+        import os
+
+        last, at = newest(self.path), datetime.strptime(self.at, _FORMAT)
         while last and at <= datetime.strptime(last, _FORMAT):
-            found = lines(self.path, at.strftime(_FORMAT))
-            if found is None and datetime.strptime(last, _FORMAT) - at < self.give_up * SLOT:
-                break  # it may still come
-            rows += found or []
+            there = os.path.exists(os.path.join(self.path, at.strftime(_FORMAT) + ".csv"))
+            if not there and datetime.strptime(last, _FORMAT) - at < self.give_up * SLOT:
+                break
             at += SLOT
-        return iter(rows), {"slot": at.strftime(_FORMAT)}
+        self.at = at.strftime(_FORMAT)
+        return {"slot": self.at}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         at, to = (datetime.strptime(o["slot"], _FORMAT) for o in (start, end))
+        out = []
         while at < to:
-            yield from lines(self.path, at.strftime(_FORMAT)) or []
+            out.append(InputPartition(at.strftime(_FORMAT)))
             at += SLOT
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from lines(self.path, partition.value) or []
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at, end["slot"])
 
 
 class SlotReader(DataSourceReader):
