@@ -224,6 +224,16 @@ def test_bpe(spark, sf):
     assert bpe.digests(brute.docs(spark, []), path, P.PATTERN).count() == 0
 
 
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 10)
+    made = []
+    kept = bpe.Pieces(lambda p: made.append(p) or list(p))
+    for i in range(100):
+        assert kept[f"p{i % 12}"] == np.array(list(f"p{i % 12}".encode()), "<u4").tobytes()
+        assert kept["x" * 1000] == np.full(1000, 120, "<u4").tobytes()
+    assert len(kept) + len(kept.old) <= 20 and "x" * 1000 not in kept and made.count(b"p1") < 9
+
+
 def test_bpe_appends_and_edits():
     P = pytest.importorskip("public_tokenizers")
     vocab = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.kernels import buffers, ids_back, ids_of, slices
 from tidemark.llm.parts import need_columns
 
-#: Pieces whose ids are kept for reuse, in each of two generations in a worker.
-KEPT_PIECES = 250_000
+#: Pieces whose ids are kept for reuse, in each of two generations in a worker, and their characters at most; longer ones are made anew each time.
+KEPT_PIECES, KEPT_CHARS = 250_000, 64
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -38,7 +38,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids of pieces as little-endian 32-bit integers; the last pieces are kept, in two generations."""
+    """Ids of pieces as little-endian 32-bit integers; the last pieces, but for long ones, are kept, in two generations."""
 
     def __init__(self, make):
         super().__init__()
@@ -48,6 +48,8 @@ class Pieces(dict):
         got = self.old.get(piece)
         if got is None:
             got = struct.pack(f"<{len(ids := self.make(piece.encode()))}I", *ids)
+        if len(piece) > KEPT_CHARS:
+            return got
         if len(self) >= KEPT_PIECES:
             self.old = dict(self)
             self.clear()

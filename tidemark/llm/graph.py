@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_top(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a new one in local mode, as in tests, else an error: executors share no other."""
-    top = spark.conf.get("spark.checkpoint.dir", "")
-    if top:
-        return top.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="shared-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_top(df.sparkSession))
-    return df.checkpoint()
+from tidemark.operators.shared import checkpointed, shared_top
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,3 +33,4 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+__all__ = ["checkpointed", "components", "shared_top"]
