@@ -234,9 +234,12 @@ def price_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("price").agg(F.count_if(F.col("direction") > 0).alias("up"), F.count_if(F.col("direction") < 0).alias("down"))
 
 
-@R.add()
+@R.add(f"""WITH lx AS ({_LEXICON}), c AS (SELECT doc_id, {", ".join(f"coalesce({_cue_sql(n)}, 0) AS {n.lower()}_" for n in CUES)} FROM documents),
+e AS (SELECT *, credit_ + market_ + policy_ + other_ AS hits FROM c), r AS (SELECT doc_id, (other_ + 0.02 + (hits = 0)::INT)::DOUBLE / (hits + 0.08 + (hits = 0)::INT) AS noise FROM e)
+SELECT doc_id, neg, neu, pos, round(1 - noise, 6) AS relevance, 1 - noise >= 0.5 AS relevant FROM lx JOIN r USING (doc_id)""")
 def rule_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import models
 
-    docs = models.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", CUES, POSITIVE, NEGATIVE, NEGATORS)
-    return models.relevant(docs, 3).select("doc_id", F.transform("sentiment", lambda x: F.round(x, 6)).alias("sentiment"), F.round("relevance", 6).alias("relevance"), "relevant")
+    docs = models.rules(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", CUES, POSITIVE, NEGATIVE, NEGATORS)
+    tone = [F.round(F.get("sentiment", F.lit(i)), 6).alias(n) for i, n in enumerate(("neg", "neu", "pos"))]
+    return models.relevant(docs, 3).select("doc_id", *tone, F.round("relevance", 6).alias("relevance"), "relevant")
