@@ -142,3 +142,11 @@ def test_texts_are_embedded_once(spark, tmp_path):
     other = lambda c: F.array(F.lit(-1.0))
     again = {r["text"]: r["embedding"] for r in settings.embedded(docs.union(spark.createDataFrame([("new",)], "text string")), str(tmp_path / "c"), other, "e1").collect()}
     assert again == {"a": [1.0], "bb": [2.0], "new": [-1.0], None: None}
+
+
+def test_small_helpers(spark):
+    from tidemark.functions import text
+
+    df = spark.createDataFrame([("First one. The bank fell! Last.", -1.26e9), ("Nothing here", 35e6), (None, 900.0)], "t string, x double")
+    assert [r[0] for r in df.select(text.excerpt(F.col("t"), "(?i)bank")).collect()] == ["The bank fell!", "Nothing here", None]
+    assert [r[0] for r in df.select(text.money(F.col("x"))).collect()] == ["-$1.3bn", "$35.0m", "$900"]

@@ -74,3 +74,14 @@ def grid(rows: DataFrame, name: str, day: str) -> DataFrame:
     """Rows (name, day) for every name on every day that any has.  Days, some 400 a year, are gathered and exploded beside each name, so names are not joined."""
     days = rows.select(day).distinct().agg(F.array_sort(F.collect_list(day)).alias("_days"))
     return rows.select(name).distinct().crossJoin(F.broadcast(days)).select(name, F.explode("_days").alias(day))
+
+
+def agreement_summary(rows: DataFrame, truth: str, guess: str, part: Column | None = None) -> DataFrame:
+    """One row (n, accuracy, macro_f1, part_n, part_accuracy): how often guess is truth, the mean of all labels' F1, and the same share where part holds."""
+    counts = rows.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    each = counts.select(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).alias("said"), F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(0).alias("ok")).unionAll(counts.select("g", F.lit(0), "n", F.lit(0)))
+    f1 = each.where("label is not null").groupBy("label").agg(F.coalesce(F.try_divide(2 * F.sum("ok"), F.sum("support") + F.sum("said")), F.lit(0.0)).alias("f1"))
+    right = F.coalesce((F.col(truth) == F.col(guess)).cast("int"), F.lit(0))
+    inside = F.coalesce(part if part is not None else F.lit(False), F.lit(False))
+    total = rows.agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.count_if(inside).alias("part_n"), F.avg(F.when(inside, right)).alias("part_accuracy"))
+    return total.crossJoin(F.broadcast(f1.agg(F.avg("f1").alias("macro_f1")))).select("n", "accuracy", "macro_f1", "part_n", "part_accuracy")  # one row each

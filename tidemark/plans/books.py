@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import GRADES, RATING_PD, case_sql, irb_weight_steps, nearest_grade_sql, steps_sql, stressed_pd_steps, with_steps
 from tidemark.operators import asof, credit, scenarios
+from tidemark.operators.shared import checkpointed
 from tidemark.plans.common import Registry, table
 
 R = Registry()
@@ -221,7 +222,7 @@ mix AS (SELECT coalesce(n.event_id, m.event_id) AS event_id, coalesce(n.factor,
 
 def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Shocks, pairs of events and earlier episodes, and what the nearest and all of these say."""
-    shocks = episode_shocks(spark, sf_dir)
+    shocks = checkpointed(episode_shocks(spark, sf_dir))  # a few rows a quarter, read many times
     episodes = shocks.groupBy("episode_id").agg(F.max("day").alias("end")).select("episode_id", "end", F.substring("episode_id", 6, 1).alias("event_type"), F.lit(False).alias("extreme"))
     events = episodes.select(F.col("episode_id").alias("event_id"), "event_type", F.col("end").alias("as_of"), F.lit(8.0).alias("impact"))
     pairs = scenarios.eligible(events, episodes)

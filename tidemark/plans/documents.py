@@ -61,6 +61,13 @@ def page_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", T.tidy_headline(F.col("t")).alias("headline"), T.is_file_name(F.col("t")).alias("is_file"))
 
 
+@R.add(f"SELECT page_id, t AS headline FROM (SELECT page_id, {clean_sql(_TITLE)} AS t FROM pages) WHERE length(t) >= 8 AND NOT regexp_matches(t, '{T.FILE_NAME.replace(chr(39), chr(39) * 2)}')")
+def kept_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles long enough to say something that are no file names."""
+    rows = table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("headline"))
+    return rows.where((F.length("headline") >= 8) & ~T.is_file_name(F.col("headline")))
+
+
 _SHARE = "(('0x' || substr(md5({s} || lower(trim(text))), 1, 8))::BIGINT / 4294967295.0)"
 
 
@@ -158,6 +165,14 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.classification_report(rows, "truth", "guess")
 
 
+@R.add("""WITH p AS (SELECT quality AS t, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS g, toxic = 1 AS part FROM labels l JOIN documents d USING (doc_id)), f AS (SELECT label, 2.0 * count(*) FILTER (t = g AND label = t) / (count(*) FILTER (label = t) + count(*) FILTER (label = g)) AS f1 FROM p, (VALUES (0), (1)) l(label) WHERE label IN (t, g) GROUP BY label)
+SELECT count(*) AS n, round(avg((t = g)::INT), 6) AS accuracy, (SELECT round(avg(f1), 6) FROM f) AS macro_f1, count(*) FILTER (part) AS part_n, round(avg((t = g)::INT) FILTER (part), 6) AS part_accuracy FROM p""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("quality", "toxic", (F.col("n_chars") >= 1000).cast("int").alias("guess"))
+    s = panel.agreement_summary(rows, "quality", "guess", F.col("toxic") == 1)
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1")], "part_n", F.round("part_accuracy", 6).alias("part_accuracy"))
+
+
 @R.add("SELECT quality, count(*) AS n, round(sqrt(max(count(*)) OVER () / count(*)::DOUBLE), 6) AS weight, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM labels GROUP BY quality")
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"))

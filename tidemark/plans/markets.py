@@ -63,6 +63,12 @@ def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(s, ["ticker", "day"], "left").select("ticker", "day", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
+@R.add(f"WITH s AS ({_SIGNALS}) SELECT day, round(sum(s * volume) / sum(volume), 6) AS tone, round(avg(s), 6) AS plain, sum(volume)::BIGINT AS volume FROM s GROUP BY day")
+def weighted_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's tone, tickers weighted by how much is said of them."""
+    return daily_signals(spark, sf_dir).groupBy("day").agg(F.round(F.try_divide(F.sum(F.col("s") * F.col("volume")), F.sum("volume")), 6).alias("tone"), F.round(F.avg("s"), 6).alias("plain"), F.sum("volume").alias("volume"))
+
+
 _BUCKET = "CASE WHEN top < 20 THEN 1 WHEN top < 40 THEN 2 WHEN top < 60 THEN 3 WHEN top < 80 THEN 4 WHEN top < 95 THEN 5 ELSE 6 END"
 
 
