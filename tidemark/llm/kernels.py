@@ -148,6 +148,15 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
         return mix(out + U64(length) * _GOLD)
 
 
+#: Runs of fewer words than this can't be told apart wrongly by a polynomial of their hashes but by chance.
+SHORT = 512
+
+
+def windows_at(hashes: np.ndarray, sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of so many words that begin at the words at; sums are the prefix sums of hashes."""
+    return range_hash(sums, at, at + length) if length < SHORT else window_hashes(hashes, length)[at]
+
+
 def leftmost_least(keys: np.ndarray, span: int, chunk: int = 1 << 19) -> np.ndarray:
     """Place of the least of each run of span keys, the leftmost of several.  Keys are compared by their leading 44 bits, everywhere alike."""
     n = max(0, len(keys) - span + 1)
@@ -178,13 +187,14 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.nda
     """Sorted distinct shingle hashes of each padded text, and their n+1 offsets.  A text with fewer than k words gives its whole sequence."""
     starts, ends, wo = words(data, offs)
     hashes = word_hashes(data, starts, ends)
+    sums = prefix_sums(hashes)
     at = windows(len(starts), wo, k)
-    keys, first = [window_hashes(hashes, k)[at]] if len(at) else [np.zeros(0, U64)], [at]
+    keys, first = [windows_at(hashes, sums, at, k)] if len(at) else [np.zeros(0, U64)], [at]
     count = np.diff(wo)
     for size in range(1, k):
         short = wo[:-1][count == size]
         if len(short):
-            keys.append(window_hashes(hashes, size)[short])
+            keys.append(windows_at(hashes, sums, short, size))
             first.append(short)
     keys, first = np.concatenate(keys), np.concatenate(first)
     doc = np.searchsorted(wo, first, "right") - 1

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.kernels import U64, ids_back, leftmost_least, runs, slices, window_hashes, windows, word_hashes, words
+from tidemark.llm.kernels import U64, ids_back, leftmost_least, prefix_sums, runs, slices, windows, windows_at, word_hashes, words
 from tidemark.llm.parts import KEY_SCHEMA, blocks, doc_parts, exchange, from_planes, key_part, key_rows, load, number_of_parts, part_of, planes, seen, squeeze, table_of, unsqueeze
 
 _FIRST_SCHEMA = "part int, source int, keys binary, more binary, docs binary, starts binary, carry binary"
@@ -48,24 +48,25 @@ class Part:
         self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
         self.word_offs = np.searchsorted(self.starts, self.offs)
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.word_offs))
-        self.kept: dict[int, np.ndarray] = {}
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def words(self, seed: int) -> np.ndarray:
+    def words(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words and their prefix sums."""
         if seed not in self.kept:
             out = [np.zeros(0, U64)]
             for i, j in slices(self.offs):  # arrays of eight bytes for each byte of text stay small
                 mine, base = slice(self.word_offs[i], self.word_offs[j]), self.offs[i]
                 out.append(word_hashes(self.data[base : self.offs[j]], self.starts[mine] - base, self.ends[mine] - base, seed))
-            self.kept[seed] = np.concatenate(out)
+            self.kept[seed] = (hashes := np.concatenate(out)), prefix_sums(hashes)
         return self.kept[seed]
 
     def hashes(self, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
         """Hashes of the windows of so many words that begin at the words at; independent ones for other seeds."""
-        return window_hashes(self.words(seed), length)[at] if len(at) else np.zeros(0, U64)
+        return windows_at(*self.words(seed), at, length) if len(at) else np.zeros(0, U64)
 
     def landmarks(self, length: int, short: int) -> np.ndarray:
         """First word of the landmark of the window that begins at each word, whether it stays within a text or not."""
-        return leftmost_least(window_hashes(self.words(0), short), length - short + 1) if len(self.starts) >= length else np.zeros(0, np.int64)
+        return leftmost_least(self.hashes(np.arange(len(self.starts) - short + 1), short), length - short + 1) if len(self.starts) >= length else np.zeros(0, np.int64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
