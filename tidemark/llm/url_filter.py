@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.graph import checkpointed
+
 #: Blocked at a lower bound of this rate or more; the bound lies so many posterior standard deviations under the mean.
 BLOCK_RATE, DEVIATIONS = 0.5, 1.645
 #: Bounds of a prior's strength in pages.
@@ -82,7 +84,7 @@ def reputations(outcomes: DataFrame, others: DataFrame | None = None, suffixes:
     if others is not None:
         bare = others.where("host is not null").select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
         hosts = hosts.unionByName(bare).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = checkpointed(hosts.withColumns({"domain": domain, "suffix": suffix}))  # a row for each host; pages are read once for it
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = (F.col("bad") + F.col("prior_n") * F.col("above")) / (F.col("n") + F.col("prior_n"))
