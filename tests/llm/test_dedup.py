@@ -74,7 +74,7 @@ def test_jaccard_exactly_at_the_threshold(spark):
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(brute.docs(spark, rows)).collect()) == sorted(brute.jaccard(rows))
 
 
-@pytest.mark.parametrize(("seed", "changes"), [(8, 1), (9, 3), (10, 5)])
+@pytest.mark.parametrize(("seed", "changes"), [(9, 3), (10, 5)])
 def test_large_buckets_are_dealt_into_shares(spark, monkeypatch, seed, changes):
     monkeypatch.setattr(ngram_join, "SHARE", 7)
     rng = random.Random(seed)
