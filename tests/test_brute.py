@@ -146,3 +146,53 @@ def test_stress_situations(spark, sf):
             mine["impact"], mine["reports"] = max(mine["impact"], impact), reports
             want.add((kind, name, at, mine["id"], why))
     assert {tuple(r) for r in events.R.queries["stress_situations"](spark, sf).collect()} == want and want
+
+
+def test_index_trades(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).orderBy("at", F.col("user_id").cast("string")).collect()
+    want, state = set(), {}
+    for r in rows:
+        s = state.setdefault(r["event_type"], {"now": {}, "then": {}, "acted": set(), "due": False, "last": None})
+        name, tone = str(r["user_id"]), r["value"] / 50 - 1
+        s["now"][name] = tone
+        if abs(tone - s["then"].get(name, 0.0)) >= 0.2:
+            s["due"] = True
+        elif r["value"] / 10 >= 7 and r["event_id"] not in s["acted"]:
+            s["acted"].add(r["event_id"])
+            s["due"] = True
+        waited = math.inf if s["last"] is None else r["at"] - s["last"]
+        why = "initial" if s["last"] is None else "tactical" if s["due"] and waited >= 900 else "scheduled" if waited >= 3600 else None
+        if why:
+            s.update(then=dict(s["now"]), due=False, last=r["at"])
+            want.add((r["event_type"], r["at"], why))
+    assert {tuple(r) for r in events.R.queries["index_trades"](spark, sf).collect()} == want and want
+
+
+def test_price_mentions(spark, sf):
+    want = {"THE": [0, 0], "THAT": [0, 0]}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        ws = re.findall(r"[a-z0-9&$%.]*[a-z0-9%]", (r["text"] or "").lower())
+        for name in want:
+            votes = 0
+            for i, w in enumerate(ws):
+                if w != name.lower():
+                    continue
+                vote = None
+                for x in ws[i + 1 : i + 5]:
+                    if x == "was":
+                        vote = 0
+                    elif x in ("in", "on"):
+                        vote = 1
+                    elif x in ("for", "is"):
+                        vote = -1
+                    elif x in ("and", "of", "the", "that") or x[0].isdigit():
+                        continue
+                    break
+                if vote is None:
+                    front = [x for x in ws[max(0, i - 3) : i] if x not in ("a", "in", "of", "the")][-1:]
+                    vote = 1 if front and front[0] == "on" else -1 if front and front[0] in ("for", "is") else 0
+                votes += vote
+            if votes:
+                want[name][votes < 0] += 1
+    got = {r["price"]: [r["up"], r["down"]] for r in documents.R.queries["price_mentions"](spark, sf).collect()}
+    assert got == {k: v for k, v in want.items() if any(v)}
