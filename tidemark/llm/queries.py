@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, near_vectors, ngram_join, pii, sharding, suffixes, url_filter, word_windows
+from tidemark.llm import adaptive_scan, bpe, decontaminate, hard_negatives, langid, near_vectors, ngram_join, periodic, pii, sharding, suffixes, url_filter, word_windows
 from tidemark.llm.graph import shared_top
 
 #: (verdict, host, path) of the rules that come before a host's reputation.
@@ -71,9 +71,23 @@ def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "arrival", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pca_tiles, op2_word_window_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_bpe_prefix_dp, op7_url_reputation, op8_ngram_jaccard, op9_contextual_pii, op10_tiered_shards)
-}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", other))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_planted(table(spark, sf_dir, "documents")))
+
+
+def op13_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_pca_tiles, op2_word_window_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_bpe_prefix_dp, op7_url_reputation, op8_ngram_jaccard, op9_contextual_pii, op10_tiered_shards)
+_ALL += (op11_hard_negatives, op12_periodic_runs, op13_adaptive_scan)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _OP1 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
@@ -145,4 +159,33 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM (SEL
 # Whatever shard a document ends up in: it is there once, and as it was.
 _OP10 = "SELECT doc_id, coalesce((doc_id % 16 + 16) % 16, 0)::BIGINT AS arrival, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
 
-ORACLE_SQL: dict[str, str] = {"op1_pca_tiles": _OP1, "op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8, "op10_tiered_shards": _OP10}
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+"""
+
+# Pairs of places that begin the same six words, in rows of consecutive ones, are stretches with a period; of stretches that are one, the smallest period counts.
+_OP12 = r"""
+WITH crc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h FROM documents),
+plan AS (SELECT *, (h // 10) AS g, len(w)::BIGINT AS n FROM crc),
+cut AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM plan),
+d AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM cut),
+six AS (SELECT r, i, array_to_string(w[i + 1:i + 6], ' ') AS k FROM (SELECT r, w, unnest(range(0, len(w) - 5)) AS i FROM d WHERE len(w) >= 12)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.r, y.i - x.i ORDER BY x.i) AS island FROM six x JOIN six y ON x.r = y.r AND x.k = y.k AND x.i < y.i),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM pairs GROUP BY r, q, island HAVING count(*) + 5 >= greatest(q, 12 - q)),
+short AS (SELECT six.r, start, length, min(q) AS period FROM stretches JOIN (SELECT DISTINCT r FROM six) six USING (r) GROUP BY ALL),
+digest AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(start, length, period), struct_pack(a := -length, b := start, c := period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM short GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM short),
+kept AS (SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d SEMI JOIN digest USING (r)) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(digest.t, '')) AS runs_sha256, sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.t, '') END) AS collapsed_sha256
+FROM d LEFT JOIN digest USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pca_tiles": _OP1, "op2_word_window_dedup": _OP2, "op4_suffix_dedup": _OP4, "op7_url_reputation": _OP7, "op8_ngram_jaccard": _OP8, "op10_tiered_shards": _OP10, "op11_hard_negatives": _OP11, "op12_periodic_runs": _OP12}
