@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import books, documents, events, markets, path, text_path
+from tidemark.plans import books, documents, events, markets, path, text_path, watch
 
-REGISTRIES = (documents.R, events.R, path.R, markets.R, books.R, text_path.R)
+REGISTRIES = (documents.R, events.R, path.R, markets.R, books.R, text_path.R, watch.R)
 QUERIES = {n: q for r in REGISTRIES for n, q in r.queries.items()}
 SQL = {n: s for r in REGISTRIES for n, s in r.sql.items()}
 
