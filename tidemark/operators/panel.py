@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import rank_tails
+
 
 def returns(panel: DataFrame, by: str, time: str, price: str) -> DataFrame:
     """With prev, day, next and around: the return up to, at and after each row, and over the three."""
@@ -47,6 +49,22 @@ def ols_hc1(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([(t, round(float(b), 9), round(float(b / s), 6) if s else None) for t, b, s in zip(["intercept", *xs], beta, se, strict=True)], "term string, beta double, t double")
 
 
+def significance(rows: DataFrame, measures: list[str], outcome: str) -> DataFrame:
+    """Rows (measure, rho, p_value, n, top_mean, lift): the rank correlation of each measure with the outcome, how likely chance gives one as strong, and the outcome's mean where the measure is in its top tenth, also over the mean of all."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_m")) for m in measures])).alias("e"), F.col(outcome).cast("double").alias("_o")).select("e.*", "_o").where("_m is not null and _o is not null")
+    rho = spearman(each, ["measure"], "_m", "_o")
+    cut = each.groupBy("measure").agg(F.percentile("_m", F.lit(0.9)).alias("_cut"), F.avg("_o").alias("_all"))
+    top = each.join(F.broadcast(cut), "measure").where("_m >= _cut").groupBy("measure").agg(F.avg("_o").alias("top_mean"), (F.avg("_o") / F.first("_all")).alias("lift"))  # a row for each measure
+    return rho.join(top, "measure").withColumn("p_value", rank_tails(F.col("rho"), F.col("n"))).select("measure", "rho", "p_value", "n", "top_mean", "lift")
+
+
+def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with columns less their mean, over their deviation; a constant one becomes 0."""
+    m = rows.agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    spread = lambda i: F.when(F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s{i}"))
+    return rows.crossJoin(F.broadcast(m)).withColumns({c: (F.col(c) - F.col(f"_m{i}")) / spread(i) for i, c in enumerate(columns)}).drop(*m.columns)  # one row
+
+
 def strategy_metrics(daily: DataFrame, by: list[str], time: str, ret: str, benchmark: str, days: int = 252) -> DataFrame:
     """Annual return and volatility, Sharpe ratio, drawdown, tracking error, information ratio and share of days ahead, for each strategy."""
     w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import softmax
+from tidemark.functions.numeric import beta_sql, softmax, t_tails
 from tidemark.operators import asof, panel, tilt
 from tidemark.plans.common import Registry, table
 
@@ -104,6 +104,44 @@ def ols_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.ols_hc1(daily_signals(spark, sf_dir).withColumn("log_volume", F.log1p("volume")), "s", ["log_volume", "top"])
 
 
+_MEASURES = ("top", "volume", "tone")
+
+
+@R.add(f"""WITH s AS (SELECT top, volume, -s AS tone, abs(s) AS size FROM ({_SIGNALS})), e AS (SELECT unnest({list(_MEASURES)}) AS measure, unnest([top::DOUBLE, volume::DOUBLE, tone::DOUBLE]) AS m, size FROM s),
+r AS (SELECT measure, rank() OVER (PARTITION BY measure ORDER BY m) + (count(*) OVER (PARTITION BY measure, m) - 1) / 2 AS a, rank() OVER (PARTITION BY measure ORDER BY size) + (count(*) OVER (PARTITION BY measure, size) - 1) / 2 AS b FROM e),
+c AS (SELECT measure, corr(a, b) AS rho, count(*) AS n FROM r GROUP BY measure), k AS (SELECT measure, quantile_cont(m, 0.9) AS cut, avg(size) AS everywhere FROM e GROUP BY measure),
+t AS (SELECT measure, avg(size) AS top_mean, avg(size) / first(everywhere) AS lift FROM e JOIN k USING (measure) WHERE m >= cut GROUP BY measure)
+SELECT measure, round(rho, 6) AS rho, round({beta_sql("(1 - rho * rho)", "((n - 2) / 2e0)", "0.5e0")}, 9) AS p_value, n, round(top_mean, 6) AS top_mean, round(lift, 6) AS lift FROM c JOIN t USING (measure)""")
+def rank_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what is said of a day goes with how large its signal is, and by how much more where most is said."""
+    rows = daily_signals(spark, sf_dir).select("top", "volume", (-F.col("s")).alias("tone"), F.abs("s").alias("size"))
+    found = panel.significance(rows, list(_MEASURES), "size")
+    return found.select("measure", F.round("rho", 6).alias("rho"), F.round("p_value", 9).alias("p_value"), "n", F.round("top_mean", 6).alias("top_mean"), F.round("lift", 6).alias("lift"))
+
+
+@R.add()
+def ols_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust least squares of a signal's size on standardised measures, with p-values."""
+    rows = daily_signals(spark, sf_dir).select(F.col("top").cast("double").alias("top"), F.log1p("volume").alias("log_volume"), (-F.col("s")).alias("tone"), F.abs("s").alias("size"))
+    names = ["top", "log_volume", "tone"]
+    found = panel.ols_hc1(panel.standardised(rows, names), "size", names)
+    return found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).withColumn("p_value", F.round(t_tails(F.col("t"), F.col("n") - len(names) - 1), 9))  # one row
+
+
+@R.add(f"""WITH s AS ({_SIGNALS}), f AS (SELECT *, lead(s) OVER (PARTITION BY ticker ORDER BY day) - s AS move FROM s), g AS (SELECT * FROM f WHERE move IS NOT NULL),
+r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY s) + (count(*) OVER (PARTITION BY day, s) - 1) / 2 AS a, rank() OVER (PARTITION BY day ORDER BY move) + (count(*) OVER (PARTITION BY day, move) - 1) / 2 AS b FROM g),
+d AS (SELECT day, corr(a, b) AS ic FROM r GROUP BY day HAVING count(*) >= 5), x AS (SELECT avg(ic) / stddev_samp(ic) * sqrt(count(*)) AS t, count(*) AS days FROM d)
+SELECT days, round(t, 5) AS t_stat, CASE WHEN days > 1 THEN round({beta_sql("((days - 1) / (days - 1 + t * t))", "((days - 1) / 2e0)", "0.5e0")}, 9) END AS p_value FROM x""")
+def ic_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the information coefficient's mean is likely by chance."""
+    from pyspark.sql import Window
+
+    move = F.lead("s").over(Window.partitionBy("ticker").orderBy("day")) - F.col("s")
+    daily = panel.spearman(daily_signals(spark, sf_dir).withColumn("move", move), ["day"], "s", "move", least=5, name="ic")
+    found = daily.agg(F.count("*").alias("days"), (F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*"))).alias("t"))
+    return found.select("days", F.round("t", 5).alias("t_stat"), F.when(F.col("days") > 1, F.round(t_tails(F.col("t"), F.col("days") - 1), 9)).alias("p_value"))
+
+
 _PANEL = f"""SELECT day AS date, ticker, CASE WHEN ticker < '3' THEN 'fast' ELSE 'slow' END AS sector, 0.2 AS parent, s AS sentiment FROM ({_SIGNALS})"""
 
 
