@@ -108,8 +108,9 @@ def scan(q: list[np.ndarray], v: list[np.ndarray], open_: np.ndarray, bound: np.
     for a, b in zip(q, v, strict=True):
         counts.append(int(open_.sum()) if dense else len(i))
         done += b.shape[1]
-        # The whole squared distance is beyond the bound, so the test says, if the part is beyond this share of it.
-        share = (1 + SURPRISE / np.sqrt(done)) ** 2 * done / size if done < size else 1 + 1e-9
+        # The whole squared distance is beyond the bound, so the test says, if the part is beyond this share of it:
+        # of a turned vector, the length of a part varies as that of done of size equal components does.
+        share = min(1.0, (1 + SURPRISE * np.sqrt((1 - done / size) / done)) ** 2 * done / size) + (1e-9 if done == size else 0)
         if dense:
             so_far += np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
             open_ = open_ & (so_far <= (bound * share)[:, None] + (1e-9 * _lengths(q) if done == size else 0))
