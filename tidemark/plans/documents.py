@@ -214,6 +214,17 @@ def knn_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.first_n(scored, ["vec_id"], [F.desc("sim"), "other"], 5).select("vec_id", "other", F.col("place").cast("long").alias("place"), F.round("sim", 6).alias("sim"))
 
 
+@R.add("""WITH s AS (SELECT q.vec_id, e.vec_id AS other, sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS far FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id)
+SELECT vec_id, other, place, round(far, 6) AS far FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, other) AS place FROM s) WHERE place <= 5""")
+def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector among those of its label, by rings around reference points."""
+    from tidemark.operators.knn import knn_join
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x"))
+    found = knn_join(rows, rows, 5, "label")
+    return found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("other"), F.col("rank").cast("long").alias("place"), F.round("distance", 6).alias("far"))
+
+
 @R.add("""WITH x AS (SELECT label, unnest(range(0, 64)) AS position, embedding FROM embeddings), s AS (SELECT label, position, sum(embedding[position + 1]::DOUBLE) AS s FROM x GROUP BY ALL)
 SELECT label, position::INT AS position, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS value FROM s""")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
