@@ -226,7 +226,7 @@ _IN = ["shard", "doc_id", "fp", "batch", "seq", "at", "type", "relevance", "embe
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    kinds = {"shard": "string", "doc_id": "string", "fp": "string", "batch": "long", "seq": "long", "type": "int", "relevance": "double"}
+    kinds = {"shard": "string", "doc_id": "string", "fp": "string", "batch": "long", "type": "int", "relevance": "double"}
     return docs.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else (F.unix_micros(c) / 1e6).alias(c) if c == "at" else F.col(c) for c in _IN])
 
 
