@@ -68,6 +68,19 @@ def kept_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.length("headline") >= 8) & ~T.is_file_name(F.col("headline")))
 
 
+@R.add(f"""WITH d AS (SELECT text, lang, {clean_sql('text')} AS t FROM documents), c AS (SELECT *, CASE WHEN text IS NULL THEN 'no_text' WHEN length(t) < 200 THEN 'too_short' WHEN regexp_matches(t, '{T.FILE_NAME.replace(chr(39), chr(39) * 2)}') THEN 'file_name' END AS reject FROM d)
+SELECT k.counter, CASE k.counter WHEN 'rows' THEN count(*) WHEN 'accepted' THEN count(*) FILTER (reject IS NULL) WHEN 'no_language' THEN count(*) FILTER (reject IS NULL AND lang IS NULL) WHEN 'long' THEN count(*) FILTER (reject IS NULL AND length(t) > 2000) ELSE count(*) FILTER (reject = k.counter) END AS n
+FROM c, (SELECT unnest(['rows', 'accepted', 'no_text', 'too_short', 'file_name', 'no_language', 'long']) AS counter) k GROUP BY k.counter""")
+def read_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the documents counts, from the scan that reads them."""
+    from tidemark.sources.audit import audited
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", T.clean_text(F.col("text")).alias("cleaned"))
+    wrong = {"no_text": F.col("text").isNull(), "too_short": F.length("cleaned") < 200, "file_name": T.is_file_name(F.col("cleaned"))}
+    found = audited(docs, wrong, {"no_language": F.col("lang").isNull(), "long": F.length("cleaned") > 2000})
+    return spark.createDataFrame(list(found.counters.items()), "counter string, n long")
+
+
 _SHARE = "(('0x' || substr(md5({s} || lower(trim(text))), 1, 8))::BIGINT / 4294967295.0)"
 
 

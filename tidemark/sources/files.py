@@ -30,8 +30,10 @@ def slots(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def replay_pack(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of JSON lines files, compressed or not, with seq in the order of time; ties keep the order of ids."""
-    return spark.read.schema(DOCUMENT).json(path).orderBy("published_at", "doc_id")
+    """Documents of JSON lines files, compressed or not, in the order of time; ties keep the order of files and lines."""
+    from tidemark.sources.audit import ordered
+
+    return ordered(spark.read.schema(DOCUMENT).json(path)).orderBy("published_at", "arrival").drop("arrival")
 
 
 def book(spark: SparkSession, path: str) -> DataFrame:
