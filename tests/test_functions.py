@@ -79,11 +79,6 @@ def test_money_and_dollars(spark):
     assert df.select(text.dollars(F.col("t")).alias("d")).collect()[0]["d"] == -1234.5
 
 
-def test_literalise(spark):
-    df = spark.createDataFrame([("a price war on prices",), ("war in the east",)], "t string")
-    assert [r[0] for r in df.select(text.literalise(F.col("t"), "price {} on", "war")).collect()] == ["a price  on prices", "war in the east"]
-
-
 def test_mentions(spark):
     df = spark.createDataFrame([("Apple and apples, Bank",)], "t string")
     assert df.select(text.mentioned(F.col("t"), {"A": ["apple"], "B": ["bank"], "C": ["app"]})).first()[0] == ["A", "B"]

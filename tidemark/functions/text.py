@@ -149,18 +149,6 @@ def best_type(counts: Column, order: list[str]) -> Column:
     return F.when(top["n"] > 0, top["name"])
 
 
-def fuse_cues(probabilities: Column, counts: Column, order: list[str], boost: float = 0.5) -> Column:
-    """Model probabilities times 1 + boost * cues of each type, made to add up to one."""
-    scaled = F.zip_with(probabilities, F.array(*[counts[n] for n in order]), lambda p, n: p * (1 + boost * F.coalesce(n, F.lit(0))))
-    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(scaled, lambda p: F.try_divide(p, total))
-
-
-def literalise(text: Column, idiom: str, word: str) -> Column:
-    """The text with word blanked wherever the idiom, which has the word in it, occurs: what stands around it is emitted again.  idiom has two groups, before and after the word."""
-    return F.regexp_replace(text, f"(?i)({idiom.split('{}')[0]}){word}({idiom.split('{}')[1]})", "$1$2")
-
-
 def excerpt(text: Column, target: str, length: int = 280) -> Column:
     """The first sentence that matches target, or else the first, cut to length."""
     sentences = F.split(text, r"(?<=[.!?])\s+")

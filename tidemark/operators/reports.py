@@ -6,7 +6,8 @@ import html
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def dollars(x: float) -> str:
@@ -45,6 +46,60 @@ def faults(draft: str, f: dict, most_words: int = 120) -> list[str]:
     return found
 
 
+#: Placeholders that a draft may have, and those it must have.
+SLOTS = ("SCENARIO", "POSITIONS", "RESULT", "RATIO", "REQUIREMENT", "DOWNGRADES")
+NEEDED = ("RESULT", "RATIO")
+#: Numbers in words, and what a draft with placeholders must not say: the scenario as a fact, harm that is done, claims put into reports' mouths, itself.
+NUMBER_WORDS = r"\b(two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundreds?|thousands?|millions?|billions?|half|twice|doubled?)\b"
+SAID = {
+    "realised": r"\b(the (book|bank) (has )?lost|losses (have|had) (been|occurred)|suffered (a loss|losses))\b",
+    "already hit": r"\b((bank|borrowers?|obligors?) (has|have) (already )?been (hit|affected|damaged)|already (hit|suffering))\b",
+    "claims of reports": r"\breports? (say|says|claim|claims|suggest|suggests|confirm|confirms)\b",
+    "about itself": r"\b(this (draft|summary|paragraph|text)|as requested|the placeholders?|rewritten)\b",
+    "compared with itself": r"\babove \[RATIO\]",
+}
+BELOW, ABOVE, RISES = r"\b(falls?|drops?|dips?) (to )?below\b|\bbreach(es|ed)?\b", r"\b(stays?|remains?|holds?) above\b", r"\bratio (rises?|improves?|increases?|strengthens?)\b"
+
+
+def problems(draft: Column, breach: Column, falls: Column) -> Column:
+    """What is wrong with a draft that has placeholders in brackets where figures go, as an array of names, in a fixed order; none for a good one.
+
+    breach says that the ratio falls below the requirement, falls that it falls at all.  A null draft is an empty one.
+    """
+    text = F.coalesce(draft, F.lit(""))
+    slots = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([A-Z_]+)\]"), F.lit(1)))
+    plain = F.regexp_replace(text, r"\[[A-Z_]+\]", " ")
+    has = lambda pattern, where=text: where.rlike("(?i)" + pattern)
+    checks = {
+        "empty": F.trim(text) == "", "unknown placeholder": F.size(F.array_except(slots, F.array(*map(F.lit, SLOTS)))) > 0, "own numbers": plain.rlike("[0-9]") | has(NUMBER_WORDS, plain),
+        "missing placeholder": F.size(F.array_except(F.array(*map(F.lit, NEEDED)), slots)) > 0, "breach denied": breach & has(ABOVE), "breach invented": ~breach & has(BELOW), "ratio rises": falls & has(RISES),
+        **{name: has(pattern) for name, pattern in SAID.items()}, "unfinished": (F.trim(text) != "") & ~F.trim(text).rlike(r"[.!?][\"')]*$"),
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
+
+
+def filled(draft: Column, values: dict[str, Column]) -> Column:
+    """The draft with placeholders replaced: a sign that value and draft both have stays once, an article follows the value's sound, and a value that begins a sentence begins in upper case."""
+    out = F.coalesce(draft, F.lit(""))
+    for name, value in values.items():
+        value, slot = F.coalesce(value.cast("string"), F.lit("")), f"[{name}]"
+        out = F.when(value.startswith("$"), F.replace(out, F.lit(f"${slot}"), F.lit(slot))).otherwise(out)
+        out = F.when(value.endswith("%"), F.replace(out, F.lit(f"{slot}%"), F.lit(slot))).otherwise(out)
+        vowel = value.rlike(r"(?i)^[aeiou]|^8|^11|^18")
+        for big, small in (("A", "an"), ("a", "an")):
+            right = F.when(vowel, F.lit(f"{big}n {slot}")).otherwise(F.lit(f"{big} {slot}"))
+            out = F.regexp_replace(out, F.lit(rf"\b{big}n? \[{name}\]"), right)
+        begin = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1 << 20))
+        out = F.regexp_replace(out, F.lit(rf"(^|[.!?]\s+)\[{name}\]"), F.concat(F.lit("$1"), _quoted(begin)))
+        out = F.replace(out, F.lit(slot), value)
+    return out
+
+
+def _quoted(value: Column) -> Column:
+    """A value as a replacement that means itself."""
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+
 def checked_summary(f: dict, generate: Callable[[str], str] | None = None, tries: int = 2) -> str:
     """A generated draft if one passes the checks, or else the plain sentences."""
     for _ in range(tries if generate else 0):

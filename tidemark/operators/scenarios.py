@@ -65,11 +65,12 @@ def unknown_factors(shocks: DataFrame, factors: DataFrame) -> DataFrame:
     return shocks.select("factor").subtract(factors.select("factor"))
 
 
-def direction_hits(predicted: DataFrame, realised: DataFrame, units: DataFrame) -> DataFrame:
-    """Rows (method, scored, hits, rate) over factors that really moved by a material amount."""
+def factor_hits(candidate: DataFrame, realised: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (method, factor, scored, hits, rate): how often each method's direction of each factor was right, over moves that were material in the factor's unit."""
     limit = F.create_map(*[F.lit(x) for kv in MATERIAL.items() for x in kv])
-    rows = realised.join(units, "factor").where(F.abs("realised") >= limit[F.col("unit")]).join(predicted, ["event_id", "factor"])
-    return rows.groupBy("method").agg(F.count("*").alias("scored"), F.count_if(F.signum("shock") == F.signum("realised")).alias("hits"), F.avg((F.signum("shock") == F.signum("realised")).cast("double")).alias("rate"))
+    rows = realised.join(units, "factor").where(F.abs("realised") >= limit[F.col("unit")]).join(candidate, ["event_id", "factor"])
+    right = F.round("shock", 2) * F.col("realised") > 0
+    return rows.groupBy("method", "factor").agg(F.count("*").alias("scored"), F.count_if(right).alias("hits"), (F.count_if(right) / F.count("*")).alias("rate"))
 
 
 def severity(impact: Column) -> Column:

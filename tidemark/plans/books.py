@@ -265,3 +265,69 @@ def scenario_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = exposure.select("factor", F.lit("pct").alias("unit"))
     b = scenarios.backtest(said, realised, exposure, units)
     return b.select("method", "episodes", F.round("error_mean", 2).alias("error_mean"), F.round("error_median", 2).alias("error_median"), "closer_than_naive", "closer_than_average", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+_OVERRIDES = [("f_F", -7.5), ("f_X", 2.0)]
+_LAST = f"""l AS (SELECT episode_id AS event_id, factor, shock FROM ({_SHOCKS}))"""
+
+
+@R.add(f"""WITH {_LAST}, o AS (SELECT event_id, factor, shock FROM (SELECT DISTINCT event_id FROM l), (VALUES {", ".join(f"('{f}', {v}::DOUBLE)" for f, v in _OVERRIDES)}) v(factor, shock))
+SELECT coalesce(l.event_id, o.event_id) AS event_id, coalesce(l.factor, o.factor) AS factor, coalesce(o.shock, l.shock) AS shock FROM l FULL JOIN o ON l.event_id = o.event_id AND l.factor = o.factor""")
+def scenario_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter's shocks with an analyst's factors put over them."""
+    base = episode_shocks(spark, sf_dir).select(F.col("episode_id").alias("event_id"), "factor", "shock")
+    own = F.explode(F.create_map(*[F.lit(x) for kv in _OVERRIDES for x in kv])).alias("factor", "shock")
+    return scenarios.overridden(base, base.select("event_id").distinct().select("event_id", own))
+
+
+_OWN_MOVES = [("finished orders", ["f_F"], "shrink", "grow", 0.2), ("other orders", ["f_O", "f_P"], "shrink", "grow", 0.5)]
+
+
+@R.add(f"""WITH s AS ({_SHOCKS}), m AS (SELECT episode_id, avg(shock) FILTER (factor = 'f_F') AS f, avg(shock) FILTER (factor IN ('f_O', 'f_P')) AS o FROM s GROUP BY episode_id)
+SELECT episode_id, concat_ws(', ', CASE WHEN abs(f) >= 0.2 THEN 'finished orders ' || CASE WHEN f > 0 THEN 'grow' ELSE 'shrink' END END, CASE WHEN abs(o) >= 0.5 THEN 'other orders ' || CASE WHEN o > 0 THEN 'grow' ELSE 'shrink' END END) AS words FROM m""")
+def scenario_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter's direction in words."""
+    return scenarios.in_words(episode_shocks(spark, sf_dir), "episode_id", _OWN_MOVES)
+
+
+_ENDS = """SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS episode_id, o_orderstatus AS status, avg(o_totalprice) FILTER (month(o_orderdate) % 3 = 1) / 1e4 AS a, avg(o_totalprice) FILTER (month(o_orderdate) % 3 = 0) / 1e4 AS b,
+  avg(o_totalprice) FILTER (month(o_orderdate) % 3 = 2) / 1e4 AS c FROM orders GROUP BY ALL"""
+_UNITS = {"F": ("pct", None, False, True), "O": ("bp", None, False, False), "P": ("bp", 4.5, False, True), "X": ("pct", None, True, False), "Y": ("pts", None, False, False)}
+
+
+@R.add(f"""WITH e AS ({_ENDS}), u AS (SELECT e.*, k FROM e, (SELECT unnest(['F', 'O', 'P', 'X', 'Y']) AS k))
+SELECT episode_id, status, k AS kind, round(CASE k WHEN 'F' THEN (b / a - 1) * 100 - (b / c - 1) * 100 WHEN 'O' THEN (b - a) * 100 WHEN 'P' THEN -((b / a - 1) - (b / c - 1)) / 4.5 * 1e4 WHEN 'X' THEN (a / b - 1) * 100 ELSE b - a END, 6) AS shock FROM u""")
+def measured_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of prices over a quarter in every unit: percent less a reference, yield in basis points, spread implied by two moves over a duration, inverted percent, and points."""
+    month, price = F.month("o_orderdate") % 3, F.col("o_totalprice")
+    q = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    mean = lambda m: (F.avg(F.when(month == m, price)) / 1e4)
+    ends = table(spark, sf_dir, "orders").groupBy(q.alias("episode_id"), F.col("o_orderstatus").alias("status")).agg(mean(1).alias("a"), mean(0).alias("b"), (F.avg(F.when(month == 2, price)) / 1e4).alias("c"))
+    kinds = spark.createDataFrame([(k, *v) for k, v in _UNITS.items()], "kind string, unit string, duration double, invert boolean, against boolean")
+    rows = ends.crossJoin(F.broadcast(kinds))  # five kinds
+    against = lambda c: F.when(F.col("against"), F.col(c))
+    shock = scenarios.measured(F.col("unit"), F.col("a"), F.col("b"), against("c"), against("b"), F.col("duration"), F.col("invert"))
+    return rows.select("episode_id", "status", "kind", F.round(shock, 6).alias("shock"))
+
+
+@R.add(f"""WITH {_HISTORY}, c AS (SELECT event_id, 'nearest' AS method, factor, shock FROM near UNION ALL SELECT event_id, 'all_mean', factor, shock FROM mean UNION ALL SELECT event_id, 'blended', factor, shock FROM mix)
+SELECT method, c.factor, count(*) AS scored, count(*) FILTER (round(c.shock, 2) * s.shock > 0) AS hits, round(count(*) FILTER (round(c.shock, 2) * s.shock > 0) / count(*), 6) AS rate FROM c JOIN s ON s.episode_id = c.event_id AND s.factor = c.factor WHERE abs(s.shock) >= CASE c.factor WHEN 'f_P' THEN 5 ELSE 1 END GROUP BY ALL""")
+def backtest_by_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each method had the direction of each factor right."""
+    shocks, _, near, mean = history(spark, sf_dir)
+    named = lambda df, name: df.select("event_id", F.lit(name).alias("method"), "factor", "shock")
+    said = named(near, "nearest").unionByName(named(mean, "all_mean")).unionByName(named(scenarios.mixed(near, mean), "blended"))
+    realised = shocks.select(F.col("episode_id").alias("event_id"), "factor", F.col("shock").alias("realised"))
+    units = shocks.select("factor").distinct().withColumn("unit", F.when(F.col("factor") == "f_P", "bp").otherwise("pct"))
+    return scenarios.factor_hits(said, realised, units).withColumn("rate", F.round("rate", 6))
+
+
+@R.add(f"""WITH s AS ({_SHOCKS}), e AS (SELECT episode_id, max(day) AS "end", max(abs(shock)) >= 1 AS extreme, 7 + least(3, max(abs(shock))) AS impact FROM s GROUP BY episode_id)
+SELECT v.episode_id AS event_id, count(*) AS episodes, count(*) FILTER (e.extreme) AS extreme FROM e v JOIN e ON e."end" < v."end" AND (NOT e.extreme OR v.impact >= 9.5) GROUP BY v.episode_id""")
+def extreme_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many earlier quarters may serve as a model for each, extreme ones only where the impact is."""
+    quarters = episode_shocks(spark, sf_dir).groupBy("episode_id").agg(F.max("day").alias("end"), F.max(F.abs("shock")).alias("most"))
+    episodes = quarters.select("episode_id", "end", F.lit("q").alias("event_type"), (F.col("most") >= 1).alias("extreme"))
+    events = quarters.select(F.col("episode_id").alias("event_id"), F.lit("q").alias("event_type"), F.col("end").alias("as_of"), (7 + F.least(F.lit(3.0), "most")).alias("impact"))
+    pairs = scenarios.eligible(events, episodes)
+    return pairs.groupBy("event_id").agg(F.count("*").alias("episodes"), F.count_if("extreme").alias("extreme"))

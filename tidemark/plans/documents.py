@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.numeric import dot
-from tidemark.operators import panel, state
+from tidemark.operators import panel, reports, state
 from tidemark.operators.signals import gate
 from tidemark.plans.common import Registry, table
 
@@ -282,3 +282,23 @@ def rule_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = models.rules(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", CUES, POSITIVE, NEGATIVE, NEGATORS)
     tone = [F.round(F.get("sentiment", F.lit(i)), 6).alias(n) for i, n in enumerate(("neg", "neu", "pos"))]
     return models.relevant(docs, 3).select("doc_id", *tone, F.round("relevance", 6).alias("relevance"), "relevant")
+
+
+_CHECKS = [("empty", "trim(t) = ''"), ("unknown placeholder", "len(list_filter(s, lambda x: NOT list_contains({slots}, x))) > 0"), ("own numbers", "regexp_matches(p, '[0-9]') OR regexp_matches(p, '(?i){NUMBER_WORDS}')"),
+           ("missing placeholder", "NOT list_has_all(s, {needed})"), ("breach denied", "breach AND regexp_matches(t, '(?i){ABOVE}')"), ("breach invented", "NOT breach AND regexp_matches(t, '(?i){BELOW}')"), ("ratio rises", "falls AND regexp_matches(t, '(?i){RISES}')")]
+_CHECKS += [(name, f"regexp_matches(t, '(?i){pattern}')") for name, pattern in reports.SAID.items()] + [("unfinished", r"""trim(t) <> '' AND NOT regexp_matches(trim(t), '[.!?]["'')]*$')""")]
+_FILL = {"{slots}": str(list(reports.SLOTS)), "{needed}": str(list(reports.NEEDED)), "{NUMBER_WORDS}": reports.NUMBER_WORDS, "{ABOVE}": reports.ABOVE, "{BELOW}": reports.BELOW, "{RISES}": reports.RISES}
+_DRAFT_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _CHECKS) + ")"
+for _a, _b in _FILL.items():
+    _DRAFT_SQL = _DRAFT_SQL.replace(_a, _b)
+
+
+@R.add(rf"""WITH d AS (SELECT conv_id, turn, replace(replace(coalesce(text, ''), '{{', '['), '}}', ']') || CASE turn % 4 WHEN 0 THEN ' The ratio falls below [REQUIREMENT] under [SCENARIO].' WHEN 1 THEN ' [RESULT] and [RATIO] stay above it.' WHEN 2 THEN ' The book lost [RESULT]; the ratio rises to [RATIO]. [NAMES]' ELSE '' END AS t, conv_id % 2 = 0 AS breach, turn % 3 > 0 AS falls FROM conversations),
+x AS (SELECT *, list_distinct(regexp_extract_all(t, '\[([A-Z_]+)\]', 1)) AS s, regexp_replace(t, '\[[A-Z_]+\]', ' ', 'g') AS p FROM d) SELECT conv_id, turn, {_DRAFT_SQL} AS problems FROM x""")
+def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with drafts of a summary: turns of conversations, ended by one of a few sentences with placeholders."""
+    said = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("{"), F.lit("[")), F.lit("}"), F.lit("]"))
+    end = F.when(F.col("turn") % 4 == 0, " The ratio falls below [REQUIREMENT] under [SCENARIO].").when(F.col("turn") % 4 == 1, " [RESULT] and [RATIO] stay above it.").when(F.col("turn") % 4 == 2, " The book lost [RESULT]; the ratio rises to [RATIO]. [NAMES]").otherwise("")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(said, end).alias("t"))
+    found = reports.problems(F.col("t"), F.col("conv_id") % 2 == 0, F.col("turn") % 3 > 0)
+    return rows.select("conv_id", "turn", F.array_join(found, ";").alias("problems"))

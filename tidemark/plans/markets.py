@@ -253,3 +253,10 @@ def analog_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asof.asof_join(rows.withColumnRenamed("start", "day"), p, ["ticker"], "day", ["px"], tolerance="interval 5 days").withColumnRenamed("px", "a").drop("day")
     rows = asof.asof_join(rows.withColumnRenamed("end", "day"), p, ["ticker"], "day", ["px"], tolerance="interval 5 days").withColumnRenamed("px", "b")
     return rows.select("episode", "ticker", F.round((F.col("b") / F.col("a") - 1) * 100, 4).alias("pct"), F.round(F.col("b") - F.col("a"), 4).alias("pts"))
+
+
+@R.add(f"""WITH p AS ({_PRICES}), s AS ({_SIGNALS}), o AS (SELECT coalesce(p.ticker, s.ticker) AS ticker, coalesce(p.day, s.day) AS day, px FROM p FULL JOIN s ON p.ticker = s.ticker AND p.day = s.day)
+SELECT ticker, day, last_value(px IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY day) AS px FROM o""")
+def filled_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ticker's price of every day that has a price or a signal: the last one known."""
+    return asof.forward_fill(outer_daily(spark, sf_dir).select("ticker", "day", "px"), ["ticker"], "day", "px")

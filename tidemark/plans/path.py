@@ -74,7 +74,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(
         "doc_id", F.timestamp_seconds(F.lit(1704067200) + (i * 977) % 604800).alias("at"), F.when(i % 3 == 0, "social").otherwise("news").alias("kind"), F.col("source").alias("publisher"),
         F.concat(F.lit("v"), i % 12).alias("event_id"), F.concat(F.lit("s"), i % 60).alias("story_id"), (((i * 7919) % 201 - 100) / 100.0).alias("sentiment"), (((i * 31) % 100) / 100.0).alias("neutral"),
-        (((i * 17) % 50) / 100.0 + 0.5).alias("relevance"), (((i * 13) % 100) / 100.0).alias("similarity"), F.substring("text", 1, 40).alias("headline"), _probs().alias("probs"),
+        (((i * 17) % 50) / 100.0 + 0.5).alias("relevance"), (((i * 13) % 100) / 100.0).alias("similarity"), F.regexp_extract("text", "^[^.!?]*", 0).alias("headline"), _probs().alias("probs"),
         (i % 11 == 0).alias("extreme"), (i % 7 == 0).alias("high"), (i % 5 == 0).alias("scale"), (i % 4 == 0).alias("market"),
         F.array_distinct(F.array(F.concat(F.lit("N"), i % 25), F.concat(F.lit("N"), (i * 7) % 25))).alias("entities"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"),
     )
@@ -88,7 +88,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCORED = f"""
 d AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_seconds((doc_id * 977) % 604800) AS moment, CASE WHEN doc_id % 3 = 0 THEN 'social' ELSE 'news' END AS kind, source AS publisher, 'v' || (doc_id % 12) AS event_id, 's' || (doc_id % 60) AS story_id,
-  ((doc_id * 7919) % 201 - 100) / 100.0::DOUBLE AS sentiment, ((doc_id * 31) % 100) / 100.0::DOUBLE AS neutral, ((doc_id * 17) % 50) / 100.0::DOUBLE + 0.5 AS relevance, ((doc_id * 13) % 100) / 100.0::DOUBLE AS similarity, substr(text, 1, 40) AS headline,
+  ((doc_id * 7919) % 201 - 100) / 100.0::DOUBLE AS sentiment, ((doc_id * 31) % 100) / 100.0::DOUBLE AS neutral, ((doc_id * 17) % 50) / 100.0::DOUBLE + 0.5 AS relevance, ((doc_id * 13) % 100) / 100.0::DOUBLE AS similarity, regexp_extract(text, '^[^.!?]*') AS headline,
   list_transform([{_RAW}], lambda r: r / list_sum([{_RAW}])) AS probs, doc_id % 11 = 0 AS extreme, doc_id % 7 = 0 AS high, doc_id % 5 = 0 AS scale, doc_id % 4 = 0 AS market,
   CASE WHEN doc_id % 25 = (doc_id * 7) % 25 THEN ['N' || (doc_id % 25)] ELSE ['N' || (doc_id % 25), 'N' || ((doc_id * 7) % 25)] END AS entities, coalesce(text, '') AS fp FROM documents WHERE doc_id IS NOT NULL),
 sd AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY moment, doc_id) > 1 AS dup FROM d),
@@ -245,3 +245,21 @@ def searched_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles once each, whatever their case, with the first page that has it."""
     rows = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), "page_id").where("title <> ''")
     return rows.groupBy("title").agg(F.min("page_id").alias("page_id"), F.count("*").alias("found"))
+
+
+@R.add(f"""WITH {_SCORED}, tp AS (SELECT event_id, mn.entity, mentions, place, type FROM mn JOIN em USING (entity) WHERE place <= 12),
+fi AS (SELECT event_id, entity, mentions, place, max(CASE WHEN rn = 1 THEN mentions END) OVER (PARTITION BY event_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS rn FROM tp WHERE type = 'company')),
+fn AS (SELECT event_id, entity, row_number() OVER (PARTITION BY event_id ORDER BY place) AS r FROM fi WHERE mentions >= 0.5 * top), rg AS (SELECT event_id, entity, row_number() OVER (PARTITION BY event_id ORDER BY place) AS r FROM tp WHERE type = 'country')
+SELECT event_id, event_type, CASE WHEN event_type = 'MACROECONOMIC' THEN '' WHEN event_type = 'GEOPOLITICAL' THEN coalesce((SELECT string_agg(entity, ',' ORDER BY r) FROM rg WHERE rg.event_id = ei.event_id AND r <= 2), '') ELSE coalesce((SELECT string_agg(entity, ',' ORDER BY r) FROM fn WHERE fn.event_id = ei.event_id AND r <= 3), '') END AS hit FROM ei""")
+def event_epicentres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom each event hits: countries or companies, or nobody."""
+    from tidemark.operators.signals import epicentre
+
+    docs, events = signals_of(spark, sf_dir)
+    top = P.mentions(docs, master(spark, sf_dir)).where(F.col("place") <= P.TOP_ENTITIES)
+    row = F.array_sort(F.collect_list(F.struct("place", "entity", "type", "mentions")))  # TOP_ENTITIES at most
+    named = top.groupBy("event_id").agg(row.alias("t"))
+    of = lambda kind: F.transform(F.filter("t", lambda x: x["type"] == kind), lambda x: x["entity"])
+    rows = events.select("event_id", "event_type").join(named, "event_id").withColumns({"firms": of("company"), "places": of("country"), "counts": F.map_from_entries(F.transform("t", lambda x: F.struct(x["entity"], x["mentions"])))})
+    hit = epicentre(F.col("event_type"), F.col("event_type") == "GEOPOLITICAL", F.col("places"), F.col("firms"), F.col("counts"))
+    return rows.select("event_id", "event_type", F.array_join(hit, ",").alias("hit"))
