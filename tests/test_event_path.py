@@ -150,3 +150,26 @@ def test_small_helpers(spark):
     df = spark.createDataFrame([("First one. The bank fell! Last.", -1.26e9), ("Nothing here", 35e6), (None, 900.0)], "t string, x double")
     assert [r[0] for r in df.select(text.excerpt(F.col("t"), "(?i)bank")).collect()] == ["The bank fell!", "Nothing here", None]
     assert [r[0] for r in df.select(text.money(F.col("x"))).collect()] == ["-$1.3bn", "$35.0m", "$900"]
+
+
+def test_signals_at_openings_of_many_years(spark):
+    """Thousands of half-lives apart, ties with an opening, gaps longer than a segment, against plain sums."""
+    from datetime import datetime, timedelta, timezone
+
+    start, rng = datetime(1990, 1, 1, tzinfo=timezone.utc), np.random.default_rng(4)
+    at = [start + timedelta(hours=float(h)) for h in [*rng.uniform(0, 500, 30), *rng.uniform(60_000, 60_100, 20), 260_000.0, 260_010.0]]
+    rows = [(f"E{i % 3}", "news" if i % 4 else "social", float(rng.uniform(-1.5, 1.5)), float(rng.uniform(0.1, 2)), t) for i, t in enumerate(at)] + [("E0", "news", 1.0, -1.0, start), ("E0", "other", 1.0, 1.0, start)]
+    opens = [start + timedelta(hours=h) for h in (0, 100, 499, 700, 7_000, 20_000, 60_050, 61_000, 120_000, 260_010, 260_011, 300_000)]
+    hl, cred = {"news": 36.0, "social": 12.0}, {"news": 1.0, "social": 0.35}
+    df = spark.createDataFrame(rows, "entity string, kind string, score double, weight double, at timestamp")
+    got = {(r["entity"], r["open"]): (r["evidence"], r["sentiment"]) for r in event_path.signals_at(df, spark.createDataFrame([(o,) for o in opens], "open timestamp"), hl, cred).collect()}
+    want = {}
+    for e in ("E0", "E1", "E2"):
+        for o in opens:
+            parts = [(w * 0.5 ** ((o - t).total_seconds() / 3600 / hl[k]) * cred[k], max(-1, min(1, s))) for n, k, s, w, t in rows if n == e and t < o and w > 0 and k in hl]
+            if sum(w for w, _ in parts) > 0:
+                want[e, o] = sum(w for w, _ in parts), sum(w * s for w, s in parts) / (sum(w for w, _ in parts) + 2)
+    naive = {(e, o.astimezone(timezone.utc)): v for (e, o), v in got.items()}
+    assert naive.keys() == want.keys() and len({v[0] < 1e-50 for v in want.values()}) == 2
+    for k, (evidence, sentiment) in want.items():
+        assert naive[k][0] == pytest.approx(evidence, rel=1e-9, abs=1e-300) and naive[k][1] == pytest.approx(sentiment, rel=1e-9, abs=1e-300)

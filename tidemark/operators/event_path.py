@@ -185,27 +185,35 @@ def watch_list(events: DataFrame, named: DataFrame, companies: DataFrame, epicen
     return rows.withColumn("score", F.round(watch_score(), 2)).withColumn("status", next_status_of(F.col("score")))
 
 
+#: Half-lives of a segment that decayed sums are taken over at once: 2 to this power is far inside the range of doubles.
+SEGMENT = 400
+
+
 def signals_at(observations: DataFrame, opens: DataFrame, half_life: dict[str, float], credibility: dict[str, float], prior: float = 2.0) -> DataFrame:
     """Rows (entity, open, evidence, sentiment): each entity's decayed state as of each opening, from what came before it.
 
-    observations: entity, kind, score, weight, at; opens: open (timestamps, a few thousand).  Observations are summed
-    up to the next opening, decayed to it, and carried from opening to opening, so an
-    entity's work grows with its openings, not with their product with its observations.
-    Openings may span 900 of the shortest half-lives, or numbers would leave the range of doubles.
+    observations: entity, kind, score, weight, at; opens: open (timestamps).  Observations and openings of an
+    entity and kind are sorted together, and sums run along; so work grows with both, not with their product.  Sums are taken
+    in segments of time, each with its own scale, and carried from segment to segment: openings may span any time.
     """
-    hl, cred = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (half_life, credibility))
-    times = opens.select("open").distinct().agg(F.array_sort(F.collect_list("open")).alias("_opens"))
-    rows = observations.where((F.col("weight") > 0) & F.col("kind").isin(list(half_life))).crossJoin(F.broadcast(times)).withColumns({"open": F.try_element_at(F.filter("_opens", lambda t: t > F.col("at")), F.lit(1)), "_first": F.get("_opens", F.lit(0))}).where("open is not null")
-    hours = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 3.6e9
-    w = F.col("weight") * F.pow(F.lit(0.5), hours(F.col("at"), F.col("open")) / hl[F.col("kind")])
+    hl, cred = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("kind")] for d in (half_life, credibility))
+    hours = lambda c: F.unix_micros(c) / 3.6e9
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score")))
-    parts = rows.groupBy("entity", "kind", "open", "_first").agg(F.sum(w).alias("w"), F.sum(w * score).alias("ws"))
-    grid = parts.select("entity", "kind", "_first").distinct().crossJoin(F.broadcast(times)).select("entity", "kind", "_first", F.explode("_opens").alias("open"))
-    grown = F.pow(F.lit(2.0), hours(F.col("_first"), F.col("open")) / hl[F.col("kind")])
-    so_far = Window.partitionBy("entity", "kind").orderBy("open")
-    full = grid.join(parts.drop("_first"), ["entity", "kind", "open"], "left").withColumn("_g", grown)
-    full = full.withColumns({"_w": F.sum(F.coalesce(F.col("w") * F.col("_g"), F.lit(0.0))).over(so_far) / F.col("_g"), "_ws": F.sum(F.coalesce(F.col("ws") * F.col("_g"), F.lit(0.0))).over(so_far) / F.col("_g")})
-    sums = full.groupBy("entity", "open").agg(F.sum(cred[F.col("kind")] * F.col("_w")).alias("evidence"), F.sum(cred[F.col("kind")] * F.col("_ws")).alias("_s"))
+    seen = observations.where((F.col("weight") > 0) & F.col("kind").isin(list(half_life))).select("entity", "kind", (hours("at") / hl).alias("_t"), F.lit(1).alias("_after"), F.col("weight").cast("double").alias("_w"), (F.col("weight") * score).alias("_ws"), F.lit(None).cast("timestamp").alias("open"))
+    times = opens.select("open").where("open is not null").distinct().agg(F.collect_list("open").alias("_opens"))
+    asked = seen.select("entity", "kind").distinct().crossJoin(F.broadcast(times)).select("entity", "kind", F.explode("_opens").alias("open"))  # one row beside each entity
+    zero = F.lit(0.0)
+    both = seen.unionByName(asked.select("entity", "kind", (hours("open") / hl).alias("_t"), F.lit(0).alias("_after"), zero.alias("_w"), zero.alias("_ws"), "open"))  # an opening does not see what comes with it
+    both = both.withColumn("_segment", F.floor(F.col("_t") / SEGMENT)).withColumn("_scale", F.pow(F.lit(2.0), F.col("_t") - F.col("_segment") * SEGMENT))
+    so_far = Window.partitionBy("entity", "kind", "_segment").orderBy("_t", "_after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumns({c: F.sum(F.col(c) * F.col("_scale")).over(so_far) / F.col("_scale") for c in ("_w", "_ws")}).where("open is not null")
+    # What a segment leaves at its end; behind three segments nothing of it is left in a double.
+    ends = both.where("open is null").groupBy("entity", "kind", "_segment").agg(*[(F.sum(F.col(c) * F.col("_scale")) * 2.0**-SEGMENT).alias(c) for c in ("_w", "_ws")])
+    later = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_by")
+    carried = ends.select("*", later).groupBy("entity", "kind", (F.col("_segment") + F.col("_by")).alias("_segment")).agg(*[F.sum(F.col(c) * F.pow(F.lit(2.0), -SEGMENT * (F.col("_by") - 1.0))).alias(f"{c}_0") for c in ("_w", "_ws")])
+    full = inside.join(carried, ["entity", "kind", "_segment"], "left")
+    full = full.withColumns({c: F.col(c) + F.coalesce(f"{c}_0", zero) / F.col("_scale") for c in ("_w", "_ws")})
+    sums = full.groupBy("entity", "open").agg(F.sum(cred * F.col("_w")).alias("evidence"), F.sum(cred * F.col("_ws")).alias("_s"))
     return sums.where("evidence > 0").select("entity", "open", "evidence", (F.col("_s") / (F.col("evidence") + prior)).alias("sentiment"))
 
 
