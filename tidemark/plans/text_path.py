@@ -89,6 +89,7 @@ def read(spark: SparkSession, sf_dir: str, v: Vocabulary) -> DataFrame:
     feed = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "click", "social").otherwise("news").alias("kind"), F.concat(F.lit("X"), F.get_json_object("props", "$.k")).alias("symbol"))
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.col("source").alias("publisher"), F.coalesce("lang", F.lit("")).alias("shard"), T.clean_text(F.col("text")).alias("text"))
     docs = docs.where((F.length("text") >= 8) & ~T.is_file_name(F.col("text"))).join(feed, "doc_id")
+    docs = docs.repartition("doc_id")  # a file may be one split, and what follows is work for each text; the fold's vectors are joined by this key, too
     known = F.col("symbol").isin([e.id for e in v.universe])
     named = linking.ids(linking.link(linking.Automaton(v.universe, "zzz"), F.col("text")))
     docs = docs.withColumn("entities", P.with_subject(named, F.col("symbol"), known))
