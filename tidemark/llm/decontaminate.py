@@ -159,11 +159,26 @@ class Index:
         self.sizes = np.unique(size).tolist()
         seeds = range_hash(prefix_sums(words), at, at + size)
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], (np.searchsorted(offs, at, "right") - 1)[order]
+        self.seeds, self.at, self.owner = seeds[order], at[order], (np.searchsorted(offs, at, "right") - 1)[order]
+        self.length = np.diff(offs)
         self.bits = max(16, int(len(seeds) * 16).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.seeds >> U64(64 - self.bits)] = True
 
+    def reachable(self, lo: np.ndarray, hi: np.ndarray, threshold: float) -> list[int]:
+        """Items that could reach the threshold with the seeds of these ranges: tiles cover no word of an item that none of its shared seeds has."""
+        lo, first = np.unique(lo, return_index=True)
+        size = hi[first] - lo
+        seeds = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        at = np.sort(self.at[seeds])
+        owner = self.owner[seeds][np.argsort(self.at[seeds], kind="stable")]  # items lie one behind the other
+        gap = np.append(at[1:] - at[:-1], self.k)
+        last = np.append(owner[1:] != owner[:-1], True)
+        gain = np.minimum(np.where(last, self.k, gap), np.minimum(self.k, self.length[owner]))
+        begin = np.flatnonzero(np.append(True, last[:-1]))
+        which = owner[begin]
+        return which[np.add.reduceat(gain, begin) >= threshold * self.length[which] - 1e-9].tolist()
+
     def contaminated(self, texts: pa.Array, threshold: float):
         """(text, item id, words covered, words of the item, tiles) for each pair of a text and an item that it covers to the threshold."""
         words, offs = word_arrays(texts)
@@ -179,6 +194,9 @@ class Index:
         doc = np.searchsorted(offs, at, "right") - 1
         for d in np.unique(doc).tolist():
             mine = slice(*np.searchsorted(doc, [d, d + 1]))
+            owners = self.reachable(lo[mine], hi[mine], threshold)
+            if not owners:
+                continue
             # Only words under a seed can be in a tile; others, and what lies between stretches, become a break.
             covered = np.zeros(int(offs[d + 1] - offs[d]) + 1, np.int64)
             np.add.at(covered, at[mine] - offs[d], 1)
@@ -187,7 +205,7 @@ class Index:
             keep = covered | np.concatenate([[False], covered[:-1]])
             text = np.where(covered, words[offs[d] : offs[d + 1]], U64(0))[keep]
             place = np.flatnonzero(keep)
-            for o in sorted({o for i, j in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True) for o in self.owner[i:j].tolist()}):
+            for o in owners:
                 item_id, item = self.items[o]
                 tiles = tile(item, text, min(self.k, len(item)))
                 n = sum(t[2] for t in tiles)
