@@ -125,7 +125,7 @@ def units(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             rows.append((name, unit, size, keys.tobytes(), keys[first].view(np.int64), low))
         return table_of([("name", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("prefix", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))], rows)
 
-    rows = exchange(parts.groupBy("part").applyInArrow(count, KEY_SCHEMA))
+    rows = exchange(parts.groupBy("part").applyInArrow(count, KEY_SCHEMA), n)
     return parts.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(describe, _UNIT_SCHEMA)
 
 

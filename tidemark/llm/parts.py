@@ -111,8 +111,13 @@ def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Tab
 
 KEY_SCHEMA = "part int, source int, keys binary, counts binary, carry binary"
 KEY_ARROW = [("part", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("carry", pa.binary())]
-#: Bytes of a key that travel where a false repeat only costs a later look; 5 serve some 10**11 keys.
-KEY_BYTES = 5
+#: Keys of a part at most, about: a word has two bytes with its space.
+PART_KEYS = PART_BYTES // 2
+
+
+def key_bytes(n: int) -> int:
+    """Bytes of a key that travel where a false repeat only costs a later look: with so many parts, one key in a thousand is taken for a repeat by chance."""
+    return min(8, math.ceil((math.log2(n * PART_KEYS) + 10) / 8))
 
 
 def key_rows(source: int, keys: np.ndarray, n: int, counts: np.ndarray | None = None, carry: bytes | None = None) -> pa.Table:
@@ -120,7 +125,7 @@ def key_rows(source: int, keys: np.ndarray, n: int, counts: np.ndarray | None =
     part = key_part(keys, n)
     rows = []
     for a, b in blocks(part):
-        rows.append((int(part[a]), source, planes(keys[a:b], KEY_BYTES), None if counts is None else counts[a:b].astype(np.uint16).tobytes(), None))
+        rows.append((int(part[a]), source, planes(keys[a:b], key_bytes(n)), None if counts is None else counts[a:b].astype(np.uint16).tobytes(), None))
     if carry is not None:
         rows.append((source % n, source, None, None, carry))
     return table_of(KEY_ARROW, rows)
@@ -130,13 +135,13 @@ SEEN_SCHEMA = "part int, block int, seen binary, carry binary"
 SEEN_ARROW = [("part", pa.int32()), ("block", pa.int32()), ("seen", pa.binary()), ("carry", pa.binary())]
 
 
-def how_often(table: pa.Table) -> pa.Table:
-    """For the keys of one key part: to each source, in its order, the log2 class of each key's count over all sources: 0 once, 1 twice or three times, ..."""
+def how_often(table: pa.Table, width: int) -> pa.Table:
+    """For the keys of one key part, of so many bytes each: to each source, in its order, the log2 class of each key's count over all sources: 0 once, 1 twice or three times, ..."""
     rows = table.to_pylist()
     out = [(r["source"], -1, None, r["carry"]) for r in rows if r["keys"] is None]
     rows = [r for r in rows if r["keys"] is not None]
     if rows:
-        each = [from_planes(r["keys"], KEY_BYTES) for r in rows]
+        each = [from_planes(r["keys"], width) for r in rows]
         keys = np.concatenate(each)
         count = np.concatenate([np.ones(len(k), np.int64) if r["counts"] is None else np.frombuffer(r["counts"], np.uint16).astype(np.int64) for k, r in zip(each, rows, strict=True)])
         order = np.argsort(keys, kind="stable")
@@ -152,9 +157,10 @@ def how_often(table: pa.Table) -> pa.Table:
     return table_of(SEEN_ARROW, out)
 
 
-def exchange(keys: DataFrame) -> DataFrame:
-    """From KEY_SCHEMA rows, SEEN_SCHEMA rows for the parts that the keys came from."""
-    return keys.groupBy("part").applyInArrow(how_often, SEEN_SCHEMA)
+def exchange(keys: DataFrame, n: int) -> DataFrame:
+    """From KEY_SCHEMA rows of so many parts, SEEN_SCHEMA rows for the parts that the keys came from."""
+    width = key_bytes(n)
+    return keys.groupBy("part").applyInArrow(lambda table: how_often(table, width), SEEN_SCHEMA)
 
 
 def seen(table: pa.Table, keys: np.ndarray, n: int) -> tuple[np.ndarray, bytes | None]:

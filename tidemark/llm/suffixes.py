@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
             cols["kept"] = pa.array(kept, pa.binary())
         return pa.table(cols)
 
-    counted = exchange(parts.groupBy("part").applyInArrow(open_part, KEY_SCHEMA))
+    counted = exchange(parts.groupBy("part").applyInArrow(open_part, KEY_SCHEMA), n)
     sent = parts.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(send, _ROW_SCHEMA)
     late = sent.groupBy("part").applyInArrow(sort_share, _LATE_SCHEMA)
     return parts.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(close, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

@@ -243,6 +243,6 @@ def remove_repeats(docs: DataFrame, length: int = 20, shortest: int = 5, texts:
     last = len(steps) - 1
     rows = parts.groupBy("part").applyInArrow(open_level, _FIRST_SCHEMA if last == 0 else KEY_SCHEMA)
     for k in range(1, len(steps)):
-        rows = parts.groupBy("part").cogroup(exchange(rows).groupBy("part")).applyInArrow(next_level(k), _FIRST_SCHEMA if k == last else KEY_SCHEMA)
+        rows = parts.groupBy("part").cogroup(exchange(rows, n).groupBy("part")).applyInArrow(next_level(k), _FIRST_SCHEMA if k == last else KEY_SCHEMA)
     late = rows.groupBy("part").applyInArrow(later, _LATE_SCHEMA)
     return parts.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(close, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
