@@ -34,7 +34,9 @@ from tidemark.llm.parts import KEY_SCHEMA, exchange, key_rows, load, number_of_p
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Units of a bucket that one task compares; larger buckets are dealt into shares of this size.
 SHARE = 2000
-TILE, BITS = 256, 512
+TILE = 256
+#: Bits of a bitmap for each shingle of a set, at least; and of any bitmap.
+BITS_EACH, LEAST_BITS = 4, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -130,21 +132,50 @@ def units(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
-    """Parities of how many keys fall on each of BITS bits; every key that only one of two sets has changes one bit at most."""
-    return np.packbits((np.bincount((keys & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(U64)
+    """Parities of how many keys fall on each bit; every key that only one of two sets has changes one bit at most.
+
+    The number of bits is a power of two that follows the set's size, so that sets of any size tell apart.
+    """
+    bits = max(LEAST_BITS, 1 << (BITS_EACH * len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(U64)
+
+
+def folded(maps: list[np.ndarray], words: int) -> np.ndarray:
+    """The bitmaps at a common width: halves laid on each other give the bitmap of half as many bits."""
+    out = np.empty((len(maps), words), U64)
+    for i, m in enumerate(maps):
+        while len(m) > words:
+            m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+        out[i] = m
+    return out
 
 
-def could_pass(size: np.ndarray, own: np.ndarray, maps: np.ndarray, label: np.ndarray, num: int, den: int, side: np.ndarray | None = None):
+def bands(size: np.ndarray) -> list[tuple[int, int]]:
+    """Tiles of units sorted by size: TILE of them at most, none twice as large as the first."""
+    out, a = [], 0
+    while a < len(size):
+        b = min(a + TILE, int(np.searchsorted(size, 2 * size[a], "left")))
+        out.append((a, max(b, a + 1)))
+        a = out[-1][1]
+    return out
+
+
+def could_pass(size: np.ndarray, own: np.ndarray, maps: list[np.ndarray], label: np.ndarray, num: int, den: int, side: np.ndarray | None = None):
     """Pairs of tiles of units sorted by size: (first of one, first of the other, matrix of the pairs that could reach the threshold)."""
-    for a in range(0, len(size), TILE):
-        sa = slice(a, min(a + TILE, len(size)))
-        for b in range(a, len(size), TILE):
-            sb = slice(b, min(b + TILE, len(size)))
-            if size[b] * num > size[sa.stop - 1] * den:
+    tiles = bands(size)
+    for t, (a, to) in enumerate(tiles):
+        sa = slice(a, to)
+        for b, end in tiles[t:]:
+            sb = slice(b, end)
+            if size[b] * num > size[to - 1] * den:
                 break  # all further tiles have sets too large for any of this one
             if side is not None and len(np.unique(np.concatenate([side[sa], side[sb]]))) == 1:
                 continue
-            far = np.bitwise_count(maps[sa, None, :] ^ maps[None, sb, :]).sum(axis=2, dtype=np.int32)
+            words = min(len(m) for m in maps[a:to] + maps[b:end])
+            one, two = folded(maps[a:to], words), folded(maps[b:end], words)
+            far = np.zeros((to - a, end - b), np.int32)
+            for w in range(words):
+                far += np.bitwise_count(one[:, None, w] ^ two[None, :, w])
             most = (own[sa, None] + own[None, sb] - far) // 2  # the overlap is no larger
             could = (num + den) * most >= num * (size[sa, None] + size[None, sb])
             could &= np.minimum(own[sa, None], own[None, sb]) * (num + den) >= num * (size[sa, None] + size[None, sb])
@@ -161,7 +192,7 @@ def compare(size: np.ndarray, keys: list[np.ndarray], label: np.ndarray, num: in
     keys = [keys[i] for i in order]
     own = np.array([len(k) for k in keys])
     links = []
-    for a, b, could in could_pass(size, own, np.stack([bitmap(k) for k in keys]), label, num, den):
+    for a, b, could in could_pass(size, own, [bitmap(k) for k in keys], label, num, den):
         for i in np.flatnonzero(could.any(axis=1)).tolist():
             for j in np.flatnonzero(could[i]).tolist():
                 x, y = a + i, b + j
@@ -202,10 +233,10 @@ def across_shares(rows: DataFrame, sets: DataFrame, salt: int, num: int, den: in
 
     def meet(table: pa.Table) -> pa.Table:
         ids, label, share, size, own = (as_array(table.column(c)).to_numpy() for c in ("id", "component", "share", "n", "own"))
-        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), U64).reshape(len(ids), -1)
+        maps = [np.frombuffer(m, U64) for m in table.column("map").to_pylist()]
         order = np.argsort(size, kind="stable")
         ids, found = ids[order], [np.zeros((2, 0), np.int64)]
-        for a, b, could in could_pass(size[order], own[order], maps[order], label[order], num, den, share[order]):
+        for a, b, could in could_pass(size[order], own[order], [maps[i] for i in order.tolist()], label[order], num, den, share[order]):
             i, j = np.nonzero(could)
             found.append(np.stack([ids[a + i], ids[b + j]]))
         found = np.concatenate(found, axis=1)
@@ -223,15 +254,18 @@ def across_shares(rows: DataFrame, sets: DataFrame, salt: int, num: int, den: in
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, "a long, b long")
 
 
-def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in buckets (token, id, component), enough to join whatever is linked; a bucket of one component is left out."""
+def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int, all_: bool = True) -> DataFrame:
+    """Links (a, b) found in buckets (token, id, component), enough to join whatever is linked in them; a bucket of one component is left out.
+
+    Without all_ large buckets are only dealt into shares, twice: what no share brings together there is left to a later call.
+    """
     # Tokens whose units come from the same components make one bucket: near copies share hundreds.
     met = buckets.select("token", "component").distinct().groupBy("token").agg(F.bit_xor(F.xxhash64("component")).alias("who"), F.count("*").alias("parties")).where("parties > 1")
     rows = buckets.join(met, "token").select(F.xxhash64("who", "parties").alias("bucket"), "id", "component").distinct()
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     rows = checkpointed(rows.join(sizes, "bucket"))
     found, large = checkpointed(within_shares(rows, sets, 0, num, den)), rows.where("shares > 1")
-    for meeting in (within_shares, across_shares):
+    for meeting in (within_shares, across_shares)[: 2 if all_ else 1]:
         if large.isEmpty():
             return found
         joined = components(found.unionAll(large.select("id", "component")))
@@ -242,6 +276,21 @@ def links_in(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return found
 
 
+def nameless(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) for the documents without an id: the size of each one's set, and nothing else."""
+
+    def count(batches):
+        for batch in batches:
+            _, offs = buffers(batch.column(0))
+            for i, j in slices(offs, 8 << 20):
+                data, at = buffers(batch.column(0).slice(i, j - i), " ")
+                sizes = np.diff(shingle_sets(lower_ascii(data), at, k)[1])
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), none], ["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id is null").select(F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_shingles long, component_id long")
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) for every document.
 
@@ -249,21 +298,22 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, de
     shingles of k words, or its whole sequence if it has fewer words.  Documents link where
     the shared shingles are at least num/den of those of either.  component_id is the smallest
     doc_id reachable by links, itself included.  Null, empty and blank texts have no set and
-    link with nothing, not with each other.  Rows without doc_id take no part: their other
-    columns are null.  Repeated rows each give a row.  Other columns are ignored.  Shingles
+    link with nothing, not with each other.  Rows without doc_id link with nothing either: their
+    component is null.  Repeated rows each give a row.  Other columns are ignored.  Shingles
     are compared by 64-bit hashes, texts by 128 bits of SHA-256.
     """
     spark_units = checkpointed(units(docs, k, num, den))
     alive = spark_units.where("keys is not null")
     first = alive.select("id", F.explode("low").alias("token")).select("token", "id", F.col("id").alias("component")).distinct()
-    near = links_in(first, alive, num, den)
+    near = links_in(first, alive, num, den, all_=False)  # the next step finds every link that is left
     joined = components(near)
     of = alive.join(joined, "id", "left").select("id", "prefix", F.coalesce("component", "id").alias("component"))
     rest = links_in(of.select("id", "component", F.explode("prefix").alias("token")), alive, num, den)
     of = components(near.unionAll(rest))
     done = spark_units.select("name", "id", "n").join(of, "id", "left").select("name", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.substring(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER).cast("binary"), 256), 1, 32)).alias("name"))
-    return members.join(done, "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    result = members.where("doc_id is not null").join(done, "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.unionAll(nameless(docs, k))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
