@@ -42,7 +42,7 @@ WITH h AS (SELECT doc_id, {_list_sql(HEADLINES)}[(doc_id % 16 + 1)::INT] || '. '
 w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '\\b((?:price|pricing|bidding|talent|streaming|console|culture|fare|format|flame|turf|patent|browser|cola|subscription|search|cloud|smartphone|delivery|grocery|discount|deposit)\\s+)wars?\\b', '\\1 ', 'gi'), '\\b(god of )war\\b', '\\1 ', 'gi'), '\\b(star )wars\\b', '\\1 ', 'gi'), '\\bwar( (?:chest|room)s?)\\b', ' \\1', 'gi') AS always FROM h),
 x AS (SELECT *, CASE WHEN geo THEN always ELSE regexp_replace(regexp_replace(always, '\\b((?:silent|secret|quiet|stealth)\\s+)wars?\\b', '\\1 ', 'gi'), '\\bwar( (?:on|against) (?:inflation|cash|talent|counterfeits?|fraud|waste|costs?|prices|bots|spam))\\b', ' \\1', 'gi') END AS now FROM w),
 y AS (SELECT *, CASE WHEN geo THEN now ELSE regexp_replace(now, '\\b(?:ticking\\s+)?time[- ]?bombs?\\b', ' ', 'gi') END AS lit FROM x),
-c AS (SELECT *, {", ".join(f"{_hits_sql(t)} AS c{i}" for i, t in enumerate(TYPES))}, regexp_matches(said, '(?is)\\b(upgrad\\w+|downgrad\\w+|initiat\\w+|reiterat\\w+)\\b.{{0,60}}\\b(buy|sell|hold|neutral|overweight|underweight|outperform|underperform|price target|equal[- ]weight|market perform)\\b|\\bprice target\\b') AS rating,
+c AS (SELECT *, {", ".join(f"{_hits_sql(t)} AS c{i}" for i, t in enumerate(TYPES))}, regexp_matches(said, '(?i)\\b(upgrad\\w+|downgrad\\w+|initiat\\w+|reiterat\\w+)\\b.{{0,60}}\\b(buy|sell|hold|neutral|overweight|underweight|outperform|underperform|price target|equal[- ]weight|market perform)\\b|\\bprice target\\b') AS rating,
   regexp_matches(said, '(?i)\\b(congress\\w*|senat(?:e|ors?)|lawmakers?|legislat\\w+|lobb(?:y|ied|ying|yists?)|repeal\\w*|deregulat\\w+|dodd-frank|white house|governor|hearings?|testif\\w+|regulators?)\\b') AS home,
   len(regexp_extract_all(lit, '(?i){SEVERITY["extreme"]}')) AS extreme, len(regexp_extract_all(lit, '(?i){SEVERITY["high"]}')) AS high, len(regexp_extract_all(lit, '(?i){SEVERITY["scale"]}')) AS scale FROM y),
 g AS (SELECT * REPLACE (c1 - (c1 > 0 AND rating)::INT AS c1, c3 + (c1 > 0 AND rating)::INT AS c3), lit <> said AND c0 = 0 AND now <> said AS fig_war, lit <> said AND c0 = 0 AND now = said AS fig_bomb, NOT abroad AND c0 = 0 AND home AS domestic FROM c),
