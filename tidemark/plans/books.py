@@ -331,3 +331,19 @@ def extreme_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = quarters.select(F.col("episode_id").alias("event_id"), F.lit("q").alias("event_type"), F.col("end").alias("as_of"), (7 + F.least(F.lit(3.0), "most")).alias("impact"))
     pairs = scenarios.eligible(events, episodes)
     return pairs.groupBy("event_id").agg(F.count("*").alias("episodes"), F.count_if("extreme").alias("extreme"))
+
+
+_BOND = {"coupon": "0.02e0 + (o_orderkey % 7) / 100e0", "y": "0.01e0 + (o_custkey % 5) / 100e0", "years": "0.25e0 * (1 + o_orderkey % 40)"}
+
+
+@R.add(f"""WITH b AS (SELECT o_orderkey, {", ".join(f"{e} AS {n}" for n, e in _BOND.items())} FROM orders), t AS (SELECT *, list_transform(range(1, greatest(ceil(years), 1)::BIGINT + 1), lambda k: years - greatest(ceil(years), 1) + k) AS ts FROM b),
+f AS (SELECT *, list_sum(list_transform(ts, lambda t: CASE WHEN t >= years - 1e-9 THEN coupon + 1 ELSE coupon END * pow(1 + y, -t))) AS price, list_sum(list_transform(ts, lambda t: t * CASE WHEN t >= years - 1e-9 THEN coupon + 1 ELSE coupon END * pow(1 + y, -t))) AS d,
+ list_sum(list_transform(ts, lambda t: t * (t + 1) * CASE WHEN t >= years - 1e-9 THEN coupon + 1 ELSE coupon END * pow(1 + y, -t))) AS c FROM t)
+SELECT o_orderkey, round(d / price / (1 + y), 6) AS duration, round(c / price / pow(1 + y, 2), 6) AS convexity FROM f""")
+def bond_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modified duration and convexity of a bond for every order, broken first years among them."""
+    from tidemark.functions.numeric import bond_duration
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in _BOND.items()])
+    found = rows.select("o_orderkey", bond_duration(F.col("coupon"), F.col("y"), F.col("years")).alias("b"))
+    return found.select("o_orderkey", F.round("b.duration", 6).alias("duration"), F.round("b.convexity", 6).alias("convexity"))

@@ -18,6 +18,7 @@ from tidemark.operators import event_path as P
 from tidemark.operators import linking, models
 from tidemark.operators.path_fold import FoldConfig, fold_batch, with_batches
 from tidemark.operators.shared import checkpointed
+from tidemark.operators.signals import impact
 from tidemark.operators.state import decayed_state
 from tidemark.plans.common import Registry, table
 from tidemark.plans.path import BASE, TYPES
@@ -103,7 +104,7 @@ def read(spark: SparkSession, sf_dir: str, v: Vocabulary) -> DataFrame:
     return docs.select(
         "doc_id", "at", "kind", "publisher", "shard", "entities", "companies", "probs", T.fingerprint(F.col("text")).alias("fp"), T.tidy_headline(first).alias("headline"), F.col("text"),
         (F.get("sentiment", F.lit(2)) - F.get("sentiment", F.lit(0))).alias("sentiment"), F.get("sentiment", F.lit(1)).alias("neutral"), (-best["i"]).alias("type"), (1 - F.get("probs", F.lit(len(TYPES) - 1))).alias("relevance"),
-        *[c.alias(k) for k, c in flags.items()], (F.size("companies") > 0).alias("market"),
+        *[c.alias(k) for k, c in flags.items()], (F.size("companies") > 0).alias("market"), F.col("hits.by_type").alias("cues"),
     )
 
 
@@ -112,7 +113,7 @@ def scored(spark: SparkSession, sf_dir: str, config: FoldConfig = CONFIG) -> Dat
     docs = checkpointed(read(spark, sf_dir, vocabulary(spark, sf_dir)))
     given = docs.join(hashed(docs, "text"), "doc_id", "left").select("shard", "doc_id", "fp", with_batches(F.col("at")).alias("batch"), F.col("doc_id").alias("seq"), "at", "type", "relevance", "embedding", "entities", "companies")
     made = fold_batch(given, config).withColumn("doc_id", F.col("doc_id").cast("long")).drop("shard")
-    return checkpointed(docs.drop("text", "fp").join(made, "doc_id"))
+    return checkpointed(docs.drop("text", "fp", "cues").join(made, "doc_id"))
 
 
 def master(spark: SparkSession) -> DataFrame:
@@ -158,3 +159,24 @@ def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = decayed_state(observations(docs), now, HALF_LIFE, CREDIBILITY)
     top = P.top_events(docs.where("event_id is not null"), events, now)
     return state.join(top.withColumn("impact", F.round("impact", 6)), "entity", "left").fillna(1.0, ["impact"])
+
+
+def alone(docs: DataFrame) -> DataFrame:
+    """docs as from ``read`` with event_type, confidence, impact and factors of each text alone, as a single report that nobody corroborates."""
+    numbers = F.transform("entities", lambda e: F.substring(e, 2, 9).cast("int"))
+    one, base = F.lit(1), F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])
+    kind = F.get(F.array(*map(F.lit, TYPES)), F.col("type"))
+    given = {"n_scored": one, "n_stories": one, "stories_last_hour": one, "n_news": (F.col("kind") == "news").cast("int"), "market_docs": F.col("market").cast("int"), "confidence": F.array_max("probs"), "sentiment": F.col("sentiment"), "base": base[kind]}
+    given |= {f"{k}_docs": F.col(k).cast("int") for k in ("extreme", "high", "scale")}
+    given |= {"n_sectors": F.size(F.array_distinct(F.transform(numbers, lambda i: i % 5))), "n_regions": F.size(F.filter(numbers, lambda i: i % 4 == 0))}
+    return docs.withColumns({"event_type": kind, "confidence": given["confidence"], "_i": impact(given)}).withColumns({"impact": F.col("_i.score"), "factors": F.transform("_i.factors", lambda f: f["name"])}).drop("_i")
+
+
+@R.add()
+def text_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text on its own: type, tone, impact with what it is made of, entities, cues, and which way prices go in it."""
+    docs = alone(read(spark, sf_dir, vocabulary(spark, sf_dir)))
+    said = F.filter(F.map_entries("cues"), lambda e: e["value"] > 0)
+    moves = F.map_entries(linking.price_directions(F.col("text")))
+    text = lambda pairs: F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return docs.select("doc_id", "event_type", *[F.round(c, 6).alias(c) for c in ("confidence", "sentiment", "impact")], F.array_join("factors", ",").alias("factors"), F.array_join("entities", ",").alias("entities"), text(said).alias("cues"), text(moves).alias("moves"))
