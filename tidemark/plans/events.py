@@ -159,3 +159,21 @@ def lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = first_flags(spark, sf_dir).where("status = 'Watch Negative'").select("user_id", F.col("first_day").alias("flagged"))
     acted = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 90").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("acted"))
     return acted.join(flags, "user_id", "left").select("user_id", "acted", "flagged", F.datediff("acted", "flagged").cast("long").alias("lead_days"))
+
+
+@R.add("""WITH RECURSIVE d AS (%s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d),
+f AS (SELECT user_id, i, day, CASE WHEN score >= 3 THEN 2 WHEN score >= 1.5 THEN 1 ELSE 0 END AS s FROM n WHERE i = 1
+ UNION ALL SELECT n.user_id, n.i, n.day, CASE WHEN n.score >= 3 OR (f.s = 2 AND n.score >= 2.5) THEN 2 WHEN n.score >= 1.5 OR (f.s > 0 AND n.score >= 1.0) THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1),
+own AS (SELECT user_id, min(day) AS flagged FROM f WHERE s = 2 GROUP BY user_id), act AS (SELECT user_id, min(ts)::DATE AS acted FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY user_id),
+home AS (SELECT c_nationkey, min(flagged) AS flagged FROM own JOIN customer ON c_custkey = user_id GROUP BY c_nationkey)
+SELECT user_id, acted, coalesce(own.flagged, home.flagged) AS flagged, CASE WHEN own.flagged IS NOT NULL THEN 'own' WHEN home.flagged IS NOT NULL THEN 'country' END AS by_, datediff('day', coalesce(own.flagged, home.flagged), acted) AS lead_days,
+ coalesce(own.flagged, home.flagged) < acted AS ahead FROM act LEFT JOIN own USING (user_id) LEFT JOIN customer ON c_custkey = user_id LEFT JOIN home USING (c_nationkey)""" % _DAILY)
+def lead_times_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long before an action its name was flagged, or where it never was, the first name of its country; and whether that was ahead of it."""
+    flags = first_flags(spark, sf_dir).where("status = 'Watch Negative'").select("user_id", F.col("first_day").alias("own"))
+    country = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    home = flags.join(country, "user_id").groupBy("c_nationkey").agg(F.min("own").alias("home"))
+    acted = table(spark, sf_dir, "events").where("event_type = 'signup' and value > 60").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("acted"))
+    rows = acted.join(flags, "user_id", "left").join(country, "user_id", "left").join(home, "c_nationkey", "left").withColumn("flagged", F.coalesce("own", "home"))
+    by = F.when(F.col("own").isNotNull(), "own").when(F.col("home").isNotNull(), "country")
+    return rows.select("user_id", "acted", "flagged", by.alias("by_"), F.datediff("acted", "flagged").cast("long").alias("lead_days"), (F.col("flagged") < F.col("acted")).alias("ahead"))
