@@ -28,17 +28,37 @@ class ClusterConfig:
 
 @dataclass
 class Shard:
-    """Active clusters of one shard: ids, vector sums, names and last times."""
+    """Active clusters of one shard: ids, sums of vectors and their unit vectors as rows of growing matrices, names and last times."""
 
     ids: list[str] = field(default_factory=list)
-    sums: list[np.ndarray] = field(default_factory=list)
     names: list[set] = field(default_factory=list)
-    last: list[float] = field(default_factory=list)
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    unit: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    last: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    oldest: float = float("inf")  # no cluster was last seen before
 
     def expire(self, now: float, hours: float) -> None:
-        keep = [i for i, t in enumerate(self.last) if t >= now - hours * 3600]
-        if len(keep) < len(self.ids):
-            self.ids, self.sums, self.names, self.last = ([x[i] for i in keep] for x in (self.ids, self.sums, self.names, self.last))
+        """Forgets what the window has left; clusters are only looked through when one may be among it."""
+        horizon = now - hours * 3600
+        if self.oldest >= horizon:
+            return
+        n = len(self.ids)
+        keep = np.flatnonzero(self.last[:n] >= horizon)
+        if len(keep) < n:
+            self.ids, self.names = ([x[i] for i in keep.tolist()] for x in (self.ids, self.names))
+            for m in (self.sums, self.unit, self.last):
+                m[: len(keep)] = m[keep]
+        self.oldest = float(self.last[: len(keep)].min()) if len(keep) else float("inf")
+
+    def found(self, doc_id: str, size: int, at: float) -> int:
+        n = len(self.ids)
+        if n == len(self.last):
+            self.sums, self.unit = (np.concatenate([m.reshape(n, size), np.zeros((max(16, n), size))]) for m in (self.sums, self.unit))
+            self.last = np.concatenate([self.last, np.zeros(max(16, n))])
+        self.ids.append(doc_id)
+        self.names.append(set())
+        self.sums[n], self.last[n], self.oldest = 0.0, at, min(self.oldest, at)
+        return n
 
     def assign(self, doc_id: str, vector: np.ndarray, names: set, at: float, c: ClusterConfig) -> tuple[str, float, bool]:
         """The cluster that a document joins, its similarity before that, and whether it is new.
@@ -49,9 +69,10 @@ class Shard:
         self.expire(at, c.window_hours)
         best, most = -1, -1.0
         if self.ids:
-            m = np.stack(self.sums)
-            sims = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)) @ vector
-            for i in np.argsort(-sims, kind="stable")[: c.candidates].tolist():
+            sims = self.unit[: len(self.ids)] @ vector
+            k = min(c.candidates, len(sims))
+            near = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k])
+            for i in near[np.argsort(-sims[near], kind="stable")][:k].tolist():
                 shared = names & self.names[i]
                 if c.need_shared and not shared:
                     continue
@@ -60,12 +81,9 @@ class Shard:
                     best, most = i, s
         new = best < 0 or most < c.threshold
         if new:
-            best = len(self.ids)
-            self.ids.append(doc_id)
-            self.sums.append(np.zeros(len(vector)))
-            self.names.append(set())
-            self.last.append(at)
-        self.sums[best] = self.sums[best] + vector
+            best = self.found(doc_id, len(vector), at)
+        self.sums[best] += vector
+        self.unit[best] = self.sums[best] / max(float(np.linalg.norm(self.sums[best])), 1e-12)
         self.names[best] |= names
         self.last[best] = max(self.last[best], at)
         return self.ids[best], max(most, 0.0), new
