@@ -94,6 +94,15 @@ def grid(rows: DataFrame, name: str, day: str) -> DataFrame:
     return rows.select(name).distinct().crossJoin(F.broadcast(days)).select(name, F.explode("_days").alias(day))
 
 
+def on_sessions(rows: DataFrame, day: str, sessions: DataFrame, session: str = "session") -> DataFrame:
+    """rows with the session that each day belongs to, the last one up to it, so that what a weekend brings meets the day before it; null before the first.
+
+    sessions: one column of days, some 250 a year; they are gathered into one array beside each row.
+    """
+    days = sessions.toDF("_d").distinct().agg(F.array_sort(F.collect_list(F.col("_d").cast("date"))).alias("_days"))
+    return rows.crossJoin(F.broadcast(days)).withColumn(session, F.array_max(F.filter("_days", lambda d: d <= F.col(day)))).drop("_days")
+
+
 def agreement_summary(rows: DataFrame, truth: str, guess: str, part: Column | None = None) -> DataFrame:
     """One row (n, accuracy, macro_f1, part_n, part_accuracy): how often guess is truth, the mean of all labels' F1, and the same share where part holds."""
     counts = rows.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))

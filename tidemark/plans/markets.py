@@ -260,3 +260,15 @@ SELECT ticker, day, last_value(px IGNORE NULLS) OVER (PARTITION BY ticker ORDER
 def filled_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ticker's price of every day that has a price or a signal: the last one known."""
     return asof.forward_fill(outer_daily(spark, sf_dir).select("ticker", "day", "px"), ["ticker"], "day", "px")
+
+
+@R.add(f"""WITH p AS ({_PRICES}), s AS ({_SIGNALS}), k AS (SELECT DISTINCT CASE WHEN dayofmonth(day) % 7 < 5 THEN make_date(2024, 1, 1 + (dayofyear(day) % 31)::INT) END AS session FROM p), e AS (SELECT session FROM k WHERE session IS NOT NULL AND dayofmonth(session) % 7 <> 0),
+j AS (SELECT s.*, (SELECT max(session) FROM e WHERE e.session <= s.day) AS session FROM s)
+SELECT ticker, session, count(*) AS days, round(max(top), 6) AS top, sum(volume)::BIGINT AS volume, round(sum(s * volume) / sum(volume), 6) AS tone FROM j WHERE session IS NOT NULL GROUP BY ALL""")
+def company_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of calendar days folded onto sessions: the highest top, all volume, and tone weighted by volume.  Sessions are the days of a month on which orders are found, closed days left out."""
+    day = F.col("day")
+    found = prices(spark, sf_dir).select(F.when(F.dayofmonth(day) % 7 < 5, F.make_date(F.lit(2024), F.lit(1), 1 + F.dayofyear(day) % 31)).alias("session")).where("session is not null").where(F.dayofmonth("session") % 7 != 0)
+    rows = panel.on_sessions(daily_signals(spark, sf_dir), "day", found).where("session is not null")
+    tone = F.sum(F.col("s") * F.col("volume")) / F.sum("volume")
+    return rows.groupBy("ticker", "session").agg(F.count("*").alias("days"), F.round(F.max("top"), 6).alias("top"), F.sum("volume").alias("volume"), F.round(tone, 6).alias("tone"))
