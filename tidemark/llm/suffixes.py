@@ -9,8 +9,8 @@ ever different neighbours is dealt by its neighbours.  Anchors whose string occu
 done.  A string that is in very many different surroundings still is dealt window by window.
 
 Each share is sorted twice, the text from the anchor on and the text before it read
-backwards: multikey passes order all suffixes by their first bytes, eight at a time, to a
-shallow depth; groups that still agree there have long common prefixes and are ordered
+backwards: multikey quicksort orders all suffixes by their first bytes, to a shallow
+depth; groups that still agree there have long common prefixes and are ordered
 through a blind trie each.  The common prefixes of neighbours then give classes of equal
 windows for every distance between window and anchor, exactly and without more hashing.
 """
@@ -123,22 +123,55 @@ def blind_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by their first depth bytes; and starts and sizes, in that order, of the groups of several rows that agree in all of these.
+
+    Multikey quicksort on all open groups at once: each group takes a byte of its own as pivot and falls
+    into what is less, equal and greater at its place; the equal part goes on with the next byte.
+    Equal rows keep their order.
+    """
+    order = np.arange(len(rows))
+    start, size, place = (np.array([v] if len(rows) > 1 else [], np.int64) for v in (0, len(rows), 0))
+    if not depth:
+        return order, start, size
+    done = [np.zeros((2, 0), np.int64)]
+    while len(start):
+        group = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        at = np.arange(len(group)) + (start - first)[group]
+        mine = order[at]
+        byte = rows[mine, place[group]]
+        low, middle, high = byte[first], byte[first + size // 2], byte[first + size - 1]
+        pivot = np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high))[group]
+        side = (byte >= pivot).astype(np.int64) + (byte > pivot)
+        key = group * 3 + side
+        count = np.bincount(key, minlength=3 * len(start))
+        begin = np.cumsum(count) - count
+        to = np.empty(len(group), np.int64)
+        for k in range(3):
+            here = np.flatnonzero(side == k)
+            of = group[here]
+            run = np.cumsum(np.bincount(of, minlength=len(start))) - np.bincount(of, minlength=len(start))
+            to[here] = begin[key[here]] + np.arange(len(here)) - run[of]
+        sorted_ = np.empty(len(group), np.int64)
+        sorted_[to] = mine
+        order[at] = sorted_
+        start, place = np.repeat(start - first, 3) + begin, np.repeat(place, 3) + np.tile([0, 1, 0], len(start))
+        several, deep = count > 1, place == depth
+        done.append(np.stack([start[several & deep], count[several & deep]]))
+        start, size, place = start[several & ~deep], count[several & ~deep], place[several & ~deep]
+    return order, *np.concatenate(done, axis=1)
+
+
 def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows (byte strings of equal length) and the common prefix of each with the one before; 0 for the first."""
     n, width = rows.shape
-    depth = min(SHALLOW, width - width % 8)
-    heads = np.ascontiguousarray(rows[:, :depth]).view(">u8").astype(U64)
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)
-    for word in heads.T:  # each pass orders all groups that are still together by their next eight bytes
-        order = order[np.lexsort((word[order], group[order]))]
-        new = np.ones(n, bool)
-        new[1:] = (word[order][1:] != word[order][:-1]) | (group[order][1:] != group[order][:-1])
-        group[order] = np.cumsum(new) - 1
-    first, count = runs(group[order])
-    alike = np.zeros(n, bool)
-    alike[1:] = (rows[order][1:] == rows[order][:-1]).all(axis=1)
-    differ = np.add.reduceat(np.append(~alike, 0), first)[: len(first)] > 1 if n else np.zeros(0, bool)
+    depth = min(SHALLOW, width)
+    order, first, count = multikey(rows, depth)
+    new = np.zeros(n + 1, np.int64)
+    if n > 1:
+        new[2:] = np.cumsum((rows[order][1:] != rows[order][:-1]).any(axis=1))
+    differ = new[first + count] > new[first + 1]
     for a, c in zip(first[differ].tolist(), count[differ].tolist(), strict=True):
         mine = order[a : a + c]
         strings: dict[bytes, list[int]] = {}
