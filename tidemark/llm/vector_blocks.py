@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.graph import checkpointed
 from tidemark.llm.kernels import as_array
 
-#: Vectors of a share and queries of a group: what one task compares.  A vector travels once for each group, a query once for each share.
+#: Vectors of a share and queries of a group at most: what one task compares.  A vector travels once for each group, a query once for each share.
 SHARE, GROUP = 8192, 8192
+#: Bytes of a share's or a group's vectors in double precision: vectors of many dimensions come in smaller ones.
+MOST_BYTES = 32 << 20
+
+
+def at_most(rows: int, size: int) -> int:
+    """How many vectors of a dimension one share or group of so many rows holds."""
+    return max(16, min(rows, MOST_BYTES // (8 * max(size, 1))))
 
 
 def finite(x: Column) -> Column:
@@ -58,8 +65,10 @@ def blocks(rows: DataFrame, write: Callable[[np.ndarray], bytes], lists: Callabl
                 of = np.zeros(len(at), np.int32) if lists is None else lists(x)
                 found = []
                 for k in np.unique(of).tolist():
-                    mine = np.flatnonzero(of == k)
-                    found.append((x.shape[1], k, len(mine), ids[at[mine]].tobytes(), labels[at[mine]].tobytes(), write(x[mine])))
+                    all_ = np.flatnonzero(of == k)
+                    step = at_most(SHARE, x.shape[1])
+                    for mine in (all_[s : s + step] for s in range(0, len(all_), step)):
+                        found.append((x.shape[1], k, len(mine), ids[at[mine]].tobytes(), labels[at[mine]].tobytes(), write(x[mine])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _BLOCK, strict=True)], [name for name, _ in _BLOCK])
 
     packed = rows.select("id", "label", "x").mapInArrow(pack, BLOCK_SCHEMA)
@@ -93,7 +102,8 @@ def grid(asked: DataFrame, packed: DataFrame, run: Callable[[pa.Table, pa.Table]
     Groups and shares are dealt by hash, their number follows from counts, one row for each list.
     """
     key = ["size", "list"]
-    n = packed.groupBy(*key).agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("shares")).join(asked.groupBy(*key).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), key)
+    per = lambda rows: F.greatest(F.lit(16), F.least(F.lit(rows), F.floor(MOST_BYTES / (8 * F.first("size")))))  # noqa: E731  as at_most
+    n = packed.groupBy(*key).agg(F.ceil(F.sum("n") / per(SHARE)).cast("int").alias("shares")).join(asked.groupBy(*key).agg(F.ceil(F.count("*") / per(GROUP)).cast("int").alias("groups")), key)
     n = F.broadcast(n)  # lists are few by construction
     left = asked.join(n, key).withColumn("group", F.pmod(F.xxhash64("block", "place"), F.col("groups")).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     right = packed.join(n, key).withColumn("share", F.pmod(F.xxhash64("block"), F.col("shares")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
