@@ -158,7 +158,7 @@ def test_probes_follow_the_data():
 
 
 def test_shares_are_bounded_in_bytes(spark, monkeypatch):
-    assert vector_blocks.at_most(8192, 64) == 8192 and vector_blocks.at_most(8192, 4096) == 1024 and vector_blocks.at_most(8192, 1 << 30) == 16
+    assert [vector_blocks.at_most(8192, n, vector_blocks.MOST_BYTES) for n in (64, 4096, 1 << 30)] == [8192, 1024, 16]
     monkeypatch.setattr(vector_blocks, "MOST_BYTES", 8 * 16 * 20)
     rows = random_rows(5)
     assert sorted(map(tuple, hard_negatives.mine(table(spark, rows)).collect())) == hard(rows)

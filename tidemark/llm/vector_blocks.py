@@ -22,9 +22,9 @@ SHARE, GROUP = 8192, 8192
 MOST_BYTES = 32 << 20
 
 
-def at_most(rows: int, size: int) -> int:
-    """How many vectors of a dimension one share or group of so many rows holds."""
-    return max(16, min(rows, MOST_BYTES // (8 * max(size, 1))))
+def at_most(rows: int, size: int, most: int) -> int:
+    """How many vectors of a dimension one share or group of so many rows and bytes holds."""
+    return max(16, min(rows, most // (8 * max(size, 1))))
 
 
 def finite(x: Column) -> Column:
@@ -58,6 +58,8 @@ def blocks(rows: DataFrame, write: Callable[[np.ndarray], bytes], lists: Callabl
     list 0).  Block and place in it name a vector, whatever its id; they stay, once written.
     """
 
+    share, most = SHARE, MOST_BYTES
+
     def pack(batches):
         for batch in batches:
             ids, labels = longs(batch, "id"), longs(batch, "label")
@@ -66,7 +68,7 @@ def blocks(rows: DataFrame, write: Callable[[np.ndarray], bytes], lists: Callabl
                 found = []
                 for k in np.unique(of).tolist():
                     all_ = np.flatnonzero(of == k)
-                    step = at_most(SHARE, x.shape[1])
+                    step = at_most(share, x.shape[1], most)
                     for mine in (all_[s : s + step] for s in range(0, len(all_), step)):
                         found.append((x.shape[1], k, len(mine), ids[at[mine]].tobytes(), labels[at[mine]].tobytes(), write(x[mine])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _BLOCK, strict=True)], [name for name, _ in _BLOCK])
