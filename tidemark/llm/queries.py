@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in a partition for each core, where the files give fewer splits than that: one large row group is one task else."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
@@ -49,7 +55,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periodic.digests(periodic.with_planted(table(spark, sf_dir, "documents")))
+    return periodic.digests(periodic.with_planted(spread(table(spark, sf_dir, "documents"))))
 
 
 def op13_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
