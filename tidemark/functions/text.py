@@ -57,16 +57,22 @@ def _of(value: Column, body) -> Column:
     return body(value)
 
 
-def clean_text(text: Column, strip_publisher: bool = False) -> Column:
-    """Entities resolved, links and a leading retweet mark dropped, white space collapsed, and on request a trailing publisher name cut."""
-    out = F.regexp_replace(F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), URL, " "), RETWEET, "")
+def unescape_only(text: Column, entities: list[tuple[str, str]]) -> Column:
+    """The entities given resolved one after another, as they are written, and no others."""
+    return F.when(text.contains("&"), reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), entities, text)).otherwise(text)
+
+
+def clean_text(text: Column, strip_publisher: bool = False, entities: list[tuple[str, str]] | None = None) -> Column:
+    """Entities resolved (all, or those given), links and a leading retweet mark dropped, white space collapsed, and on request a trailing publisher name cut."""
+    text = F.coalesce(text, F.lit(""))
+    out = F.regexp_replace(F.regexp_replace(unescape(text) if entities is None else unescape_only(text, entities), URL, " "), RETWEET, "")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.regexp_replace(out, PUBLISHER_SUFFIX, "") if strip_publisher else out
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, entities: list[tuple[str, str]] | None = None) -> Column:
     """MD5 of the cleaned text in lower case with everything but a-z, 0-9 and $ reduced to single spaces."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(clean_text(text)), "[^a-z0-9$]+", " ")))
+    return F.md5(F.trim(F.regexp_replace(F.lower(clean_text(text, entities=entities)), "[^a-z0-9$]+", " ")))
 
 
 def is_file_name(text: Column) -> Column:
@@ -77,10 +83,14 @@ def tidy_headline(text: Column) -> Column:
     """The longest part between bars if it has 25 characters or more, and an ellipsis where a title of over three words was cut off."""
     parts = F.filter(F.transform(F.split(text, r" \| "), lambda p: F.trim(p)), lambda p: p != "")
     best = F.aggregate(parts, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
-    best = F.when(F.contains(text, F.lit(" | ")) & (F.length(best) >= 25), best).otherwise(text)
-    words = F.split(F.rtrim(best), " ")
+    return marked_if_cut(F.when(F.contains(text, F.lit(" | ")) & (F.length(best) >= 25), best).otherwise(text))
+
+
+def marked_if_cut(title: Column) -> Column:
+    """A title with an ellipsis where it has over three words and ends in one that no complete one ends in."""
+    words = F.split(F.rtrim(title), " ")
     cut = (F.size(words) > 3) & F.lower(F.element_at(words, -1)).isin(OPEN_ENDINGS)
-    return F.when(cut, F.concat(F.rtrim(best), F.lit("…"))).otherwise(best)
+    return F.when(cut, F.concat(F.rtrim(title), F.lit("…"))).otherwise(title)
 
 
 def hash_share(text: Column, salt: str = "") -> Column:
