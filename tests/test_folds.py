@@ -20,3 +20,17 @@ def test_folds_are_the_same_in_small_batches(spark, sf, name):
         assert whole and sorted(map(tuple, queries[name](spark, sf).collect()), key=repr) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_report_costs_the_same_however_many_came_before():
+    import random
+    import time
+
+    from tidemark.operators.monitors import Desk, MonitorConfig
+
+    draw, desk, n = random.Random(1), Desk(MonitorConfig()), 40_000
+    start = time.process_time()
+    for i in range(n):
+        user = draw.randrange(n // 4)
+        desk.report(str(user), frozenset({f"K{user % 7}"}), 7 + draw.random() * 3, draw.randrange(100), i * 30 * 86400 / n)
+    assert len(desk.member) > n // 8 and time.process_time() - start < 8  # 40 seconds when every report looked through all of them
