@@ -15,8 +15,8 @@ R = Registry()
 CENTRE, MIGRATION = 60.0, 60.0
 
 
-def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as updates: all are opinions, errors and sign-ups are events too, and large values situations or migrations."""
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events as updates: all are opinions, errors and sign-ups are events too, and large values situations or migrations.  With them the situations of each nation, and whose they are."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("country"))
     rows = table(spark, sf_dir, "events").where("user_id is not null").select("user_id", F.concat(F.lit("C"), "user_id").alias("entity"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("id"), "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     value = F.col("value")
@@ -28,17 +28,24 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = watch_feed.updates(news, what=F.lit("event"), id=F.col("id"), event_type=kind, impact=F.least(F.lit(10.0), 5 + value / 10), focus=value >= 25, tone=F.col("said"))
     centres = rows.where((F.col("event_type") == "error") & (value >= CENTRE)).withColumn("impact", F.least(F.lit(10.0), 6 + value / 40))
     own = watch_feed.updates(centres, what=F.lit("situation"), id=F.col("id"), impact=F.col("impact"), focus=F.lit(True))
-    users = rows.select("user_id", "entity").distinct().join(nation, "user_id").select("country", "entity")
-    home = centres.join(nation, "user_id").select("country", "at", "id", "impact", F.col("entity").alias("hit")).join(users, "country").where("entity <> hit")
-    home = watch_feed.updates(home, what=F.lit("situation"), id=F.col("id"), impact=F.col("impact"), focus=F.lit(False))
     moved = rows.where((F.col("event_type") == "purchase") & (value >= MIGRATION))
     moved = watch_feed.updates(moved, what=F.lit("migration"), id=F.col("id"), impact=F.col("k") % 5, focus=F.col("k") % 10 == 0)
-    return opinions.unionAll(news).unionAll(own).unionAll(home).unionAll(moved)
+    home = centres.join(nation, "user_id").select(F.col("country").alias("group"), "at", "impact", "id", F.col("entity").alias("hit"))
+    members = rows.select("user_id", "entity").distinct().join(nation, "user_id").select("entity", F.col("country").alias("group"))
+    return opinions.unionAll(news).unionAll(own).unionAll(moved), home, members
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of them as updates of each name, for a stream: a situation of a nation is one for each of its other names."""
+    rows, home, members = parts(spark, sf_dir)
+    others = home.join(members, "group").where("entity <> hit")
+    return rows.unionAll(watch_feed.updates(others, what=F.lit("situation"), id=F.col("id"), impact=F.col("impact"), focus=F.lit(False)))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
-    return watch_feed.changes(updates(spark, sf_dir), until or 0)
+    rows, home, members = parts(spark, sf_dir)
+    return watch_feed.changes(rows, until or 0, shared=home, members=members)
 
 
 @R.add()
