@@ -131,13 +131,15 @@ def lexicon_sentiment(text: Column, positive: list[str], negative: list[str], ne
         pos, neg = F.size(F.filter(polarity, lambda p: p > 0)), F.size(F.filter(polarity, lambda p: p < 0))
         return F.struct(pos.alias("pos"), neg.alias("neg"))
 
-    def weighed(n: Column) -> Column:
-        hits = n["pos"] + n["neg"]
-        strength = F.least(F.lit(1.0), hits / 3.0) * 0.8
-        side = lambda k: F.when(hits == 0, 0.1).otherwise(0.1 + strength * k / hits - 0.1 * strength / 0.8)
-        return F.struct(side(n["neg"]).alias("neg"), (1 - side(n["pos"]) - side(n["neg"])).alias("neu"), side(n["pos"]).alias("pos"))
+    return bound(bound(bound(tokens(F.coalesce(text, F.lit(""))), scored), shares), sentiment_of)
 
-    return bound(bound(bound(tokens(F.coalesce(text, F.lit(""))), scored), shares), weighed)
+
+def sentiment_of(n: Column) -> Column:
+    """A struct (neg, neu, pos) of shares from a struct (pos, neg) of hits."""
+    hits = n["pos"] + n["neg"]
+    strength = F.least(F.lit(1.0), hits / 3.0) * 0.8
+    side = lambda k: F.when(hits == 0, 0.1).otherwise(0.1 + strength * k / hits - 0.1 * strength / 0.8)
+    return F.struct(side(n["neg"]).alias("neg"), (1 - side(n["pos"]) - side(n["neg"])).alias("neu"), side(n["pos"]).alias("pos"))
 
 
 def cue_counts(text: Column, cues: dict[str, list[str]]) -> Column:

@@ -25,10 +25,15 @@ def rules(docs: DataFrame, text: str, cues: dict[str, list[str]], positive: list
     """docs with sentiment (negative, neutral, positive) and event probabilities from a lexicon and cues; OTHER counts one where no cue is."""
     names = [n for n in cues if n != "OTHER"] + ["OTHER"]
     rows = docs.withColumns({"_s": T.lexicon_sentiment(F.col(text), positive, negative, negators), "_c": T.cue_counts(F.col(text), {n: cues.get(n, []) for n in names})})
-    hits = F.aggregate(F.map_values("_c"), F.lit(0), lambda a, x: a + x)
-    raw = F.array(*[F.col("_c")[n] + smoothing + (F.when(hits == 0, 1).otherwise(0) if n == "OTHER" else F.lit(0)) for n in names])
+    return rows.withColumns({"sentiment": F.array("_s.neg", "_s.neu", "_s.pos"), "event": probabilities(F.col("_c"), names, smoothing)}).drop("_s", "_c")
+
+
+def probabilities(counts: Column, names: list[str], smoothing: float = 0.02) -> Column:
+    """Probabilities of names in order from a map of their cues; OTHER counts one where no cue is."""
+    hits = F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
+    raw = F.array(*[counts[n] + smoothing + (F.when(hits == 0, 1).otherwise(0) if n == "OTHER" else F.lit(0)) for n in names])
     total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumns({"sentiment": F.array("_s.neg", "_s.neu", "_s.pos"), "event": F.transform(raw, lambda x: x / total)}).drop("_s", "_c")
+    return F.transform(raw, lambda x: x / total)
 
 
 def batched(load: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> Callable[[Column], Column]:
