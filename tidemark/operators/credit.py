@@ -93,6 +93,22 @@ def stress(book: DataFrame, scenarios: DataFrame) -> DataFrame:
     return with_steps(rows, STRESS_STEPS)
 
 
+#: What of a position P&L, losses and weights are proportional to.
+AMOUNTS = ["notional", "drawn", "undrawn"]
+
+
+def netted(book: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """book with one row, and its number n, for all positions that differ in nothing but their AMOUNTS and obligors that no scenario names.
+
+    What a position loses is proportional to its amounts, so sums over these rows under ``stress`` are those over the
+    positions.  As many rows as kinds of position are stressed, at most those of the book.
+    """
+    named = scenarios.select(F.explode(F.map_keys("epicentre")).alias("_key")).distinct()
+    rows = book.drop("position_id").join(F.broadcast(named), F.col("obligor_id") == F.col("_key"), "left").withColumn("obligor_id", F.col("_key")).drop("_key")
+    kinds = [c for c in rows.columns if c not in AMOUNTS]
+    return rows.groupBy(*kinds).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in AMOUNTS])
+
+
 def totals(stressed: DataFrame) -> DataFrame:
     """One row for each scenario: P&L by channel, losses, capital before and after."""
     lend = F.col("lending")
@@ -108,9 +124,11 @@ def totals(stressed: DataFrame) -> DataFrame:
 
 
 def roll_up(stressed: DataFrame, dims: list[str]) -> DataFrame:
-    """P&L by scenario and each dimension's values in one pass; null values are left out."""
+    """P&L by scenario and each dimension's values in one pass; null values are left out.  A row with n stands for n positions."""
+    n = F.col("n") if "n" in stressed.columns else F.lit(1)
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
-    return stressed.select("scenario_id", "pnl", each.alias("d")).where("d.value is not null").groupBy("scenario_id", "d.dim", "d.value").agg(F.sum("pnl").alias("pnl"), F.count("*").alias("positions"))
+    cells = stressed.groupBy("scenario_id", *dims).agg(F.sum("pnl").alias("pnl"), F.sum(n).alias("n"))
+    return cells.select("scenario_id", "pnl", "n", each.alias("d")).where("d.value is not null").groupBy("scenario_id", "d.dim", "d.value").agg(F.sum("pnl").alias("pnl"), F.sum("n").alias("positions"))
 
 
 def exposures(book: DataFrame) -> DataFrame:
@@ -134,4 +152,4 @@ def worst_migration(stressed: DataFrame) -> DataFrame:
     return stressed.where("rating_after <> rating").groupBy("obligor_id").agg(F.min_by("rating", "position_id").alias("rating"), F.max_by("rating_after", place).alias("worst"), F.max(place - F.expr(_ORDINAL.format("rating"))).alias("notches"))
 
 
-__all__ = ["CHANNELS", "FACTORS", "STRESS_STEPS", "concentration", "correlation_sql", "exposures", "roll_up", "stress", "totals", "worst_migration"]
+__all__ = ["AMOUNTS", "CHANNELS", "FACTORS", "STRESS_STEPS", "concentration", "correlation_sql", "exposures", "netted", "roll_up", "stress", "totals", "worst_migration"]

@@ -136,7 +136,8 @@ def stress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(" UNION ALL ".join(f"SELECT scenario_id, '{d}' AS dim, {d} AS value, round(sum(pnl), 0) + 0e0 AS pnl, count(*) AS positions FROM ({_STRESSED}) GROUP BY scenario_id, {d}" for d in ("asset_class", "sector", "region")))
 def stress_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credit.roll_up(credit.stress(book(spark, sf_dir), own_scenarios(spark)), ["asset_class", "sector", "region"]).withColumn("pnl", F.round("pnl", 0) + 0.0)
+    moves = own_scenarios(spark)
+    return credit.roll_up(credit.stress(credit.netted(book(spark, sf_dir), moves), moves), ["asset_class", "sector", "region"]).withColumn("pnl", F.round("pnl", 0) + 0.0)
 
 
 @R.add(f"SELECT scenario_id, position_id, round(pnl, 2) + 0e0 AS pnl FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY round(pnl, 2) + 0e0, position_id) AS r FROM ({_STRESSED})) WHERE r <= 10")
