@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import string
 import sys
 import unicodedata
 from collections import Counter
@@ -22,13 +23,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import RETWEET, URL
 
-_TOKEN, _OTHER = re.compile("[a-z']+"), re.compile("[^a-z0-9$]+")
-_URL, _RETWEET, _SPACE = re.compile(URL, re.ASCII), re.compile(RETWEET, re.ASCII), re.compile(r"\s+", re.ASCII)
+_URL, _RETWEET = re.compile(URL, re.ASCII), re.compile(RETWEET, re.ASCII)
+
+
+def _kept(signs: str, and_beyond: bool = False) -> bytes:
+    """For bytes.translate: signs as they are, with and_beyond also the bytes of what is not ASCII; a space for any other byte."""
+    return bytes(i if chr(i) in signs and i < 0x80 or and_beyond and i >= 0x80 else 0x20 for i in range(256))
+
+
+_TOKEN, _PRINT = _kept(string.ascii_lowercase + "'"), _kept(string.ascii_lowercase + string.digits + "$")
+_WHOLE = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode()).translate(_kept(string.ascii_lowercase + string.digits + "_", True))
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def clean(text: str | None) -> str:
-    text = _RETWEET.sub("", _URL.sub(" ", html.unescape(text or "")))
-    return _SPACE.sub(" ", text).strip(" ")
+    text = html.unescape(text or "")
+    if "http" in text or "www." in text:
+        text = _URL.sub(" ", text)
+    return b" ".join(_bytes(_RETWEET.sub("", text)).split()).decode("utf-8", "surrogatepass")
 
 
 def cleaned(text: Column) -> Column:
@@ -42,7 +57,8 @@ def cleaned(text: Column) -> Column:
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    """Runs of a-z and apostrophes in lower case."""
+    return _bytes((text or "").lower()).translate(_TOKEN).decode().split()
 
 
 @lru_cache(1)
@@ -61,10 +77,13 @@ _WORD = re.compile(r"\w+")
 
 def whole_words(text: str) -> set[str]:
     r"""All w, in lower case, for which \bw\b is found in text with case of a-z ignored."""
-    found = _WORD.findall(text)
-    if not text.isascii() and not _odd()[0].isdisjoint(text):
-        found = _odd()[1].findall(text)
-    return {w.lower() for w in set(found) if w.isascii()}
+    words = set(_bytes(text).translate(_WHOLE).decode("utf-8", "surrogatepass").split())
+    if text.isascii():
+        return words
+    mixed = [w for w in words if not w.isascii()]  # what is not ASCII may be part of a word or stand between two
+    rest = " ".join(mixed)
+    pattern = _WORD if _odd()[0].isdisjoint(rest) else _odd()[1]
+    return words.difference(mixed).union(w for w in pattern.findall(rest) if w.isascii())
 
 
 def tone(words: list[str], polarity: dict[str, int], negators: frozenset[str]) -> tuple[int, int]:
@@ -90,7 +109,7 @@ def _cues(text: str, wanted: list[frozenset[str]], n: int) -> tuple[list[bool],
 def fingerprint(text: str) -> str:
     """``functions.text.fingerprint`` of a cleaned text, which few texts have anything left to be cleaned of."""
     text = clean(text) if "&" in text or _RETWEET.match(text) else text
-    return hashlib.md5(_OTHER.sub(" ", text.lower()).strip(" ").encode()).hexdigest()
+    return hashlib.md5(b" ".join(_bytes(text.lower()).translate(_PRINT).split())).hexdigest()
 
 
 def told(text: Column, cues: list[list[str]], severe: list[list[str]], positive: list[str], negative: list[str], negators: list[str]) -> Column:
@@ -105,24 +124,38 @@ def told(text: Column, cues: list[list[str]], severe: list[list[str]], positive:
     return run(text)
 
 
-@lru_cache(1 << 18)
 def _bucket(word: str, buckets: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % buckets
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % buckets
+
+
+class _Buckets(dict):
+    """The bucket of every word met; buckets itself for those that don't count."""
+
+    def __init__(self, buckets: int, most: int = 1 << 18):
+        self.buckets, self.most = buckets, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = _bucket(word, self.buckets) if len(word) > 2 else self.buckets
+        return found
+
+
+_buckets = lru_cache(4)(_Buckets)
+
+
+def vector(text: str | None, buckets: int) -> np.ndarray | None:
+    words = tokens(text)
+    sums = np.bincount(np.fromiter(map(_buckets(buckets).__getitem__, words), np.int64, len(words)), minlength=buckets)[:buckets]
+    return sums / np.sqrt((sums * sums).sum()) if sums.any() else None
 
 
 def word_vectors(text: Column, buckets: int = 256) -> Column:
     """The unit vector of how often the words of each bucket occur; null for a text without a word of three letters."""
 
-    def one(text: str | None) -> np.ndarray | None:
-        counts = Counter(w for w in tokens(text) if len(w) > 2)
-        if not counts:
-            return None
-        sums = np.bincount([_bucket(w, buckets) for w in counts], weights=list(counts.values()), minlength=buckets)
-        return sums / np.sqrt((sums * sums).sum())
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in texts], dtype=object)
+        return pd.Series([vector(t, buckets) for t in texts], dtype=object)
 
     return run(text)
 
@@ -136,11 +169,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text, good, bad in zip(rows["text"], rows["g"], rows["b"], strict=True):
                 words = set(tokens(text))
                 n.update(words)
-                if good:
-                    g.update(dict.fromkeys(words, good))
-                if bad:
-                    b.update(dict.fromkeys(words, bad))
-            yield pd.DataFrame([(w, k, g[w], b[w]) for w, k in n.items()], columns=["w", "n", "g", "b"])
+                for sums, k in ((g, good), (b, bad)):
+                    if k:
+                        sums.update(words if k == 1 else dict.fromkeys(words, k))
+            yield pd.DataFrame({"w": list(n), "n": list(n.values())} | {c: [sums.get(w, 0) for w in n] for c, sums in (("g", g), ("b", b))})
 
     counted = docs.select("text", "g", "b").mapInPandas(run, "w string, n long, g long, b long")
     return counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "g", "b")])
