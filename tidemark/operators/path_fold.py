@@ -15,9 +15,11 @@ same kernel over a sorted table and over Spark's keyed state.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,11 @@ class FoldConfig:
     wait_for_batch: bool = True
 
 
+def unit(v) -> np.ndarray:
+    v = np.asarray(v, float)
+    return v / max(math.sqrt(v.dot(v)), 1e-12)
+
+
 @dataclass
 class Group:
     """A story or an event."""
@@ -69,6 +76,9 @@ class Live:
         self.groups: list[Group] = []
         self.row: dict[str, int] = {}
         self.unit = np.zeros((0, 0))
+        self.ahead: np.ndarray | None = None  # products with vectors to come, a row for each of these, of the groups as they were
+        self.since: dict[int, int] = {}  # groups that changed since then, by number: their place in changed
+        self.changed = np.zeros((0, 0), np.float32)
         self.touched: set[str] = set()
         self.dead: set[str] = set()
 
@@ -84,7 +94,40 @@ class Live:
         self.centre(group)
 
     def centre(self, group: Group) -> None:
-        self.unit[self.row[group.id]] = group.total / max(float(np.linalg.norm(group.total)), 1e-12)
+        i = self.row[group.id]
+        self.unit[i] = unit(group.total)
+        if self.ahead is not None:
+            k = self.since.setdefault(i, len(self.since))
+            if k >= len(self.changed):
+                self.changed = np.concatenate([self.changed, np.zeros((max(16, k), len(group.total)), np.float32)])
+            self.changed[k] = self.unit[i]
+
+    def look_ahead(self, vectors: np.ndarray) -> None:
+        """Takes the products with vectors to come in one go, which is much faster than one by one; those of groups that change meanwhile are taken anew."""
+        n = len(self.groups)
+        self.since, self.changed = {}, np.zeros((0, vectors.shape[1]), np.float32)
+        self.ahead = vectors @ self.unit[:n].T.astype(np.float32) if n else np.zeros((len(vectors), 0), np.float32)
+
+    def near(self, v: np.ndarray, bar: float, place: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Groups whose product with v is bar or more, by number, and these products; place is that of v in what was looked ahead at.
+
+        Products looked ahead at are in single precision, and what these leave is multiplied in double precision.
+        """
+        n = len(self.groups)
+        if place is None or self.ahead is None:
+            found = np.arange(n)
+        else:
+            room = 1e-7 * (len(v) + 16)
+            found = np.flatnonzero(self.ahead[place] >= bar - room)
+            if self.since:
+                numbers = np.fromiter(self.since, np.int64, len(self.since))
+                close = self.changed[: len(numbers)] @ v.astype(np.float32) >= bar - room
+                known = np.ones(n, bool)
+                known[numbers] = False
+                found = np.sort(np.concatenate([found[known[found]], numbers[close]]))
+        s = self.unit[found] @ v if 4 * len(found) < n else (self.unit[:n] @ v)[found]
+        over = s >= bar
+        return found[over], s[over]
 
     def get(self, name: str | None) -> Group | None:
         return self.groups[self.row[name]] if name in self.row else None
@@ -112,6 +155,11 @@ class Live:
         self.calls = 0
         keep = [i for i, g in enumerate(self.groups) if g.last >= now - hours * 3600]
         if len(keep) < len(self.groups):
+            if self.ahead is not None:
+                at = {i: k for k, i in enumerate(keep)}
+                left = [(i, k) for i, k in self.since.items() if i in at]
+                self.ahead = self.ahead[:, [i for i in keep if i < self.ahead.shape[1]]]
+                self.changed, self.since = self.changed[[k for _, k in left]], {at[i]: k for k, (i, _) in enumerate(left)}
             alive = [self.groups[i] for i in keep]
             self.dead |= self.row.keys() - {g.id for g in alive}
             self.unit[: len(keep)] = self.unit[keep]
@@ -138,6 +186,10 @@ OUT = "shard string, doc_id string, duplicate boolean, noise boolean, story_id s
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
+#: Documents whose products with what is alive are taken together, about how many products at most, and stories from which on that is worth it.
+AHEAD, AHEAD_CELLS, FEW = 512, 1 << 24, 64
+
+
 class Fold:
     """The fold of one shard."""
 
@@ -146,8 +198,29 @@ class Fold:
         self.stories, self.events = Live(config.story_checks), Live(config.event_checks)
         self.copies = Copies(config.copies) if copies is None else copies
 
-    def take(self, r) -> tuple:
-        """The row for a document, after which it is part of what the fold knows."""
+    def take_all(self, rows: list) -> list[tuple]:
+        """The rows for documents in order; AHEAD of them are looked ahead at together."""
+        out = []
+        while len(out) < len(rows):
+            size = max(32, min(AHEAD, AHEAD_CELLS // max(1, len(self.stories.groups), len(self.events.groups))))
+            some = rows[len(out) : len(out) + size]
+            place = {i: k for k, i in enumerate(i for i, r in enumerate(some) if r.embedding is not None and r.relevance >= self.config.relevance and self.new(r))}
+            sizes = {len(some[i].embedding) for i in place}
+            if len(place) > 1 and len(sizes) == 1 and len(self.stories.groups) > FEW:
+                vectors = np.array([unit(some[i].embedding) for i in place], np.float32)
+                for live in (self.stories, self.events):
+                    live.look_ahead(vectors)
+            else:
+                place = {}
+            out += [self.take(r, place.get(i)) for i, r in enumerate(some)]
+            self.stories.ahead = self.events.ahead = None
+        return out
+
+    def new(self, r) -> bool:
+        return r.fp is None or self.copies.get(r.fp) is None
+
+    def take(self, r, place: int | None = None) -> tuple:
+        """The row for a document, after which it is part of what the fold knows; place is its place in what was looked ahead at."""
         c, now = self.config, r.at
         known = self.copies.get(r.fp) if r.fp is not None else None
         if known is not None:
@@ -161,11 +234,10 @@ class Fold:
         if not r.relevance >= c.relevance or r.embedding is None:  # a null relevance is none
             self.remember(r, None)
             return (r.shard, r.doc_id, False, True, None, None, None, None, None, False, False)
-        v = np.asarray(r.embedding, float)
-        v = v / max(float(np.linalg.norm(v)), 1e-12)
+        v = unit(r.embedding)
         names, firms = (set(x) if x is not None else set() for x in (r.entities, r.companies))
         self.stories.expire(now, c.window_hours)
-        story, similarity = self.nearest_story(v, firms)
+        story, similarity = self.nearest_story(v, firms, place)
         new = story is None
         if new:
             story = self.stories.found("sty_", r.doc_id, len(v), now)
@@ -173,7 +245,7 @@ class Fold:
         refounded = not new and event is None
         if event is None:
             self.events.expire(now, c.window_hours)
-            event = self.nearest_event(v, r.type, names, firms)
+            event = self.nearest_event(v, r.type, names, firms, place)
             if event is None:
                 event = self.events.found("evt_", r.doc_id, len(v), now)
                 event.type = r.type
@@ -188,35 +260,36 @@ class Fold:
         if r.fp is not None:
             self.copies.put(r.fp, story, r.batch)
 
-    def nearest_story(self, v: np.ndarray, firms: set[str]) -> tuple[Group | None, float]:
+    def nearest_story(self, v: np.ndarray, firms: set[str], place: int | None = None) -> tuple[Group | None, float]:
         """Of the closest few the best one, less a penalty where both name companies and share none, if it is close enough."""
         live = self.stories
         if not live.groups:
             return None, 0.0
-        s = live.unit[: len(live.groups)] @ v
+        few, s = live.near(v, self.config.story, place)  # one that is farther is none, with a penalty or without
         k = min(self.config.candidates, len(s))
-        few = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-        few = few[np.argsort(-s[few], kind="stable")][:k]
+        if k < len(s):
+            closest = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+            few, s = few[closest], s[closest]
+        order = np.argsort(-s, kind="stable")[:k]
         best, most = None, -1.0
-        for i in few.tolist():
+        for i, similarity in zip(few[order].tolist(), s[order].tolist(), strict=True):
             group = live.groups[i]
-            at = float(s[i]) - (self.config.apart if firms and group.names and firms.isdisjoint(group.names) else 0.0)
+            at = similarity - (self.config.apart if firms and group.names and firms.isdisjoint(group.names) else 0.0)
             if at > most:
                 best, most = group, at
         return (best, most) if most >= self.config.story else (None, 0.0)
 
-    def nearest_event(self, v: np.ndarray, type_: int, names: set[str], firms: set[str]) -> Group | None:
+    def nearest_event(self, v: np.ndarray, type_: int, names: set[str], firms: set[str], place: int | None = None) -> Group | None:
         """The event of a type that clears its bar by most; a shared name lowers the bar, and but for market-wide types a shared company is a must."""
         live, c = self.events, self.config
         if not live.groups:
             return None
-        s = live.unit[: len(live.groups)] @ v
         best, most = None, 0.0
-        for i in np.flatnonzero(s >= c.event - c.shared).tolist():
+        for i, near in zip(*(x.tolist() for x in live.near(v, c.event - c.shared, place)), strict=True):
             group = live.groups[i]
             if group.type != type_ or (type_ not in c.market_wide and firms.isdisjoint(group.names)):
                 continue
-            over = float(s[i]) - (c.event - (0.0 if names.isdisjoint(group.names) else c.shared))
+            over = near - (c.event - (0.0 if names.isdisjoint(group.names) else c.shared))
             if over >= 0 and (best is None or over > most):
                 best, most = group, over
         return best
@@ -242,10 +315,10 @@ def fold_batch(docs: DataFrame, config: FoldConfig = FoldConfig()) -> DataFrame:
         fold, shard = None, None
         for rows in batches:
             out = []
-            for r in _tuples(rows):
-                if fold is None or r.shard != shard:
-                    fold, shard = Fold(config), r.shard
-                out.append(fold.take(r))
+            for of, some in groupby(_tuples(rows), key=lambda r: r.shard):
+                if fold is None or of != shard:
+                    fold, shard = Fold(config), of
+                out += fold.take_all(list(some))
             yield pd.DataFrame(out, columns=_NAMES)
 
     order = ["shard", *[F.asc_nulls_last(c) for c in ("batch", "at", "seq")]]
@@ -316,7 +389,7 @@ class PathProcessor(StatefulProcessor):
         if self.calls.exists():
             fold.stories.calls, fold.events.calls, fold.stories.started, fold.events.started = self.calls.get()
         docs = pd.concat(list(rows), ignore_index=True).sort_values(["batch", "at", "seq"], kind="stable", na_position="last")
-        out = [fold.take(r) for r in _tuples(docs)]
+        out = fold.take_all(list(_tuples(docs)))
         for name, live in (("stories", fold.stories), ("events", fold.events)):
             for group in live.dead:
                 if self.kept[name].containsKey((group,)):
